@@ -59,6 +59,7 @@ def decode_split(df: DataFrame, value_col: str, schema: T.StructType,
                  time_fields: tuple[str, ...], rename: dict | None = None) -> DataFrame:
     """Strict JSON decode. Adds the decoded fields plus ``decode_error``
     (null when the row decoded). Undecodable rows are kept, flagged, never dropped.
+    Input columns with a decoded field's name are replaced by the decoded value.
     """
     rename = rename or {}
     raw = F.col(value_col).cast("string")
@@ -72,7 +73,9 @@ def decode_split(df: DataFrame, value_col: str, schema: T.StructType,
         if f.name in time_fields:
             c = c.cast("timestamp_ntz")
         cols.append(F.when(error.isNull(), c).alias(rename.get(f.name, f.name)))
-    return parsed.select(*[F.col(c) for c in df.columns], *cols, error.alias("decode_error"))
+    out_names = {rename.get(f.name, f.name) for f in schema.fields} | {"decode_error"}
+    keep = [F.col(c) for c in df.columns if c not in out_names]
+    return parsed.select(*keep, *cols, error.alias("decode_error"))
 
 
 def decode_chunks(df: DataFrame, value_col: str = "value") -> DataFrame:

@@ -58,7 +58,7 @@ def rfc3339_seconds(ts) -> Column:
 
 def duration_hours(start="from", end="to") -> Column:
     """K4: fractional hours between two timestamps, microsecond exact."""
-    return F.timestampdiff("MICROSECOND", _c(start), _c(end)) / F.lit(3.6e9)
+    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(3.6e9)
 
 
 def bill_until(as_of, end_at="end_at") -> Column:
@@ -83,3 +83,20 @@ def hash_bucket(col, buckets: int) -> Column:
     """Stable bucket in [0, buckets) from md5, identical in any SQL engine with md5."""
     return F.pmod(F.conv(F.substring(F.md5(_c(col)), 1, 8), 16, 10).cast("bigint"),
                   F.lit(buckets))
+
+
+def as_ts(value) -> Column:
+    """Clock parameter as a Column: a Column passes through, a datetime or ISO
+    text becomes a timestamp_ntz literal."""
+    return value if isinstance(value, Column) else ts_lit(value)
+
+
+_UNIT_US = {"MICROSECOND": 1, "MILLISECOND": 1000, "SECOND": 1_000_000,
+            "MINUTE": 60_000_000, "HOUR": 3_600_000_000, "DAY": 86_400_000_000,
+            "WEEK": 7 * 86_400_000_000}
+
+
+def interval_micros(text: str) -> int:
+    """Fixed-length interval text (``'90 days'``, ``'1 hour'``) in microseconds."""
+    n, unit = text.split()
+    return int(n) * _UNIT_US[unit.upper().rstrip("S")]
