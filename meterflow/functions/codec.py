@@ -35,9 +35,9 @@ def chunk_struct(from_col: str = "from_ts", to_col: str = "to_ts") -> Column:
     fields = []
     for name in S.CHUNK_FIELDS:
         if name == "from":
-            fields.append(F.col(from_col).cast("timestamp").alias("from"))
+            fields.append(F.col(from_col).cast(T.TimestampType()).alias("from"))
         elif name == "to":
-            fields.append(F.col(to_col).cast("timestamp").alias("to"))
+            fields.append(F.col(to_col).cast(T.TimestampType()).alias("to"))
         elif name == "region_type":
             fields.append(F.coalesce(F.col("region_type"), F.lit("")).alias("region_type"))
         else:

@@ -77,12 +77,19 @@ def dedupe(deliveries: DataFrame, ledger: DataFrame | None, key: str, order_cols
            batch_rows_bound: int | None = None) -> DataFrame:
     """E4/E5 core: first delivery per key wins, inside the batch (smallest
     ``order_cols``, by partial aggregation) and across batches (anti join with
-    the ledger's hits for this batch's keys)."""
+    the ledger).
+
+    Without a proven batch bound the anti join is planned directly: the batch
+    side is already hash-partitioned on ``key`` by the aggregation, so only the
+    ledger's key column is shuffled. With a small proven bound the batch keys
+    are broadcast to pick the ledger hits first (no ledger shuffle at all).
+    """
     first = first_by_order(deliveries, [key], order_cols)
     if ledger is None:
         return first
-    hits = ledger_hits(first, ledger, key, batch_rows_bound)
-    return first.join(hits, key, "left_anti")
+    if batch_rows_bound is not None and batch_rows_bound <= BROADCAST_KEYS_MAX_ROWS:
+        return first.join(ledger_hits(first, ledger, key, batch_rows_bound), key, "left_anti")
+    return first.join(ledger.select(key), key, "left_anti")
 
 
 def dedupe_by_event_id(deliveries: DataFrame, ledger: DataFrame | None,

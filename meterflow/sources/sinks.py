@@ -12,13 +12,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from meterflow import schemas as S
 from meterflow.functions import codec
 
 
 def envelope(df: DataFrame, key: Column, value: Column, headers: dict[str, Column] | Column | None = None,
-             timestamp: Column | None = None) -> DataFrame:
+             timestamp: Column | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Kafka-shaped rows: binary key and value, headers as
     ``array<struct<key:string, value:binary>>``. ``headers`` is either a dict of
     header columns or a ``map<string,string>`` column (A8)."""
@@ -33,16 +34,16 @@ def envelope(df: DataFrame, key: Column, value: Column, headers: dict[str, Colum
     cols = [key.cast("binary").alias("key"), value.cast("binary").alias("value"), h.alias("headers")]
     if timestamp is not None:
         cols.append(timestamp.alias("timestamp"))
-    return df.select(*cols)
+    return df.select(*cols, *keep)
 
 
-def chunk_records(chunks: DataFrame) -> DataFrame:
+def chunk_records(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Keyed by sandbox id, JSON chunk value, three headers. A DataFrame
     is already a batch, so the single and batch publish are one operator; an
     empty frame writes nothing."""
     return envelope(chunks, F.col("sandbox_id"), codec.encode_chunks(),
                     {"event_type": F.lit(S.EVENT_TYPE_CHUNK), "event_id": F.col("event_id"),
-                     "organization_id": F.col("organization_id")})
+                     "organization_id": F.col("organization_id")}, keep=keep)
 
 
 def message_records(df: DataFrame, key_col: str, value_col: str, headers_col: str | None = None) -> DataFrame:
@@ -54,14 +55,14 @@ def processed_struct() -> Column:
     """Wire processed event (``metronome_id`` omitted when empty)."""
     return F.struct(
         "event_id", "session_id", "sequence",
-        F.col("processed_at").cast("timestamp").alias("processed_at"),
+        F.col("processed_at").cast(T.TimestampType()).alias("processed_at"),
         F.nullif(F.col("metronome_id"), F.lit("")).alias("metronome_id"),
         "organization_id")
 
 
-def processed_records(processed: DataFrame) -> DataFrame:
+def processed_records(processed: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Processed event keyed by session id."""
-    return envelope(processed, F.col("session_id"), codec.encode(processed_struct()))
+    return envelope(processed, F.col("session_id"), codec.encode(processed_struct()), keep=keep)
 
 
 def header_value(headers: str, name: str) -> Column:

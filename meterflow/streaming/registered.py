@@ -1 +1,116 @@
-"""Streaming query keys (added to the catalog on import)."""
+"""Streaming query keys: each runs its stream to completion over a file topic
+derived from the driver's tables (in a fresh folder under the shared work root)
+and returns the sink as a DataFrame, checked against the batch oracle."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from meterflow import schemas as S
+from meterflow.functions import codec
+from meterflow.plans.catalog import AS_OF, A, CHUNK_SELECT, E4_SQL, FIRST, SPLIT_SQL, query
+from meterflow.session import new_run_dir
+from meterflow.sources import sinks
+from meterflow.sources.fixtures import Fixtures
+from meterflow.streaming import analytics as san
+from meterflow.streaming import billing as sbill
+from meterflow.streaming import publish as spub
+from meterflow.streaming import topics
+from meterflow.streaming.state_machine import SENTINEL, session_state_machine
+
+TOPIC_FILES = 8
+FILES_PER_TRIGGER = 2
+
+
+@query("j3_billing_stream", f"""
+SELECT event_id, session_id, sequence, {A} AS processed_at, concat(session_id, ':', CAST(sequence AS VARCHAR)) AS metronome_id,
+       organization_id FROM ({E4_SQL})""")
+def j3(spark, d):
+    """Every chunk delivery (with redeliveries) through the billing stream; the
+    ledger starts as the fixture billing ledger."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j3")
+    topic = f"{run}/topic_usage_billing_chunks"
+    c = f.chunk_deliveries
+    topics.write_file_topic(sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
+    paths = sbill.BillingPaths(run)
+    src = topics.read_chunks_stream(spark, topic, max_per_trigger=FILES_PER_TRIGGER)
+    q = sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF,
+                                   seed_ledger=f.processed_billing_events)
+    q.awaitTermination()
+    return sbill.billed_events(spark, paths)
+
+
+@query("j4_analytics_stream", """
+SELECT event_id, session_id, sequence, processed_at, metronome_id, organization_id, CAST(processed_at AS DATE) AS export_date
+FROM billing_processed_deliveries WHERE delivery_no = 1""")
+def j4(spark, d):
+    """Processed topic with redeliveries through the analytics stream."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j4")
+    p = f.billing_processed_deliveries
+    topic = f"{run}/topic_billing_processed"
+    topics.write_file_topic(sinks.processed_records(p, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
+    src = topics.read_processed_stream(spark, topic, max_per_trigger=FILES_PER_TRIGGER, starting="earliest")
+    q = san.start_analytics_stream(src, run, f"{run}/_checkpoints/analytics")
+    q.awaitTermination()
+    return san.exported(spark, run)
+
+
+@query("j2_publish_stream", SPLIT_SQL + f"""
+SELECT c.sandbox_id AS key, c.* EXCLUDE (delivery_no, l_orderkey)
+FROM {FIRST} c JOIN split s ON s.event_id = c.event_id WHERE s.outcome = 'publish'""")
+def j2(spark, d):
+    """Unpublished outbox rows through the publish stream; returns the chunk
+    topic it wrote (decoded)."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j2")
+    src_dir = f"{run}/outbox_stream"
+    f.outbox_with_payload().repartition(TOPIC_FILES).write.parquet(src_dir)
+    src = (spark.readStream.schema(S.OUTBOX_EVENTS).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
+           .parquet(src_dir))
+    q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF,
+                                  seed_ledger=f.processed_outbox_events)
+    q.awaitTermination()
+    t = spark.read.parquet(f"{run}/topic_usage_billing_chunks")
+    dec = codec.decode_chunks(t, "value")
+    return dec.select(F.col("key").cast("string").alias("key"), *CHUNK_SELECT.split(", "))
+
+
+J9_SQL = f"""
+, lc AS (SELECT * FROM session_lifecycle WHERE ts <= {A})
+, cr AS (SELECT * FROM lc WHERE action = 'create')
+, fin AS (SELECT session_id, ts AS end_ts FROM lc WHERE action = 'finish')
+, base AS (SELECT cr.*, fin.end_ts,
+                  CAST(floor(date_diff('microsecond', cr.ts, coalesce(fin.end_ts, {A})) / (90 * 86400e6)) AS BIGINT) AS n
+           FROM cr LEFT JOIN fin USING (session_id))
+, ticks AS (SELECT b.*, k FROM base b, unnest(generate_series(1, b.n)) AS t(k))
+, chunks AS (
+  SELECT session_id, k AS sequence, ts + (k - 1) * INTERVAL 90 DAY AS from_ts, ts + k * INTERVAL 90 DAY AS to_ts,
+         organization_id, cpu, 'tick' AS kind FROM ticks
+  UNION ALL
+  SELECT session_id, n + 1, ts + n * INTERVAL 90 DAY, end_ts, organization_id, cpu, 'final' FROM base WHERE end_ts IS NOT NULL)
+SELECT sha256(concat(session_id, ':', CAST(sequence AS VARCHAR))) AS event_id, * FROM chunks"""
+
+
+@query("j9_session_state_machine", J9_SQL)
+def j9(spark, d):
+    """Session lifecycle events up to the clock, plus a watermark sentinel at
+    the clock, through the keyed state machine (90-day ticks)."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j9")
+    lc = f.session_lifecycle.filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz"))
+    sentinel = spark.range(1).select(F.lit(SENTINEL).alias("session_id"), F.lit("tick").alias("action"),
+                                     F.lit(AS_OF).cast("timestamp_ntz").alias("ts"))
+    events = lc.unionByName(sentinel, allowMissingColumns=True)
+    src_dir = f"{run}/lifecycle"
+    events.write.parquet(src_dir)
+    src = spark.readStream.schema(events.schema).parquet(src_dir)
+    out = session_state_machine(src, f"{S.BACKFILL_INTERVAL_DAYS} days")
+    q = (out.writeStream.format("parquet").option("path", f"{run}/chunks")
+         .option("checkpointLocation", f"{run}/_checkpoints/j9").outputMode("append")
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    r = spark.read.parquet(f"{run}/chunks")
+    return r.select("event_id", "session_id", "sequence", "from_ts", "to_ts", "organization_id", "cpu", "kind")
+
