@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import sys
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -47,19 +48,23 @@ STATE_SCHEMA = ("status string, last_us long, seq long, sandbox_id string, organ
 _ACTION_ORDER = {"create": 0, "finish": 1}
 
 
-def _us(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1000)
-
-
-def _ts(us: int) -> pd.Timestamp:
-    return pd.Timestamp(us * 1000)
+OUT_COLS = [c.split()[0] for c in OUT_SCHEMA.split(", ")]
+STATE_COLS = ["status", "last_us", "seq", *ATTRS]
 
 
 def make_step(interval_us: int):
+    """Per-session step. Works on plain Python values (most groups hold one or
+    two events), builds one output frame per group."""
+
     def emit(out, sid, st, frm, to, kind):
         st["seq"] += 1
-        out.append({"session_id": sid, **{a: st[a] for a in ATTRS}, "sequence": st["seq"],
-                    "from_ts": _ts(frm), "to_ts": _ts(to), "kind": kind})
+        out["session_id"].append(sid)
+        for a in ATTRS:
+            out[a].append(st[a])
+        out["sequence"].append(st["seq"])
+        out["from_ts"].append(frm)
+        out["to_ts"].append(to)
+        out["kind"].append(kind)
 
     def ticks_until(out, sid, st, limit_us):
         while st["last_us"] + interval_us <= limit_us:
@@ -68,25 +73,29 @@ def make_step(interval_us: int):
 
     def step(key, pdfs: Iterator[pd.DataFrame], state: GroupState):
         sid = key[0]
-        out: list[dict] = []
         if sid == SENTINEL:
             for _ in pdfs:
                 pass
             return
-        st = dict(zip(["status", "last_us", "seq", *ATTRS], state.get)) if state.exists else None
+        out = {c: [] for c in OUT_COLS}
+        st = dict(zip(STATE_COLS, state.get)) if state.exists else None
         wm = state.getCurrentWatermarkMs() * 1000
         if state.hasTimedOut:
             if st is not None:
                 ticks_until(out, sid, st, wm)
         else:
-            frames = [p for p in pdfs]
-            rows = pd.concat(frames) if frames else pd.DataFrame(columns=["action", "ts"])
-            rows = rows.assign(__o=rows["action"].map(_ACTION_ORDER)).sort_values(["ts", "__o"])
-            for r in rows.itertuples(index=False):
-                t = _us(r.ts)
-                if r.action == "create" and st is None:
-                    st = {"status": "active", "last_us": t, "seq": 0, **{a: getattr(r, a) for a in ATTRS}}
-                elif r.action == "finish" and st is not None and st["status"] == "active":
+            events = []
+            for p in pdfs:
+                ts_us = (p["ts"].to_numpy(dtype="datetime64[us]").astype("int64")).tolist()
+                acts = p["action"].tolist()
+                attrs = {a: p[a].tolist() for a in ATTRS}
+                for i, (t, act) in enumerate(zip(ts_us, acts)):
+                    events.append((t, _ACTION_ORDER.get(act, 2), act, {a: attrs[a][i] for a in ATTRS}))
+            events.sort(key=lambda e: (e[0], e[1]))
+            for t, _, act, attrs in events:
+                if act == "create" and st is None:
+                    st = {"status": "active", "last_us": t, "seq": 0, **attrs}
+                elif act == "finish" and st is not None and st["status"] == "active":
                     ticks_until(out, sid, st, t)
                     emit(out, sid, st, st["last_us"], t, "final")
                     st["last_us"] = t
@@ -97,11 +106,13 @@ def make_step(interval_us: int):
             if state.exists:
                 state.remove()
         else:
-            state.update(tuple(st[c] for c in ["status", "last_us", "seq", *ATTRS]))
+            state.update(tuple(st[c] for c in STATE_COLS))
             # fire once the watermark reaches the next tick end
             state.setTimeoutTimestamp((st["last_us"] + interval_us) // 1000 - 1)
-        if out:
-            yield pd.DataFrame(out)[[c.split()[0] for c in OUT_SCHEMA.split(", ")]]
+        if out["sequence"]:
+            out["from_ts"] = np.array(out["from_ts"], dtype="datetime64[us]")
+            out["to_ts"] = np.array(out["to_ts"], dtype="datetime64[us]")
+            yield pd.DataFrame(out, columns=OUT_COLS)
 
     return step
 
