@@ -55,6 +55,25 @@ def init_store(store: SnapshotStore, sessions_df: DataFrame, outbox_df: DataFram
     return store.commit(tables, run_id)
 
 
+def create_run(store: SnapshotStore, requests: DataFrame, as_of, run_id: str | None = None):
+    """B1 + B3: build session rows from requests, check the table constraints
+    on the new table (ids unique, required columns set, enums allowed) and
+    append. Returns ``(version, violations)``; nothing is committed when the
+    new table would violate a constraint."""
+    from meterflow.operators.constraints import check_constraints
+    new = sessions.create_sessions(requests, as_of)
+    try:
+        current = store.read("usage_sessions")
+    except KeyError:
+        current = None
+    table = new if current is None else current.unionByName(new.join(current.select("id"), "id", "left_anti"))
+    violations = check_constraints(table, "usage_sessions")
+    if violations.limit(1).count() > 0:
+        return None, violations
+    return store.commit({"usage_sessions": (table, "snapshot")},
+                        run_id or f"create-{uuid.uuid4().hex[:8]}"), violations
+
+
 def scan_run(store: SnapshotStore, as_of, interval: str = S.SCAN_INTERVAL, run_id: str | None = None) -> int:
     sess = store.read("usage_sessions")
     existing = store.read("outbox_events", S.OUTBOX_EVENTS)
