@@ -41,21 +41,27 @@ class StageRoots:
 
 def run_stages(spark: SparkSession, outbox_dir: str, roots: StageRoots, clock=None,
                publisher_ledger: DataFrame | None = None, billing_ledger: DataFrame | None = None,
-               files_per_trigger: int = 2) -> None:
-    """Drain every stage once (``availableNow``), upstream first."""
+               files_per_trigger: int = 2, downstream_files_per_trigger: int | None = None) -> None:
+    """Drain every stage once (``availableNow``), upstream first. Downstream
+    stages take ``downstream_files_per_trigger`` topic files per micro-batch
+    (all available when None)."""
     src = spark.readStream.schema(S.OUTBOX_EVENTS).option("maxFilesPerTrigger", files_per_trigger) \
         .parquet(outbox_dir)
     spub.start_publish_stream(src, roots.publish, f"{roots.publish}/_chk", clock,
                               publisher_ledger).awaitTermination()
 
     chunk_topic = f"{roots.publish}/topic_usage_billing_chunks"
-    chunks = (spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
-              .option("maxFilesPerTrigger", files_per_trigger).parquet(chunk_topic)
+    r = spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
+    if downstream_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", downstream_files_per_trigger)
+    chunks = (r.parquet(chunk_topic)
               .withColumn("seq", F.coalesce(F.col("seq"), F.col("batch_id"))))
     sbill.start_billing_stream(chunks, sbill.BillingPaths(roots.billing), f"{roots.billing}/_chk", clock,
                                seed_ledger=billing_ledger).awaitTermination()
 
     processed_topic = sbill.BillingPaths(roots.billing).processed_topic
-    processed = (spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
-                 .option("maxFilesPerTrigger", files_per_trigger).parquet(processed_topic))
+    r = spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
+    if downstream_files_per_trigger:
+        r = r.option("maxFilesPerTrigger", downstream_files_per_trigger)
+    processed = r.parquet(processed_topic)
     san.start_analytics_stream(processed, roots.analytics, f"{roots.analytics}/_chk").awaitTermination()
