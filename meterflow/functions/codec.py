@@ -63,7 +63,11 @@ def decode_split(df: DataFrame, value_col: str, schema: T.StructType,
     """
     rename = rename or {}
     raw = F.col(value_col).cast("string")
-    parsed = df.withColumn("__d", _decode(raw, schema))
+    # Parse exactly once: the parsed struct comes out of a one-row generator,
+    # so a later filter on decoded fields (e.g. ``decode_error IS NULL``) stays
+    # above it instead of being pushed below with ``from_json`` inlined into
+    # the predicate (which would parse every message twice).
+    parsed = df.select("*", F.inline(F.array(F.struct(_decode(raw, schema).alias("__d")))))
     error = (F.when(F.col(value_col).isNull(), F.lit("null_value"))
               .when(F.trim(raw) == "", F.lit("empty_value"))
               .when(F.col("__d").isNull() | F.col(f"__d.{CORRUPT}").isNotNull(), F.lit("undecodable")))
