@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from meterflow.session import path_exists
+
 COMMITS = "_commits"
 COMMIT_SCHEMA = T.StructType([
     T.StructField("version", T.LongType(), False),
@@ -43,10 +45,10 @@ class SnapshotStore:
 
     # -- commit log ---------------------------------------------------------
     def _commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(COMMIT_SCHEMA).parquet(f"{self.root}/{COMMITS}")
-        except Exception:  # no commit yet
+        path = f"{self.root}/{COMMITS}"
+        if not path_exists(self.spark, path):
             return None
+        return self.spark.read.schema(COMMIT_SCHEMA).parquet(path)
 
     def _log(self) -> list:
         """Commit records (one small row per table per run; compacted logs

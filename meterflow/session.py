@@ -8,7 +8,6 @@ unset, which is the case in local tests.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -71,9 +70,17 @@ def new_run_dir(spark: SparkSession, name: str) -> str:
     return f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def local_path(path: str) -> str:
-    return path[len("file:"):] if path.startswith("file:") else path
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Existence check through the cluster's Hadoop file system (HDFS, S3A,
+    local), not the driver's local disk."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.exists(p))
 
 
-def exists(path: str) -> bool:
-    return os.path.exists(local_path(path))
+def read_parquet_or_empty(spark: SparkSession, path: str, schema: str):
+    """A table that may not have been written yet (first micro-batch)."""
+    if path_exists(spark, path):
+        return spark.read.parquet(path)
+    return spark.createDataFrame([], schema)

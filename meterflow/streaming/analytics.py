@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from meterflow.functions import codec
 from meterflow.operators import analytics
+from meterflow.session import read_parquet_or_empty
 from meterflow.sources import sinks
 
 
@@ -25,11 +26,8 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     good, bad = analytics.not_null_event(dec)
     sinks.write_batch(bad.select(F.col("value").cast("string").alias("value"), "decode_error"),
                       f"{root}/analytics_rejects", batch_id)
-    try:
-        exported = spark.read.parquet(f"{root}/analytics_export")
-        exported = exported.filter(F.col("batch_id") != batch_id).select("event_id")
-    except Exception:
-        exported = None
+    exported = read_parquet_or_empty(spark, f"{root}/analytics_export", "event_id string, batch_id bigint")
+    exported = exported.filter(F.col("batch_id") != batch_id).select("event_id")
     rows = analytics.export_rows(good, exported, ["seq"])
     sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
 

@@ -34,9 +34,9 @@ def j3(spark, d):
     c = f.chunk_deliveries
     topics.write_file_topic(sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
     paths = sbill.BillingPaths(run)
+    sbill.seed_ledger_table(f.processed_billing_events, paths)
     src = topics.read_chunks_stream(spark, topic, max_per_trigger=FILES_PER_TRIGGER)
-    q = sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF,
-                                   seed_ledger=f.processed_billing_events)
+    q = sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF)
     q.awaitTermination()
     return sbill.billed_events(spark, paths)
 
@@ -69,8 +69,8 @@ def j2(spark, d):
     f.outbox_with_payload().repartition(TOPIC_FILES).write.parquet(src_dir)
     src = (spark.readStream.schema(S.OUTBOX_EVENTS).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
            .parquet(src_dir))
-    q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF,
-                                  seed_ledger=f.processed_outbox_events)
+    sinks.write_batch(f.processed_outbox_events, f"{run}/processed_outbox_events", -1)
+    q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF)
     q.awaitTermination()
     t = spark.read.parquet(f"{run}/topic_usage_billing_chunks")
     dec = codec.decode_chunks(t, "value")
