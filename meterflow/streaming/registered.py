@@ -114,3 +114,43 @@ def j9(spark, d):
     r = spark.read.parquet(f"{run}/chunks")
     return r.select("event_id", "session_id", "sequence", "from_ts", "to_ts", "organization_id", "cpu", "kind")
 
+
+
+@query("a11_write_billing_payloads", f"""
+, e4 AS ({E4_SQL})
+SELECT concat(session_id, ':', CAST(sequence AS VARCHAR)) AS transaction_id, organization_id AS customer_id,
+       'usage_billing_chunk' AS event_type, to_ts AS timestamp, date_diff('microsecond', from_ts, to_ts) / 3.6e9 AS p_duration_hours,
+       cpu AS p_cpu, sandbox_id AS p_sandbox_id
+FROM e4""")
+def a11(spark, d):
+    """All chunk deliveries as one billing batch into a fresh vendor table
+    (A11); the table holds each transaction id once."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "a11")
+    paths = sbill.BillingPaths(run)
+    sbill.seed_ledger_table(f.processed_billing_events, paths)
+    c = f.chunk_deliveries
+    batch = sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq")
+    sbill.billing_batch(batch, 0, paths, clock=AS_OF)
+    v = spark.read.parquet(paths.vendor)
+    return v.select("transaction_id", "customer_id", "event_type", "timestamp", "p_duration_hours", "p_cpu",
+                    "p_sandbox_id")
+
+
+@query("b3_append_sessions", """
+SELECT session_id AS id, sandbox_id, organization_id, ts AS start_at, 'SESSION_ACTIVE' AS status, CAST(0 AS BIGINT) AS billing_sequence,
+       coalesce(cpu, 2.0) AS cpu, coalesce(gpu, 0.0) AS gpu
+FROM session_lifecycle WHERE action = 'create'""")
+def b3(spark, d):
+    """Create sessions from every lifecycle create request into a fresh store
+    (constraint-checked append) and read the committed table back."""
+    from meterflow.plans import runs
+    from meterflow.plans.store import SnapshotStore
+    f = Fixtures(spark, d)
+    store = SnapshotStore(spark, new_run_dir(spark, "b3"))
+    req = (f.session_lifecycle.filter(F.col("action") == "create")
+           .select(F.col("session_id").alias("id"), "sandbox_id", "organization_id", F.col("ts").alias("start_at"),
+                   "cpu", "gpu", "ram_gb", "disk_gb", "region", "sandbox_class"))
+    runs.create_run(store, req, AS_OF)
+    return store.read("usage_sessions").select("id", "sandbox_id", "organization_id", "start_at", "status",
+                                               "billing_sequence", "cpu", "gpu")

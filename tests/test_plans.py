@@ -61,3 +61,18 @@ def test_publish_split_single_ledger_join(fx_small):
     split = outbox.publish_split(leased, led)
     inputs = plan(leased).count("Join") + plan(led).count("Join")
     assert plan(split).count("Join") - inputs == 1
+
+
+def test_no_cross_products_in_any_registered_batch_query(spark):
+    """No query plans a cartesian product or nested-loop join; windows only
+    where the operator is a per-session counter by definition (H1)."""
+    import __spark_entry__ as E
+    streaming = {"j2_publish_stream", "j3_billing_stream", "j4_analytics_stream", "j9_session_state_machine"}
+    windows_ok = {"h1_next_sequence"}
+    for key, fn in sorted(E.queries().items()):
+        if key in streaming:
+            continue
+        p = plan(fn(spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, key
+        if key not in windows_ok:
+            assert "Window" not in p, key
