@@ -39,16 +39,38 @@ def read_ledger(source, kind: str = "billing", spark=None, exclude_batch: int |
 
 
 def ledger_rows(events: DataFrame, as_of, kind: str = "billing") -> DataFrame:
-    """Processed events -> ledger rows (surrogate id from the event id)."""
+    """Processed events -> ledger rows (surrogate id from the event id).
+
+    When the chunk's ``from_ts`` is known, ``chunk_date`` is kept too: every
+    delivery of one event, and every event of one transaction id, shares its
+    ``from_ts``, so lookups can be limited to the dates a batch contains
+    (``date_pruned``)."""
     now = X.as_ts(as_of)
     cols = [X.stable_id(F.col("event_id")).alias("id"), "event_id", "session_id", "sequence"]
     if kind == "billing":
         cols.append(X.transaction_id().alias("transaction_id") if "transaction_id" not in events.columns
                     else F.col("transaction_id"))
     cols.append(now.alias("processed_at"))
+    if "from_ts" in events.columns:
+        cols.append(F.to_date("from_ts").alias("chunk_date"))
     return events.select(*cols)
 
 
+def batch_dates(batch: DataFrame, ts_col: str = "from_ts") -> list:
+    """Distinct chunk dates of a (bounded) micro-batch: at most one value per
+    calendar day in the batch, so a tiny list on the driver."""
+    return [r[0] for r in batch.select(F.to_date(ts_col).alias("d")).distinct().collect()]
+
+
+def date_pruned(table: DataFrame, dates: list, date_col: str = "chunk_date") -> DataFrame:
+    """Only the rows of ``dates`` (plus rows stored without a date). The
+    predicate is pushed into the Parquet scan; files are written sorted by the
+    date, so row groups outside the batch's dates are skipped."""
+    if date_col not in table.columns:
+        return table
+    return table.filter(F.col(date_col).isin(dates) | F.col(date_col).isNull())
+
+
 def ledger_hits(keys: DataFrame, ledger: DataFrame, key: str = "event_id",
                 batch_rows_bound: int | None = None) -> DataFrame:
     """Ledger keys that occur in ``keys``.

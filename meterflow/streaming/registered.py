@@ -19,6 +19,12 @@ from meterflow.streaming import topics
 from meterflow.streaming.state_machine import SENTINEL, session_state_machine
 
 TOPIC_FILES = 8
+
+
+def _dated_billing_ledger(f: Fixtures):
+    """The fixture billing ledger with each row's chunk date (from its chunk)."""
+    return f.processed_billing_events.join(
+        f.first_deliveries.select("event_id", F.to_date("from_ts").alias("chunk_date")), "event_id")
 FILES_PER_TRIGGER = 2
 
 
@@ -34,7 +40,7 @@ def j3(spark, d):
     c = f.chunk_deliveries
     topics.write_file_topic(sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
     paths = sbill.BillingPaths(run)
-    sbill.seed_ledger_table(f.processed_billing_events, paths)
+    sbill.seed_ledger_table(_dated_billing_ledger(f), paths)
     src = topics.read_chunks_stream(spark, topic, max_per_trigger=FILES_PER_TRIGGER)
     q = sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF)
     q.awaitTermination()
@@ -128,7 +134,7 @@ def a11(spark, d):
     f = Fixtures(spark, d)
     run = new_run_dir(spark, "a11")
     paths = sbill.BillingPaths(run)
-    sbill.seed_ledger_table(f.processed_billing_events, paths)
+    sbill.seed_ledger_table(_dated_billing_ledger(f), paths)
     c = f.chunk_deliveries
     batch = sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq")
     sbill.billing_batch(batch, 0, paths, clock=AS_OF)
