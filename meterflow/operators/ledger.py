@@ -51,7 +51,9 @@ def ledger_rows(events: DataFrame, as_of, kind: str = "billing") -> DataFrame:
         cols.append(X.transaction_id().alias("transaction_id") if "transaction_id" not in events.columns
                     else F.col("transaction_id"))
     cols.append(now.alias("processed_at"))
-    if "from_ts" in events.columns:
+    if "chunk_date" in events.columns:
+        cols.append(F.col("chunk_date"))
+    elif "from_ts" in events.columns:
         cols.append(F.to_date("from_ts").alias("chunk_date"))
     return events.select(*cols)
 

@@ -75,7 +75,8 @@ def j2(spark, d):
     f.outbox_with_payload().repartition(TOPIC_FILES).write.parquet(src_dir)
     src = (spark.readStream.schema(S.OUTBOX_EVENTS).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
            .parquet(src_dir))
-    sinks.write_batch(f.processed_outbox_events, f"{run}/processed_outbox_events", -1)
+    sinks.write_batch(f.processed_outbox_events.withColumn("chunk_date", F.lit(None).cast("date")),
+                      f"{run}/processed_outbox_events", -1)
     q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF)
     q.awaitTermination()
     t = spark.read.parquet(f"{run}/topic_usage_billing_chunks")
