@@ -50,8 +50,15 @@ STABLE_ID = "CAST(('0x' || substr(sha256({x}), 1, 15)) AS BIGINT)"
 CHUNK_SELECT = ("event_id, session_id, sandbox_id, organization_id, sequence, from_ts, to_ts, "
                 "cpu, gpu, ram_gb, disk_gb, region, region_type, sandbox_class")
 OUTBOX_NO_PAYLOAD = "id, event_id, event_type, session_id, sequence, created_at, published_at, retry_count, last_error"
-INVALID_CASE = ("CASE WHEN coalesce(event_id,'') = '' OR coalesce(session_id,'') = '' OR coalesce(sandbox_id,'') = '' "
-                "THEN 'required_fields' WHEN NOT coalesce(to_ts > from_ts, false) THEN 'time_range' END")
+def invalid_case(t: str = "") -> str:
+    """C7 rule in SQL over the chunk columns of alias ``t`` (none when empty)."""
+    p = f"{t}." if t else ""
+    return (f"CASE WHEN coalesce({p}event_id,'') = '' OR coalesce({p}session_id,'') = '' "
+            f"OR coalesce({p}sandbox_id,'') = '' THEN 'required_fields' "
+            f"WHEN NOT coalesce({p}to_ts > {p}from_ts, false) THEN 'time_range' END")
+
+
+INVALID_CASE = invalid_case()
 FIRST = "(SELECT * FROM chunk_deliveries WHERE delivery_no = 1)"
 
 
@@ -294,10 +301,10 @@ SPLIT_SQL = f"""
 , split AS (
   SELECT o.id, o.event_id, o.session_id, o.sequence,
          CASE WHEN EXISTS (SELECT 1 FROM processed_outbox_events p WHERE p.event_id = o.event_id) THEN 'already'
-              WHEN {INVALID_CASE.replace('event_id', 'c.event_id').replace('session_id', 'c.session_id').replace('sandbox_id', 'c.sandbox_id').replace('to_ts', 'c.to_ts').replace('from_ts', 'c.from_ts')} IS NOT NULL THEN 'invalid'
+              WHEN {invalid_case('c')} IS NOT NULL THEN 'invalid'
               ELSE 'publish' END AS outcome,
          CASE WHEN EXISTS (SELECT 1 FROM processed_outbox_events p WHERE p.event_id = o.event_id) THEN NULL
-              ELSE {INVALID_CASE.replace('event_id', 'c.event_id').replace('session_id', 'c.session_id').replace('sandbox_id', 'c.sandbox_id').replace('to_ts', 'c.to_ts').replace('from_ts', 'c.from_ts')} END AS detail
+              ELSE {invalid_case('c')} END AS detail
   FROM outbox_events o JOIN {FIRST} c ON c.event_id = o.event_id
   WHERE o.published_at IS NULL AND o.event_type = 'billing_chunk_created')
 """
@@ -336,9 +343,9 @@ def c2(spark, d):
 
 
 @query("c3_scan_and_chunk", f"""
-SELECT *, coalesce(last_billed_at, start_at) AS payload_from, least({A}, end_at) AS payload_to FROM (
+SELECT {OUTBOX_NO_PAYLOAD}, coalesce(last_billed_at, start_at) AS payload_from, least({A}, end_at) AS payload_to FROM (
   SELECT o.*, s.last_billed_at, s.start_at, s.end_at FROM ({SCAN_OUTBOX_SQL}) o JOIN usage_sessions s ON s.id = o.session_id)
-""".replace("SELECT *, coalesce", "SELECT id, event_id, event_type, session_id, sequence, created_at, published_at, retry_count, last_error, coalesce"))
+""")
 def c3(spark, d):
     rows, _, _ = _scan(spark, d)
     dec = codec.decode_chunks(rows, "payload")
