@@ -22,19 +22,21 @@ from meterflow.sources import sinks
 
 def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
-    dec = codec.decode_processed(batch, "value")
-    good, bad = analytics.not_null_event(dec)
-    sinks.write_batch(bad.select(F.col("value").cast("string").alias("value"), "decode_error"),
-                      f"{root}/analytics_rejects", batch_id)
-    # duplicates of a processed event share processed_at, so only the export
-    # dates present in this batch can hold one (pushed into the Parquet scan)
-    dates = [r[0] for r in good.select(F.to_date("processed_at")).distinct().collect()]
-    exported = read_parquet_or_empty(spark, f"{root}/analytics_export",
-                                     "event_id string, export_date date, batch_id bigint")
-    exported = exported.filter((F.col("batch_id") != batch_id) & F.col("export_date").isin(dates))
-    exported = exported.select("event_id")
-    rows = analytics.export_rows(good, exported, ["seq"])
-    sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
+    dec = codec.decode_processed(batch, "value").persist()
+    try:
+        good, bad = analytics.not_null_event(dec)
+        sinks.write_batch(bad.select(F.col("value").cast("string").alias("value"), "decode_error"),
+                          f"{root}/analytics_rejects", batch_id)
+        # duplicates of a processed event share processed_at, so only the
+        # export dates present in this batch can hold one (pushed into the scan)
+        dates = [r[0] for r in good.select(F.to_date("processed_at")).distinct().collect()]
+        exported = read_parquet_or_empty(spark, f"{root}/analytics_export",
+                                         "event_id string, export_date date, batch_id bigint")
+        exported = exported.filter((F.col("batch_id") != batch_id) & F.col("export_date").isin(dates))
+        rows = analytics.export_rows(good, exported.select("event_id"), ["seq"])
+        sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
+    finally:
+        dec.unpersist()
 
 
 def start_analytics_stream(source: DataFrame, root: str, checkpoint: str, available_now: bool = True):
