@@ -64,27 +64,25 @@ def batch_dates(batch: DataFrame, ts_col: str = "from_ts") -> list:
     return [r[0] for r in batch.select(F.to_date(ts_col).alias("d")).distinct().collect()]
 
 
+# Up to this many distinct dates a lookup filters on the exact list; beyond it
+# on the [min, max] range (cheaper to evaluate, still pushed into the scan).
+DATE_LIST_MAX = 64
+
+
 def date_pruned(table: DataFrame, dates: list, date_col: str = "chunk_date") -> DataFrame:
     """Only the rows of ``dates`` (plus rows stored without a date). The
     predicate is pushed into the Parquet scan; files are written sorted by the
     date, so row groups outside the batch's dates are skipped."""
     if date_col not in table.columns:
         return table
-    return table.filter(F.col(date_col).isin(dates) | F.col(date_col).isNull())
-
-
-def ledger_hits(keys: DataFrame, ledger: DataFrame, key: str = "event_id",
-                batch_rows_bound: int | None = None) -> DataFrame:
-    """Ledger keys that occur in ``keys``.
-
-    ``batch_rows_bound`` is the caller's proven upper bound of the batch size
-    (e.g. ``maxFilesPerTrigger`` x rows per file). Only below the limit are the
-    keys broadcast; past it a shuffled semi join is planned.
-    """
-    k = keys.select(key).distinct()
-    if batch_rows_bound is not None and batch_rows_bound <= BROADCAST_KEYS_MAX_ROWS:
-        k = F.broadcast(k)
-    return ledger.select(key).join(k, key, "left_semi").distinct()
+    c = F.col(date_col)
+    if not dates:
+        return table.filter(c.isNull())
+    if len(dates) <= DATE_LIST_MAX:
+        keep = c.isin(dates)
+    else:
+        keep = c.between(F.lit(min(dates)), F.lit(max(dates)))
+    return table.filter(keep | c.isNull())
 
 
 def already_processed(df: DataFrame, ledger: DataFrame, key: str = "event_id") -> DataFrame:

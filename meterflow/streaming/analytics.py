@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.functions import codec
-from meterflow.operators import analytics
+from meterflow.operators import analytics, ledger
 from meterflow.session import read_parquet_or_empty
 from meterflow.sources import sinks
 
@@ -29,10 +29,10 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
                           f"{root}/analytics_rejects", batch_id)
         # duplicates of a processed event share processed_at, so only the
         # export dates present in this batch can hold one (pushed into the scan)
-        dates = [r[0] for r in good.select(F.to_date("processed_at")).distinct().collect()]
+        dates = ledger.batch_dates(good, "processed_at")
         exported = read_parquet_or_empty(spark, f"{root}/analytics_export",
                                          "event_id string, export_date date, batch_id bigint")
-        exported = exported.filter((F.col("batch_id") != batch_id) & F.col("export_date").isin(dates))
+        exported = ledger.date_pruned(exported.filter(F.col("batch_id") != batch_id), dates, "export_date")
         rows = analytics.export_rows(good, exported.select("event_id"), ["seq"])
         sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
     finally:
