@@ -61,7 +61,8 @@ def ledger_rows(events: DataFrame, as_of, kind: str = "billing") -> DataFrame:
 def batch_dates(batch: DataFrame, ts_col: str = "from_ts") -> list:
     """Distinct chunk dates of a (bounded) micro-batch: at most one value per
     calendar day in the batch, so a tiny list on the driver."""
-    return [r[0] for r in batch.select(F.to_date(ts_col).alias("d")).distinct().collect()]
+    rows = batch.select(F.to_date(ts_col).alias("d")).distinct().collect()
+    return sorted(r[0] for r in rows if r[0] is not None)
 
 
 # Up to this many distinct dates a lookup filters on the exact list; beyond it

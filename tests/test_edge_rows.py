@@ -217,3 +217,32 @@ def test_sequence_gaps_audit(spark):
     ], "session_id string, sequence bigint, from_ts timestamp_ntz, to_ts timestamp_ntz, event_id string")
     issues = sorted((r.sequence, r.issue) for r in chunks.sequence_gaps(df).collect())
     assert issues == [(3, "gap"), (5, "duplicate_sequence"), (5, "missing_previous"), (5, "missing_previous")]
+
+
+def test_hot_key_is_reduced_not_collected(spark):
+    """One event delivered 100,000 times (a third of the batch) dedupes to one
+    row through the partial aggregate; a 200,000-slice backlog expands in
+    bounded blocks."""
+    from meterflow.operators.common import explode_count
+    base = spark.range(300_000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("e"), F.col("id").cast("string")))
+         .alias("event_id"),
+        (F.lit(1_000_000) - F.col("id")).alias("seq"), F.lit("s").alias("session_id"))
+    first = ledger.dedupe_by_event_id(base, None, ["seq"])
+    hot = first.filter(F.col("event_id") == "hot").collect()
+    assert len(hot) == 1 and hot[0].seq == 1_000_000 - 299_997
+    assert first.count() == 200_001
+    big = explode_count(spark.createDataFrame([(200_000,)], "n bigint"), "n", "k")
+    agg = big.agg(F.count(F.lit(1)).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi")).collect()[0]
+    assert (agg.c, agg.lo, agg.hi) == (200_000, 1, 200_000)
+
+
+def test_batch_dates_skip_missing_and_range_filter(spark):
+    df = spark.createDataFrame([(AS_OF,), (None,), (AS_OF + dt.timedelta(days=2),)], "from_ts timestamp_ntz")
+    dates = ledger.batch_dates(df)
+    assert dates == [AS_OF.date(), (AS_OF + dt.timedelta(days=2)).date()]
+    table = spark.createDataFrame([(AS_OF.date(),), ((AS_OF + dt.timedelta(days=1)).date(),),
+                                   ((AS_OF + dt.timedelta(days=9)).date(),), (None,)], "chunk_date date")
+    assert table.transform(lambda t: ledger.date_pruned(t, dates)).count() == 2   # exact list + null
+    many = [AS_OF.date() + dt.timedelta(days=i) for i in range(0, 130, 2)]   # over the list limit: range
+    assert table.transform(lambda t: ledger.date_pruned(t, many)).count() == 4
