@@ -167,3 +167,13 @@ def test_sharded_write_layout(spark, fx_small):
     assert back.count() == p.count()
     assert set(back.columns) >= {"org_bucket", "shard_region", "shard_date"}
     assert back.filter(F.col("org_bucket") == 0).count() == df.filter(F.col("org_bucket") == 0).count()
+
+
+def test_batch_stats_add_up(spark, clean_run):
+    _, topic, paths = clean_run
+    st = sbill.batch_stats(spark, paths)
+    tot = st.agg(*[F.sum(c).alias(c) for c in ("deliveries", "rejected", "billed", "duplicates", "vendor_sends")]).collect()[0]
+    assert tot.deliveries == spark.read.parquet(topic).count()   # every delivery read, replays included
+    assert tot.billed == spark.read.parquet(paths.ledger).count()
+    assert tot.deliveries == tot.rejected + tot.billed + tot.duplicates
+    assert tot.vendor_sends == spark.read.parquet(paths.vendor).count()
