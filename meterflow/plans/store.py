@@ -7,12 +7,14 @@ resolve a table through the commit log, so a run that dies half-way leaves
 unreferenced folders and no visible change; a re-run with the same
 deterministic ids writes the same content.
 
-Two table kinds:
+Table kinds:
 * ``snapshot`` -- the version folder holds the whole table (mutable tables
   such as ``usage_sessions``);
 * ``append``   -- the version folder holds only the rows added by that run
   (ledgers, outbox rows, mark logs); the table is the union of committed
-  versions, read with partition pruning on ``v``.
+  versions, read with partition pruning on ``v``;
+* ``base``     -- a compaction of an append table: readers start at the latest
+  base and add the appends committed after it.
 
 One writer per store is assumed (the run that owns the tables); concurrent
 writers would need an external version allocator.
@@ -59,19 +61,23 @@ class SnapshotStore:
         rows = self._log()
         return max((r.version for r in rows), default=0)
 
+    def entries(self, table: str) -> list[tuple[int, str]]:
+        """(version, kind) of every committed write of ``table``, in order."""
+        return sorted((r.version, r.kind) for r in self._log() if r.table_name == table)
+
     def versions(self, table: str) -> list[int]:
-        return sorted({r.version for r in self._log() if r.table_name == table})
+        return [v for v, _ in self.entries(table)]
 
     def kind(self, table: str) -> str | None:
-        kinds = [r.kind for r in self._log() if r.table_name == table]
-        return kinds[-1] if kinds else None
+        e = self.entries(table)
+        return e[-1][1] if e else None
 
     # -- write ----------------------------------------------------------------
     def commit(self, tables: dict[str, tuple[DataFrame, str]], run_id: str) -> int:
         """Write every table version, then append the commit records last."""
         version = self.latest_version() + 1
         for name, (df, kind) in tables.items():
-            assert kind in ("snapshot", "append"), kind
+            assert kind in ("snapshot", "append", "base"), kind
             df.write.mode("overwrite").parquet(f"{self.root}/{name}/v={version}")
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
         rows = [(version, name, kind, run_id, now) for name, (_, kind) in tables.items()]
@@ -79,15 +85,27 @@ class SnapshotStore:
             .write.mode("append").parquet(f"{self.root}/{COMMITS}")
         return version
 
+    def compact(self, table: str, sort_cols: tuple[str, ...] = (), run_id: str = "compact") -> int:
+        """Fold an append table's versions into one ``base`` version (fewer,
+        larger files; optionally sorted for min/max pruning). Readers start at
+        the latest base; superseded folders are no longer read and can be
+        removed by a retention job. Nothing is deleted here."""
+        df = self.read(table)
+        if sort_cols:
+            df = df.sortWithinPartitions(*sort_cols)
+        return self.commit({table: (df, "base")}, run_id)
+
     # -- read -----------------------------------------------------------------
     def read(self, table: str, schema: T.StructType | None = None) -> DataFrame:
-        vs = self.versions(table)
-        if not vs:
+        entries = self.entries(table)
+        if not entries:
             if schema is None:
                 raise KeyError(f"table {table} has no committed version")
             return self.spark.createDataFrame([], schema)
-        if self.kind(table) == "snapshot":
-            return self.spark.read.parquet(f"{self.root}/{table}/v={vs[-1]}")
+        if entries[-1][1] == "snapshot":
+            return self.spark.read.parquet(f"{self.root}/{table}/v={entries[-1][0]}")
+        base = max((v for v, k in entries if k == "base"), default=None)
+        vs = [v for v, _ in entries if base is None or v >= base]
         df = self.spark.read.option("basePath", f"{self.root}/{table}").parquet(
             *[f"{self.root}/{table}/v={v}" for v in vs])
         return df.drop("v")
