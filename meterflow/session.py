@@ -84,3 +84,29 @@ def read_parquet_or_empty(spark: SparkSession, path: str, schema: str):
     if path_exists(spark, path):
         return spark.read.parquet(path)
     return spark.createDataFrame([], schema)
+
+
+def scale_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict:
+    """Settings for a cluster run, derived from the input size and the cores.
+
+    * shuffle partitions: enough that a partition stays near
+      ``target_partition_bytes`` (so it fits an executor without spilling
+      much), never fewer than 2 per core; AQE coalesces the small ones;
+    * file splits of the same target size;
+    * AQE skew splitting on, with a skew threshold of the target size;
+    * RocksDB state store for the keyed session state machine (state off-heap,
+      changelog checkpoints).
+    """
+    parts = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * target_partition_bytes),
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    }

@@ -76,3 +76,12 @@ def test_no_cross_products_in_any_registered_batch_query(spark):
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, key
         if key not in windows_ok:
             assert "Window" not in p, key
+
+
+def test_scale_conf_sizes_partitions():
+    from meterflow.session import scale_conf
+    small = scale_conf(10 << 20, 8)
+    assert small["spark.sql.shuffle.partitions"] == "16"
+    big = scale_conf(100 << 40, 8000)
+    assert int(big["spark.sql.shuffle.partitions"]) == 819200
+    assert big["spark.sql.adaptive.skewJoin.enabled"] == "true"
