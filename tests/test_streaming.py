@@ -117,7 +117,8 @@ def test_publish_stream_is_idempotent_per_batch(spark, fx_small):
     assert topic.count() == led.count()
 
 
-def test_state_machine_ticks_and_final(spark):
+@pytest.mark.parametrize("engine", ["processor", "group_state"])
+def test_state_machine_ticks_and_final(spark, engine):
     day = dt.timedelta(days=1)
     t0 = dt.datetime(2024, 1, 1)
     attrs = ("sb", "org", 2.0, 0.0, 4.0, 20.0, "us-east-1", "container")
@@ -131,7 +132,7 @@ def test_state_machine_ticks_and_final(spark):
     run = new_run_dir(spark, "t-j9")
     ev.write.parquet(f"{run}/in")
     src = spark.readStream.schema(ev.schema).parquet(f"{run}/in")
-    out = session_state_machine(src, "10 days")
+    out = session_state_machine(src, "10 days", engine=engine)
     q = (out.writeStream.format("parquet").option("path", f"{run}/out")
          .option("checkpointLocation", f"{run}/_chk").trigger(availableNow=True).start())
     q.awaitTermination()
