@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.functions import codec
 from meterflow.functions import expressions as X
 from meterflow.operators.common import first_by_order
 
@@ -34,10 +33,6 @@ def export_rows(decoded: DataFrame, exported: DataFrame | None = None,
     return first.select(*EXPORT_COLUMNS).withColumn("export_date", F.to_date("processed_at"))
 
 
-def decode_processed_topic(records: DataFrame, value_col: str = "value") -> DataFrame:
-    return codec.decode_processed(records, value_col)
-
-
 def event_volume(events: DataFrame, ts_col: str = "ts", type_col: str = "event_type") -> DataFrame:
     """L4: events per day and type, with the average rate per second."""
     return (events.groupBy(F.to_date(ts_col).alias("day"), F.col(type_col).alias("event_type"))
