@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from meterflow.functions import codec
 from meterflow.operators import analytics, ledger
-from meterflow.session import read_parquet_or_empty
 from meterflow.sources import sinks
+from meterflow.streaming import compaction
 
 
 def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
@@ -30,8 +30,8 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         # duplicates of a processed event share processed_at, so only the
         # export dates present in this batch can hold one (pushed into the scan)
         dates = ledger.batch_dates(good, "processed_at")
-        exported = read_parquet_or_empty(spark, f"{root}/analytics_export",
-                                         "event_id string, export_date date, batch_id bigint")
+        exported = compaction.visible(spark, f"{root}/analytics_export",
+                                      "event_id string, export_date date, batch_id bigint")
         exported = ledger.date_pruned(exported.filter(F.col("batch_id") != batch_id), dates, "export_date")
         rows = analytics.export_rows(good, exported.select("event_id"), ["seq"])
         sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
@@ -62,4 +62,5 @@ def start_analytics_stream_watermarked(source: DataFrame, root: str, checkpoint:
 
 
 def exported(spark, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/analytics_export").select(*analytics.EXPORT_COLUMNS, "export_date")
+    t = compaction.visible(spark, f"{root}/analytics_export", "event_id string, export_date date, batch_id bigint")
+    return t.select(*analytics.EXPORT_COLUMNS, "export_date")
