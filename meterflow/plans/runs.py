@@ -118,3 +118,13 @@ def publish_run(store: SnapshotStore, topic_dir: str, as_of, limit: int | None =
         F.when(F.col("outcome") == "invalid", F.col("detail")).alias("last_error"))
     return store.commit({"processed_outbox_events": (new_ledger, "append"),
                          "outbox_marks": (marks, "append")}, run_id or f"publish-{uuid.uuid4().hex[:8]}")
+
+
+def compact_outbox(store: SnapshotStore, run_id: str = "compact-outbox") -> int:
+    """Fold the published/failure marks into a new outbox base and start an
+    empty mark log, in one commit. ``current_outbox`` then joins only the marks
+    written since; the rows are sorted unpublished-first (nulls first) so the
+    lease scan's filter skips published row groups."""
+    folded = current_outbox(store).sortWithinPartitions(F.col("published_at").asc_nulls_first(), "created_at")
+    empty_marks = store.spark.createDataFrame([], MARKS_SCHEMA)
+    return store.commit({"outbox_events": (folded, "base"), "outbox_marks": (empty_marks, "base")}, run_id)

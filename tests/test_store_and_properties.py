@@ -131,3 +131,15 @@ def test_compaction_keeps_rows_and_reads_from_base(spark, fx_small):
     after = [r.event_id for r in store.read("outbox_events").select("event_id").collect()]
     assert len(after) == len(set(after)) == len(before) + later
     assert [k for _, k in store.entries("outbox_events")].count("base") == 1
+
+
+def test_compact_outbox_folds_marks(spark, fx_small):
+    store = SnapshotStore(spark, new_run_dir(spark, "t-compact-outbox"))
+    runs.init_store(store, fx_small.usage_sessions)
+    runs.scan_run(store, AS_OF)
+    runs.publish_run(store, new_run_dir(spark, "t-co-topic"), AS_OF)
+    before = sorted(tuple(r) for r in runs.current_outbox(store).collect())
+    runs.compact_outbox(store)
+    assert store.read("outbox_marks").count() == 0
+    assert sorted(tuple(r) for r in runs.current_outbox(store).collect()) == before
+    assert runs.current_outbox(store).filter(F.col("published_at").isNull()).count() == 0
