@@ -100,17 +100,20 @@ def publish_run(store: SnapshotStore, topic_dir: str, as_of, limit: int | None =
     ob = current_outbox(store)
     leased = outbox.lease_batch(ob, limit) if limit else outbox.unpublished_events(ob)
     try:
-        led = store.read("processed_outbox_events")
+        # a re-leased row keeps its created_at: only those dates can match
+        led = ledger.date_pruned(store.read("processed_outbox_events"),
+                                 ledger.batch_dates(leased, "created_at"))
     except KeyError:
-        led = ob.limit(0).select("event_id", "session_id", "sequence",
-                                 F.lit(None).cast("timestamp_ntz").alias("processed_at"))
+        led = ob.limit(0).select("event_id")
     split = outbox.publish_split(leased, led)
     pub = split.filter(F.col("outcome") == "publish")
     version = store.latest_version() + 1
     sinks.write_topic(sinks.chunk_records(pub), topic_dir, S.TOPIC_CHUNKS, batch_id=version)
     new_ledger = ledger.ledger_rows(pub.select(F.col("outbox_event_id").alias("event_id"),
                                                F.col("outbox_session_id").alias("session_id"),
-                                               F.col("outbox_sequence").alias("sequence")), as_of, "outbox")
+                                               F.col("outbox_sequence").alias("sequence"),
+                                               F.to_date("created_at").alias("chunk_date")), as_of, "outbox")
+    new_ledger = new_ledger.sortWithinPartitions("chunk_date", "event_id")
     marks = split.select(
         "id",
         F.when(F.col("outcome").isin("already", "publish"), X.as_ts(as_of)).alias("published_at"),
