@@ -106,20 +106,42 @@ def chunk_backfill(sessions: DataFrame, as_of, interval: str = "90 days") -> Dat
 
 def next_sequence(candidates: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """H1: gapless per-session counter when one run yields several chunks:
-    ``billing_sequence + row_number()`` over the session ordered by ``from_ts``.
-
-    ``candidates`` has session_id, from_ts (and any other columns); ``base``
-    gives the session's current ``billing_sequence`` (``id``), 0 when absent.
+    ``billing_sequence`` + the chunk's rank in its session ordered by
+    ``(from_ts, to_ts)``.
+
+    ``candidates`` has session_id, from_ts, to_ts (and any other columns);
+    ``base`` gives the session's current ``billing_sequence`` (``id``), 0 when
+    absent.
+
+    A window ``row_number`` per session would put a hot session in one task.
+    Instead the rows are globally sorted (range partitioning splits a hot
+    session over several partitions by time) and numbered in that order; the
+    numbered rows are checkpointed (reliable, under the shared checkpoint dir)
+    so every consumer sees the same numbers. A rank is then the row's number
+    minus the session's first number in its partition, plus the session's
+    rows in earlier partitions. The only window runs over one row per
+    (partition, session), so its groups are bounded by the partition count.
     """
-    w = Window.partitionBy("session_id").orderBy("from_ts", "to_ts")
-    df = candidates
+    from meterflow.session import work_root
+
+    work_root(candidates.sparkSession)   # make sure a checkpoint dir is set
+    numbered = (candidates.orderBy("session_id", "from_ts", "to_ts")
+                          .withColumn("__row", F.monotonically_increasing_id())
+                          .checkpoint(eager=True))
+    pid = F.shiftright(F.col("__row"), 33)
+    spans = (numbered.groupBy(pid.alias("__pid"), "session_id")
+                     .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")))
+    earlier = Window.partitionBy("session_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    spans = spans.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
+    df = numbered.withColumn("__pid", pid).join(spans.drop("__n"), ["__pid", "session_id"])
     if base is not None:
         df = df.join(base.select(F.col("id").alias("session_id"),
                                  F.col("billing_sequence").alias("__base")), "session_id", "left")
     else:
         df = df.withColumn("__base", F.lit(0).cast("bigint"))
-    return (df.withColumn("sequence", F.coalesce(F.col("__base"), F.lit(0)) + F.row_number().over(w))
-              .drop("__base"))
+    rank = F.col("__before") + (F.col("__row") - F.col("__first")) + 1
+    return (df.withColumn("sequence", (F.coalesce(F.col("__base"), F.lit(0)) + rank).cast("bigint"))
+              .drop("__base", "__pid", "__row", "__first", "__before"))
 
 
 def sequence_gaps(chunks: DataFrame) -> DataFrame:

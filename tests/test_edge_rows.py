@@ -246,3 +246,22 @@ def test_batch_dates_skip_missing_and_range_filter(spark):
     assert table.transform(lambda t: ledger.date_pruned(t, dates)).count() == 2   # exact list + null
     many = [AS_OF.date() + dt.timedelta(days=i) for i in range(0, 130, 2)]   # over the list limit: range
     assert table.transform(lambda t: ledger.date_pruned(t, many)).count() == 4
+
+
+def test_next_sequence_hot_session_is_exact(spark):
+    """One session with 60,000 candidate slices next to 300 small ones: ranks
+    are exactly 1..n per session, in time order, on top of the base."""
+    hot = spark.range(60_000).select(F.lit("hot").alias("session_id"),
+                                     (F.lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
+    small = spark.range(900).select(F.concat(F.lit("s"), (F.col("id") % 300).cast("string")).alias("session_id"),
+                                    (F.lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
+    cand = hot.unionByName(small).withColumn("to_ts", F.col("from_ts") + F.expr("INTERVAL 1 HOUR"))
+    base = spark.createDataFrame([("hot", 7)], "id string, billing_sequence bigint")
+    out = chunks.next_sequence(cand, base)
+    per = {r.session_id: r for r in out.groupBy("session_id").agg(
+        F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.count(F.lit(1)).alias("n"),
+        F.countDistinct("sequence").alias("d")).collect()}
+    assert (per["hot"].lo, per["hot"].hi, per["hot"].n, per["hot"].d) == (8, 60_007, 60_000, 60_000)
+    assert all((r.lo, r.hi, r.n, r.d) == (1, 3, 3, 3) for k, r in per.items() if k != "hot")
+    first = out.filter(F.col("session_id") == "hot").orderBy("from_ts").limit(2).collect()
+    assert [r.sequence for r in first] == [8, 9]

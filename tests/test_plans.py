@@ -64,8 +64,8 @@ def test_publish_split_single_ledger_join(fx_small):
 
 
 def test_no_cross_products_in_any_registered_batch_query(spark):
-    """No query plans a cartesian product or nested-loop join; windows only
-    where the operator is a per-session counter by definition (H1)."""
+    """No query plans a cartesian product or nested-loop join; the only window
+    is H1's, over one row per (partition, session) span."""
     import __spark_entry__ as E
     streaming = {"j2_publish_stream", "j3_billing_stream", "j4_analytics_stream", "j9_session_state_machine"}
     windows_ok = {"h1_next_sequence"}
