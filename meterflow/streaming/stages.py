@@ -8,8 +8,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from meterflow import schemas as S
 from meterflow.streaming import analytics as san
@@ -18,10 +16,6 @@ from meterflow.streaming import publish as spub
 from meterflow.streaming import topics
 
 
-def _with_batch_id(schema: T.StructType) -> T.StructType:
-    return T.StructType(list(schema.fields) + [T.StructField("batch_id", T.LongType())])
-
-
 @dataclass
 class StageRoots:
     root: str
@@ -51,17 +45,11 @@ def run_stages(spark: SparkSession, outbox_dir: str, roots: StageRoots, clock=No
                               publisher_ledger).awaitTermination()
 
     chunk_topic = f"{roots.publish}/topic_usage_billing_chunks"
-    r = spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
-    if downstream_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", downstream_files_per_trigger)
-    chunks = (r.parquet(chunk_topic)
-              .withColumn("seq", F.coalesce(F.col("seq"), F.col("batch_id"))))
+    chunks = topics.read_chunks_stream(spark, chunk_topic, max_per_trigger=downstream_files_per_trigger)
     sbill.start_billing_stream(chunks, sbill.BillingPaths(roots.billing), f"{roots.billing}/_chk", clock,
                                seed_ledger=billing_ledger).awaitTermination()
 
     processed_topic = sbill.BillingPaths(roots.billing).processed_topic
-    r = spark.readStream.schema(_with_batch_id(topics.FILE_TOPIC_SCHEMA))
-    if downstream_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", downstream_files_per_trigger)
-    processed = r.parquet(processed_topic)
+    processed = topics.read_processed_stream(spark, processed_topic, max_per_trigger=downstream_files_per_trigger,
+                                             starting="earliest")
     san.start_analytics_stream(processed, roots.analytics, f"{roots.analytics}/_chk").awaitTermination()
