@@ -13,10 +13,14 @@ def _c(x) -> Column:
 
 
 def ts_lit(value: dt.datetime | str) -> Column:
-    """A timestamp_ntz literal (the clock every operator takes as a parameter)."""
+    """A timestamp_ntz literal (the clock every operator takes as a parameter).
+
+    Built from text: a Python ``datetime`` literal would be read in the
+    driver process's local zone, so the same clock would mean a different
+    instant on differently configured drivers."""
     if isinstance(value, str):
         value = dt.datetime.fromisoformat(value)
-    return F.lit(value).cast("timestamp_ntz")
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp_ntz")
 
 
 def interval_lit(text: str) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from meterflow import schemas as S
 from meterflow.functions import codec
+from meterflow.functions import expressions as X
 from meterflow.plans.catalog import AS_OF, A, CHUNK_SELECT, E4_SQL, FIRST, SPLIT_SQL, query
 from meterflow.session import new_run_dir
 from meterflow.sources import sinks
@@ -106,9 +107,9 @@ def j9(spark, d):
     the clock, through the keyed state machine (90-day ticks)."""
     f = Fixtures(spark, d)
     run = new_run_dir(spark, "j9")
-    lc = f.session_lifecycle.filter(F.col("ts") <= F.lit(AS_OF).cast("timestamp_ntz"))
+    lc = f.session_lifecycle.filter(F.col("ts") <= X.ts_lit(AS_OF))
     sentinel = spark.range(1).select(F.lit(SENTINEL).alias("session_id"), F.lit("tick").alias("action"),
-                                     F.lit(AS_OF).cast("timestamp_ntz").alias("ts"))
+                                     X.ts_lit(AS_OF).alias("ts"))
     events = lc.unionByName(sentinel, allowMissingColumns=True)
     src_dir = f"{run}/lifecycle"
     events.write.parquet(src_dir)

@@ -5,6 +5,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from meterflow.functions import expressions as X
+
 from meterflow import schemas as S
 from meterflow.functions import codec
 from meterflow.operators import chunks, constraints, ledger, outbox, sessions
@@ -252,9 +254,9 @@ def test_next_sequence_hot_session_is_exact(spark):
     """One session with 60,000 candidate slices next to 300 small ones: ranks
     are exactly 1..n per session, in time order, on top of the base."""
     hot = spark.range(60_000).select(F.lit("hot").alias("session_id"),
-                                     (F.lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
+                                     (X.ts_lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
     small = spark.range(900).select(F.concat(F.lit("s"), (F.col("id") % 300).cast("string")).alias("session_id"),
-                                    (F.lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
+                                    (X.ts_lit(AS_OF) + F.make_dt_interval(hours=F.col("id"))).alias("from_ts"))
     cand = hot.unionByName(small).withColumn("to_ts", F.col("from_ts") + F.expr("INTERVAL 1 HOUR"))
     base = spark.createDataFrame([("hot", 7)], "id string, billing_sequence bigint")
     out = chunks.next_sequence(cand, base)

@@ -7,6 +7,8 @@ from hypothesis import given, settings, HealthCheck
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from meterflow.functions import expressions as X
+
 from meterflow import schemas as S
 from meterflow.operators import chunks, ledger, outbox
 from meterflow.plans import runs
@@ -69,7 +71,7 @@ def test_backfill_partitions_time_exactly(spark, fx_small):
         F.sum(F.timestamp_diff("MICROSECOND", "from_ts", "to_ts")).alias("us"),
         F.min("sequence").alias("lo"), F.max("sequence").alias("hi"), F.count(F.lit(1)).alias("n"))
     j = per.join(s.select(F.col("id").alias("session_id"), "last_billed_at", "billing_sequence"), "session_id")
-    bad = j.filter((F.col("us") != F.timestamp_diff("MICROSECOND", F.col("last_billed_at"), F.lit(AS_OF)))
+    bad = j.filter((F.col("us") != F.timestamp_diff("MICROSECOND", F.col("last_billed_at"), X.ts_lit(AS_OF)))
                    | (F.col("lo") != F.col("billing_sequence") + 1)
                    | (F.col("hi") - F.col("lo") + 1 != F.col("n")))
     assert bad.count() == 0
