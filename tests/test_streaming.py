@@ -224,3 +224,32 @@ def test_compacting_stream_tables_keeps_results(spark, fx_small):
     got = sorted(r.event_id for r in compaction.visible(spark, paths.ledger, led_schema).collect())
     want = sorted(r.event_id for r in spark.read.parquet(full.ledger).collect())
     assert got == want and len(got) == len(set(got))
+
+
+def test_retried_batch_rewrites_the_same_clock(spark, fx_small, monkeypatch):
+    """No explicit clock: the batch clock comes from the streaming plan, so a
+    batch that dies after publishing its processed events and is retried
+    writes the same processed_at values again."""
+    run = new_run_dir(spark, "t-clock")
+    topic, paths, chk = f"{run}/topic", sbill.BillingPaths(run), f"{run}/_chk"
+    topics.write_file_topic(_records(fx_small), topic, 4)
+    orig = sinks.write_batch
+    state = {"crashed": False}
+
+    def boom(df, target, batch_id, *a, **k):
+        orig(df, target, batch_id, *a, **k)
+        if target == paths.processed_topic and batch_id == 1 and not state["crashed"]:
+            state["crashed"] = True
+            raise RuntimeError("injected crash after the processed-topic write")
+
+    monkeypatch.setattr(sbill.sinks, "write_batch", boom)
+    src = topics.read_chunks_stream(spark, topic, max_per_trigger=1)
+    with pytest.raises(Exception):
+        sbill.start_billing_stream(src, paths, chk, seed_ledger=fx_small.processed_billing_events).awaitTermination()
+    first = {r.event_id: r.processed_at for r in sbill.billed_events(spark, paths).collect()}
+    src = topics.read_chunks_stream(spark, topic, max_per_trigger=1)
+    sbill.start_billing_stream(src, paths, chk, seed_ledger=fx_small.processed_billing_events).awaitTermination()
+    again = {r.event_id: r.processed_at for r in sbill.billed_events(spark, paths).collect()}
+    assert first and all(again[e] == t for e, t in first.items())
+    led = {r.event_id: r.processed_at for r in spark.read.parquet(paths.ledger).collect()}
+    assert led == again
