@@ -115,6 +115,9 @@ def test_publish_stream_is_idempotent_per_batch(spark, fx_small):
     # per-key order inside the published topic partitions
     topic = spark.read.parquet(f"{run}/topic_usage_billing_chunks")
     assert topic.count() == led.count()
+    stats = {(r.batch_id, r.outcome): r.n for r in spub.publish_stats(spark, run).collect()}
+    assert sum(n for (b, o), n in stats.items() if o == "publish") == led.count()
+    assert sum(stats.values()) == outbox.unpublished_events(fx_small.outbox_events).count()
 
 
 @pytest.mark.parametrize("engine", ["processor", "group_state"])
