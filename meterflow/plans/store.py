@@ -25,6 +25,7 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from meterflow.session import path_exists
@@ -51,19 +52,30 @@ class SnapshotStore:
             return None
         return self.spark.read.schema(COMMIT_SCHEMA).parquet(path)
 
-    def _log(self) -> list:
-        """Commit records (one small row per table per run; compacted logs
-        stay tiny compared with the tables)."""
-        c = self._commits()
-        return [] if c is None else c.collect()
-
     def latest_version(self) -> int:
-        rows = self._log()
-        return max((r.version for r in rows), default=0)
+        c = self._commits()
+        if c is None:
+            return 0
+        v = c.agg(F.max("version").alias("v")).collect()[0].v
+        return v or 0
 
     def entries(self, table: str) -> list[tuple[int, str]]:
-        """(version, kind) of every committed write of ``table``, in order."""
-        return sorted((r.version, r.kind) for r in self._log() if r.table_name == table)
+        """(version, kind) of ``table``'s writes since its latest base (or all,
+        when it has none), in order. The log is filtered and aggregated by
+        Spark; the driver receives only these few rows."""
+        c = self._commits()
+        if c is None:
+            return []
+        t = c.filter(F.col("table_name") == table)
+        base = t.filter(F.col("kind") == "base").agg(F.max("version").alias("b")).collect()[0].b
+        if base is not None:
+            t = t.filter(F.col("version") >= base)
+        last = t.agg(F.max_by("kind", "version").alias("k"), F.max("version").alias("v")).collect()[0]
+        if last.v is None:
+            return []
+        if last.k == "snapshot":
+            return [(last.v, "snapshot")]
+        return sorted((r.version, r.kind) for r in t.select("version", "kind").collect())
 
     def versions(self, table: str) -> list[int]:
         return [v for v, _ in self.entries(table)]
