@@ -28,6 +28,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: inside a lambda an outer expression
+    would be computed again for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def fixed(df: DataFrame, **cols: Column) -> DataFrame:
+    """df with further columns that the optimizer cannot copy into later lambdas
+    (a one-row generator stands between)."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(k) for k, c in cols.items()]))))
+
+
 def id_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m (a null id counts as the empty text)."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % F.lit(m)
