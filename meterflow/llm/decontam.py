@@ -70,7 +70,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     grams = windows(benchmark, window).cache()
     lengths = [r.len for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()]  # at most `window`
     total = grams.count()
-    side = F.broadcast(grams) if total <= broadcast_rows else grams
     d = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     # one array of grams per length behind an entry 0 for the document itself
@@ -85,12 +84,22 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
         upto = upto + last
     d = d.select("doc_id", "key", "w", "h", F.posexplode(F.concat(*grams_of)).alias("p", "g"))
     d = d.select("doc_id", "key", "w", at.alias("at"), length.alias("l"), "g")
+    on = (F.col("g") == F.col("gram")) & (F.col("l") == F.col("len"))
+    own = ["doc_id", "key", "n_words", "at", F.col("l").alias("len"), "items"]
     gram = F.slice("w", F.greatest("at", F.lit(1)), F.col("l"))
-    found = d.join(side, (F.col("g") == F.col("gram")) & (F.col("l") == F.col("len")), "left")
-    found = found.where("at = -1 or gram is not null")
-    verified = (F.col("at") == -1) | ((_check(gram, 1) == F.col("check_a")) & (_check(gram, 2) == F.col("check_b")))
-    return found.where(verified).select("doc_id", "key", F.size("w").alias("n_words"), "at", F.col("l").alias("len"),
-                                        "items")
+    verified = (_check(gram, 1) == F.col("check_a")) & (_check(gram, 2) == F.col("check_b"))
+    if total <= broadcast_rows:
+        # the words stay in the scanning task and are looked at for hits only
+        found = d.join(F.broadcast(grams), on, "left").where("at = -1 or gram is not null")
+        return found.where((F.col("at") == -1) | verified).withColumn("n_words", F.size("w")).select(*own)
+    # a set too large to broadcast: only positions are shuffled, hits go back to their words
+    narrow = d.withColumn("n_words", F.size("w")).select("doc_id", "key", "n_words", "at", "l", "g")
+    found = narrow.join(grams, on, "left").where("at = -1 or gram is not null")
+    text = docs.select(F.col("doc_id").alias("__id"), text_key(F.col("text")).alias("__key"),
+                       words(F.col("text")).alias("w")).dropDuplicates(["__id", "__key"])
+    sure = found.where("at > 0").join(
+        text, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key"))).where(verified)
+    return found.where("at = -1").select(*own).unionAll(sure.select(*own))
 
 
 def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:

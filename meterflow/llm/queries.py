@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm import decontam, mixing, secrets, simhash
+from meterflow.llm import decontam, mixing, secrets, simhash, toxicity
 from meterflow.llm.common import table
 
 
@@ -24,5 +24,9 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op6_simhash)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op6_simhash, op7_toxicity)}
 ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE}

@@ -44,7 +44,7 @@ ITEMS = [(1, "One two three four five"), (2, "alpha Beta gamma " * 6), (3, ""),
          (2, "alpha Beta gamma " * 6)]
 DOCS = [(1, "x ONE-two; three four five y"), (2, "alpha beta gamma " * 40), (3, None), (4, ""), (5, "... !!"),
         (6, "größe über alles ist 12 nicht Ü"), (7, "one " * 5), (8, "clean text only"), (8, "clean text only"),
-        (9, "filler " * 30000 + "one two three four five"), (None, "null item words here"),
+        (9, "filler " * 3000 + "one two three four five"), (None, "null item words here"),
         (11, "one two three four six"), (12, "alpha beta gamma " * 4), (12, "alpha beta gamma " * 4)]
 
 
