@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm import decontam, mixing, secrets, simhash, toxicity
+from meterflow.llm import decontam, mixing, secrets, simhash, tokens, toxicity
 from meterflow.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.op5(table(spark, sf_dir, "documents"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op6(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op6_simhash, op7_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op5_tokens, op6_simhash, op7_toxicity)}
 ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE}
