@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm import decontam, mixing, phrases, secrets, simhash, tokens, toxicity
+from meterflow.llm import decontam, langid, mixing, phrases, secrets, simhash, tokens, toxicity
 from meterflow.llm.common import table
 
 
@@ -32,10 +32,14 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.op7(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op8(table(spark, sf_dir, "documents"))
+
+
 def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.op10(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op5_tokens, op6_simhash, op7_toxicity,
-                                  op10_phrases)}
+                                  op8_language, op10_phrases)}
 ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE}
