@@ -87,3 +87,21 @@ def components(edges: DataFrame) -> DataFrame:
         e, sig = new, new_sig
     nodes = e.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
     return nodes.unionAll(e.select(F.col("lo").alias("node"), F.col("lo").alias("root")).distinct())
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, hold: int, held: int,
+                    per_class: int) -> DataFrame:
+    """(doc_id, y, share, text, lang): at most per_class documents of each label,
+    the least hashes first; rows with crc32(doc_id) % hold == held are never
+    taken, the highest label of a doc_id counts. share: how many labelled rows one sampled row stands
+    for. The sample's ids are bounded, so they may be broadcast."""
+    known = (labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()
+                          & (id_mod(F.col("doc_id"), hold) != held))
+             .groupBy("doc_id").agg(F.max((F.col(column) > 0).cast("int")).alias("y")))
+    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
+             .withColumn("share", F.lit(max(1.0, sizes.get(y, 0) / per_class))) for y in (0, 1)]
+    ids = parts[0].unionAll(parts[1])
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    return (docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(ids), "doc_id")
+            .select("doc_id", "y", "share", "text", "lang"))

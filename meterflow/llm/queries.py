@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from meterflow.llm import decontam, langid, mixing, phrases, secrets, simhash, tokens, toxicity
+from meterflow.llm import chat, decontam, langid, mixing, phrases, quality, secrets, simhash, tokens, toxicity
 from meterflow.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.op2(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse(table(spark, sf_dir, "conversations"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.op4(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -36,10 +40,14 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.op8(table(spark, sf_dir, "documents"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op9(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.op10(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op4_decontamination, op5_tokens, op6_simhash, op7_toxicity,
-                                  op8_language, op10_phrases)}
-ORACLES: dict[str, str] = {"op4_decontamination": decontam.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_secrets, op3_chat, op4_decontamination, op5_tokens, op6_simhash, op7_toxicity,
+                                  op8_language, op9_quality, op10_phrases)}
+ORACLES: dict[str, str] = {"op3_chat": chat.ORACLE, "op4_decontamination": decontam.ORACLE}
