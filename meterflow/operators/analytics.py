@@ -33,6 +33,15 @@ def export_rows(decoded: DataFrame, exported: DataFrame | None = None,
     return first.select(*EXPORT_COLUMNS).withColumn("export_date", F.to_date("processed_at"))
 
 
+def event_volume_by_month(events: DataFrame, ts_col: str = "ts", type_col: str = "event_type") -> DataFrame:
+    """L4: events per calendar month and type, with the average rate per second
+    of that month."""
+    month = F.to_date(F.date_trunc("month", ts_col))
+    seconds = F.dayofmonth(F.last_day("month")) * F.lit(86400.0)
+    return (events.groupBy(month.alias("month"), F.col(type_col).alias("event_type"))
+                  .agg(F.count(F.lit(1)).alias("n")).withColumn("events_per_second", F.col("n") / seconds))
+
+
 def event_volume(events: DataFrame, ts_col: str = "ts", type_col: str = "event_type") -> DataFrame:
     """L4: events per day and type, with the average rate per second."""
     return (events.groupBy(F.to_date(ts_col).alias("day"), F.col(type_col).alias("event_type"))
@@ -41,8 +50,9 @@ def event_volume(events: DataFrame, ts_col: str = "ts", type_col: str = "event_t
 
 
 def shard_columns(df: DataFrame, org_col: str = "organization_id", region_col: str = "region",
-                  ts_col: str = "processed_at", buckets: int = 16) -> DataFrame:
-    """L5 layout: tenant hash bucket, region and date as partition columns."""
+                  ts_col: str = "processed_at", buckets: int = 16, period: str = "day") -> DataFrame:
+    """L5 layout: tenant hash bucket, region and date as partition columns; the
+    date is the first day of the row's ``period`` (day, month or year)."""
     return (df.withColumn("org_bucket", X.hash_bucket(F.col(org_col), buckets))
               .withColumn("shard_region", F.coalesce(F.col(region_col), F.lit("")))
-              .withColumn("shard_date", F.to_date(ts_col)))
+              .withColumn("shard_date", F.to_date(F.date_trunc(period, ts_col))))

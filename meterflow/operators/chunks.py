@@ -96,7 +96,7 @@ def chunk_backfill(sessions: DataFrame, as_of, interval: str = "90 days") -> Dat
     span = F.timestamp_diff("MICROSECOND", start, bound)
     n = F.when(span > 0, F.floor((span + F.lit(step - 1)) / F.lit(step))).otherwise(F.lit(0))
     with_n = elig.withColumn("__n", n.cast("bigint")).withColumn("__start", start).withColumn("__bound", bound)
-    exp = explode_count(with_n, "__n", "__k")
+    exp = explode_count(with_n, "__n", "__k", spread=True)
     k0 = F.col("__k") - 1
     frm = F.timestamp_add("MICROSECOND", k0 * F.lit(step), F.col("__start"))
     to = F.least(F.timestamp_add("MICROSECOND", F.col("__k") * F.lit(step), F.col("__start")),
@@ -155,18 +155,19 @@ def sequence_gaps(chunks: DataFrame) -> DataFrame:
     session with millions of chunks is spread over many tasks.
     """
     c = chunks.select("session_id", "sequence", "from_ts", "to_ts", "event_id")
-    prev = (c.groupBy("session_id", (F.col("sequence") + 1).alias("sequence"))
-             .agg(F.max("to_ts").alias("prev_to"), F.count(F.lit(1)).alias("__np")))
+    per = c.groupBy("session_id", "sequence").agg(
+        F.max("to_ts").alias("prev_to"), F.count(F.lit(1)).alias("__n"),
+        F.min("event_id").alias("event_id"), F.min("from_ts").alias("from_ts"))
+    prev = per.select("session_id", (F.col("sequence") + 1).alias("sequence"), "prev_to",
+                      F.col("__n").alias("__np"))
     j = c.filter(F.col("sequence") > 1).join(prev, ["session_id", "sequence"], "left")
-    issue = (F.when(F.col("prev_to").isNull(), F.lit("missing_previous"))
+    # a predecessor whose end is not known is there, and its distance is not
+    issue = (F.when(F.col("__np").isNull(), F.lit("missing_previous"))
               .when(F.col("from_ts") < F.col("prev_to"), F.lit("overlap"))
               .when(F.col("from_ts") > F.col("prev_to"), F.lit("gap")))
     link = (j.withColumn("issue", issue).filter(F.col("issue").isNotNull())
              .select("session_id", "sequence", "event_id", "from_ts", "prev_to", "issue"))
-    dup = (c.groupBy("session_id", "sequence").agg(F.count(F.lit(1)).alias("__n"),
-                                                   F.min("event_id").alias("event_id"),
-                                                   F.min("from_ts").alias("from_ts"))
-            .filter(F.col("__n") > 1)
+    dup = (per.filter(F.col("__n") > 1)
             .select("session_id", "sequence", "event_id", "from_ts",
                     F.lit(None).cast("timestamp_ntz").alias("prev_to"),
                     F.lit("duplicate_sequence").alias("issue")))

@@ -9,12 +9,26 @@ from pyspark.sql import functions as F
 EXPAND_BLOCK = 4096
 
 
-def explode_count(df: DataFrame, count_col: str, out_col: str, block: int = EXPAND_BLOCK) -> DataFrame:
+def explode_count(df: DataFrame, count_col: str, out_col: str, block: int = EXPAND_BLOCK,
+                  spread: bool = False) -> DataFrame:
     """One output row per value ``1..count`` of ``count_col`` (``out_col`` bigint).
 
     Expands in two levels (blocks of ``block`` values, then values in a block) so
-    that a huge count never builds one huge array in a single row.
+    that a huge count never builds one huge array in a single row. With
+    ``spread`` the blocks of counts above ``block`` are dealt over all tasks first, so a
+    hot row is not expanded in the task that holds it; other rows stay where they
+    are.
     """
+    if spread:
+        few = explode_count(df.filter(F.col(count_col) <= block), count_col, out_col, block)
+        many = df.filter(F.col(count_col) > block)
+        n = F.col(count_col).cast("bigint")
+        dealt = (many.withColumn("__blk", F.explode(F.sequence(
+            F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))))
+            .repartition("__blk", *[c for c in df.columns if c != count_col][:1]))
+        b = F.col("__blk")
+        return few.unionByName(dealt.withColumn(out_col, F.explode(F.sequence(
+            b * block + 1, F.least(n, (b + 1) * block)))).drop("__blk"))
     n = F.col(count_col).cast("bigint")
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))
     b = F.col("__blk")

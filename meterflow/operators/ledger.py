@@ -10,7 +10,7 @@ shuffle); otherwise Spark plans a shuffled join and AQE re-plans at runtime.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterflow import schemas as S
@@ -41,61 +41,62 @@ def read_ledger(source, kind: str = "billing", spark=None, exclude_batch: int |
 def ledger_rows(events: DataFrame, as_of, kind: str = "billing") -> DataFrame:
     """Processed events -> ledger rows (surrogate id from the event id).
 
-    When the chunk's ``from_ts`` is known, ``chunk_date`` is kept too: every
-    delivery of one event, and every event of one transaction id, shares its
-    ``from_ts``, so lookups can be limited to the dates a batch contains
-    (``date_pruned``)."""
+    ``event_bucket`` (and for billing rows ``transaction_bucket``) is kept too, so
+    that lookups can be limited to the buckets of a batch's keys
+    (``bucket_pruned``)."""
     now = X.as_ts(as_of)
     cols = [X.stable_id(F.col("event_id")).alias("id"), "event_id", "session_id", "sequence"]
     if kind == "billing":
         cols.append(X.transaction_id().alias("transaction_id") if "transaction_id" not in events.columns
                     else F.col("transaction_id"))
     cols.append(now.alias("processed_at"))
-    if "chunk_date" in events.columns:
-        cols.append(F.col("chunk_date"))
-    elif "from_ts" in events.columns:
-        cols.append(F.to_date("from_ts").alias("chunk_date"))
-    return events.select(*cols)
+    cols.append(key_bucket("event_id").alias("event_bucket"))
+    out = events.select(*cols)
+    if kind == "billing":
+        out = out.withColumn("transaction_bucket", key_bucket("transaction_id"))
+    return out
 
 
-def batch_dates(batch: DataFrame, ts_col: str = "from_ts") -> list:
-    """Distinct chunk dates of a (bounded) micro-batch: at most one value per
-    calendar day in the batch, so a tiny list on the driver."""
-    rows = batch.select(F.to_date(ts_col).alias("d")).distinct().collect()
-    return sorted(r[0] for r in rows if r[0] is not None)
+# Key buckets of the stored ledger, vendor and export rows. A bucket is a function
+# of the key alone, so pruning by it can never hide a duplicate.
+KEY_BUCKETS = 256
 
 
-# Up to this many distinct dates a lookup filters on the exact list; beyond it
-# on the [min, max] range (cheaper to evaluate, still pushed into the scan).
-DATE_LIST_MAX = 64
+def key_bucket(key) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def date_pruned(table: DataFrame, dates: list, date_col: str = "chunk_date") -> DataFrame:
-    """Only the rows of ``dates`` (plus rows stored without a date). The
-    predicate is pushed into the Parquet scan; files are written sorted by the
-    date, so row groups outside the batch's dates are skipped."""
-    if date_col not in table.columns:
+def bucket_pruned(table: DataFrame, keys: DataFrame, key: str, bucket_col: str) -> DataFrame:
+    """Only the rows of ``table`` whose bucket some key of the (bounded) batch has,
+    plus rows stored without a bucket. At most ``KEY_BUCKETS`` numbers reach the
+    driver. Files are written sorted by the bucket, so for a small batch the pushed
+    predicate skips row groups; a batch that has every bucket reads all."""
+    if bucket_col not in table.columns:
+        return table
+    found = sorted(r.b for r in keys.select(key_bucket(key).alias("b")).distinct().collect() if r.b is not None)
+    if len(found) >= KEY_BUCKETS:
         return table
-    c = F.col(date_col)
-    if not dates:
-        return table.filter(c.isNull())
-    if len(dates) <= DATE_LIST_MAX:
-        keep = c.isin(dates)
-    else:
-        keep = c.between(F.lit(min(dates)), F.lit(max(dates)))
-    return table.filter(keep | c.isNull())
+    return table.filter(F.col(bucket_col).isin(found) | F.col(bucket_col).isNull())
+
+
+def may_broadcast(keys: DataFrame, batch_rows_bound: int | None) -> bool:
+    """True when the claimed bound is small enough and the keys keep to it
+    (counted up to one more than the limit)."""
+    if batch_rows_bound is None or batch_rows_bound > BROADCAST_KEYS_MAX_ROWS:
+        return False
+    return keys.limit(BROADCAST_KEYS_MAX_ROWS + 1).count() <= BROADCAST_KEYS_MAX_ROWS
 
 
 def ledger_hits(keys: DataFrame, ledger: DataFrame, key: str = "event_id",
                 batch_rows_bound: int | None = None) -> DataFrame:
     """Ledger keys that occur in ``keys``.
 
-    ``batch_rows_bound`` is the caller's proven upper bound of the batch size
-    (e.g. ``maxFilesPerTrigger`` x rows per file). Only below the limit are the
-    keys broadcast; past it a shuffled semi join is planned.
+    ``batch_rows_bound`` is the caller's upper bound of the batch size. Below the
+    limit it is checked against the keys at hand, and only a set that holds is
+    broadcast; otherwise a shuffled semi join is planned.
     """
     k = keys.select(key).distinct()
-    if batch_rows_bound is not None and batch_rows_bound <= BROADCAST_KEYS_MAX_ROWS:
+    if may_broadcast(k, batch_rows_bound):
         k = F.broadcast(k)
     return ledger.select(key).join(k, key, "left_semi").distinct()
 

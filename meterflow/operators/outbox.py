@@ -90,25 +90,30 @@ def publish_split(leased: DataFrame, ledger: DataFrame) -> DataFrame:
     """Classify each leased outbox row.
 
     ``already``     -- event id in the publisher ledger: only mark it published;
+    ``repeat``      -- a lower id of this lease has the same event id: left alone,
+                       a later cycle finds the event in the ledger;
     ``undecodable`` -- payload does not decode: left unpublished (not a failure);
     ``invalid``     -- decoded but fails C7: left unpublished, counted as failure;
     ``publish``     -- publish, write the ledger row, mark published.
-    One left join to the ledger (keys only) plus expressions; decoded chunk
-    columns are carried for the publish branch.
+    One left join to the ledger and one to the lease's own least ids (keys only)
+    plus expressions; decoded chunk columns are carried for the publish branch.
     """
     seen = ledger.select("event_id").distinct().withColumn("__seen", F.lit(True))
-    j = leased.join(seen, "event_id", "left")
+    firsts = leased.groupBy("event_id").agg(F.min("id").alias("__first"))
+    j = leased.join(seen, "event_id", "left").join(firsts, "event_id", "left")
     dec = codec.decode_chunks(j.withColumnRenamed("event_id", "outbox_event_id")
                                .withColumnRenamed("session_id", "outbox_session_id")
                                .withColumnRenamed("sequence", "outbox_sequence"), "payload")
+    repeat = F.col("id") > F.col("__first")
     outcome = (F.when(F.col("__seen").isNotNull(), F.lit("already"))
+                .when(repeat, F.lit("repeat"))
                 .when(F.col("decode_error").isNotNull(), F.lit("undecodable"))
                 .when(reject_reason().isNotNull(), F.lit("invalid"))
                 .otherwise(F.lit("publish")))
-    detail = (F.when(F.col("__seen").isNotNull(), F.lit(None))
+    detail = (F.when(F.col("__seen").isNotNull() | repeat, F.lit(None))
                .when(F.col("decode_error").isNotNull(), F.col("decode_error"))
                .otherwise(reject_reason()))
-    return dec.withColumn("outcome", outcome).withColumn("detail", detail).drop("__seen")
+    return dec.withColumn("outcome", outcome).withColumn("detail", detail).drop("__seen", "__first")
 
 
 def publish_summary(split: DataFrame) -> DataFrame:

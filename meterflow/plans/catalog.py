@@ -828,6 +828,14 @@ def l4(spark, d):
     return analytics.event_volume(fx(spark, d).table("events"))
 
 
+@query("l4_event_volume_by_month", """
+SELECT CAST(date_trunc('month', ts) AS DATE) AS month, event_type, count(*) AS n,
+       count(*) / (CAST(day(last_day(CAST(date_trunc('month', ts) AS DATE))) AS DOUBLE) * 86400.0) AS events_per_second
+FROM events GROUP BY 1, 2""")
+def l4_month(spark, d):
+    return analytics.event_volume_by_month(fx(spark, d).table("events"))
+
+
 @query("l5_shard_output", """
 SELECT event_id, session_id, sequence, processed_at, metronome_id, organization_id,
        CAST(('0x' || substr(md5(organization_id), 1, 8)) AS BIGINT) % 16 AS org_bucket

@@ -26,11 +26,14 @@ from meterflow.operators import chunks, ledger, outbox, sessions
 from meterflow.plans.store import SnapshotStore
 from meterflow.sources import sinks
 
-MARKS_SCHEMA = "id bigint, published_at timestamp_ntz, failed int, last_error string"
+# A row that has failed this often is a dead letter.
+MAX_RETRIES = 5
+MARKS_SCHEMA = "id bigint, published_at timestamp_ntz, failed int, last_error string, run bigint"
 
 
 def current_outbox(store: SnapshotStore) -> DataFrame:
-    """Outbox rows with marks folded in: latest publish time, failures counted."""
+    """Outbox rows with marks folded in: latest publish time, failures counted,
+    the error of the latest run that failed."""
     rows = store.read("outbox_events", S.OUTBOX_EVENTS)
     try:
         marks = store.read("outbox_marks")
@@ -38,7 +41,7 @@ def current_outbox(store: SnapshotStore) -> DataFrame:
         return rows
     m = marks.groupBy("id").agg(F.max("published_at").alias("__pub"),
                                 F.sum("failed").cast("int").alias("__fails"),
-                                F.max_by("last_error", F.coalesce(F.col("failed"), F.lit(0))).alias("__err"))
+                                F.max_by("last_error", F.when(F.col("failed") > 0, F.col("run"))).alias("__err"))
     j = rows.join(m, "id", "left")
     return j.select(*[
         F.coalesce(F.col("published_at"), F.col("__pub")).alias(c) if c == "published_at" else
@@ -56,20 +59,27 @@ def init_store(store: SnapshotStore, sessions_df: DataFrame, outbox_df: DataFram
 
 
 def create_run(store: SnapshotStore, requests: DataFrame, as_of, run_id: str | None = None):
-    """B1 + B3: build session rows from requests, check the table constraints
-    on the new table (ids unique, required columns set, enums allowed) and
-    append. Returns ``(version, violations)``; nothing is committed when the
-    new table would violate a constraint."""
+    """B1 + B3: build session rows from requests, check their constraints (ids
+    unique among themselves and against the table, required columns set, enums
+    allowed) and append. Returns ``(version, violations)``; nothing is committed
+    when a request violates a constraint, and an id that the table has already is
+    a ``unique:id`` violation."""
     from meterflow.operators.constraints import check_constraints
     new = sessions.create_sessions(requests, as_of)
     try:
         current = store.read("usage_sessions")
     except KeyError:
         current = None
-    table = new if current is None else current.unionByName(new.join(current.select("id"), "id", "left_anti"))
-    violations = check_constraints(table, "usage_sessions")
+    violations = check_constraints(new, "usage_sessions")
+    if current is not None:
+        taken = (new.join(current.select("id"), "id", "left_semi").groupBy(F.col("id").alias("value"))
+                 .agg((F.count(F.lit(1)) + 1).alias("n")))
+        inside = violations.filter(F.col("constraint") == "unique:id").select("value")
+        violations = violations.unionByName(taken.join(inside, "value", "left_anti").select(
+            F.lit("unique:id").alias("constraint"), "value", "n"))
     if violations.limit(1).count() > 0:
         return None, violations
+    table = new if current is None else current.unionByName(new)
     return store.commit({"usage_sessions": (table, "snapshot")},
                         run_id or f"create-{uuid.uuid4().hex[:8]}"), violations
 
@@ -94,32 +104,57 @@ def finish_run(store: SnapshotStore, ids: DataFrame, as_of, run_id: str | None =
                          "outbox_events": (rows, "append")}, run_id or f"finish-{uuid.uuid4().hex[:8]}")
 
 
+def _failed():
+    return F.col("outcome").isin("undecodable", "invalid")
+
+
+def dead_letters(store: SnapshotStore, max_retries: int = MAX_RETRIES) -> DataFrame:
+    """Unpublished outbox rows that have failed ``max_retries`` times: no longer
+    leased."""
+    return outbox.split_by_retry(current_outbox(store), max_retries)[1]
+
+
 def publish_run(store: SnapshotStore, topic_dir: str, as_of, limit: int | None = None,
-                run_id: str | None = None) -> int:
-    """One publish cycle over all (or the ``limit`` oldest) unpublished events."""
-    ob = current_outbox(store)
+                run_id: str | None = None, max_retries: int = MAX_RETRIES,
+                kafka_servers: str | None = None) -> int:
+    """One publish cycle over all (or the ``limit`` oldest) unpublished events
+    that have failed fewer than ``max_retries`` times. Undecodable and invalid rows
+    count as failures and go to ``outbox_rejects`` with the reason."""
+    ob = outbox.split_by_retry(current_outbox(store), max_retries)[0]
     leased = outbox.lease_batch(ob, limit) if limit else outbox.unpublished_events(ob)
     try:
-        # a re-leased row keeps its created_at: only those dates can match
-        led = ledger.date_pruned(store.read("processed_outbox_events"),
-                                 ledger.batch_dates(leased, "created_at"))
+        led = store.read("processed_outbox_events")
+        if limit:  # a bounded lease: only the buckets of its keys
+            led = ledger.bucket_pruned(led, leased, "event_id", "event_bucket")
     except KeyError:
         led = ob.limit(0).select("event_id")
-    split = outbox.publish_split(leased, led)
+    split = outbox.publish_split(leased, led).persist()
+    try:
+        return _publish(store, split, topic_dir, as_of, run_id, kafka_servers)
+    finally:
+        split.unpersist()
+
+
+def _publish(store: SnapshotStore, split: DataFrame, topic_dir: str, as_of, run_id: str | None,
+             kafka_servers: str | None) -> int:
+    """The four outputs of one cycle, all from the same (kept) split."""
     pub = split.filter(F.col("outcome") == "publish")
     version = store.latest_version() + 1
-    sinks.write_topic(sinks.chunk_records(pub), topic_dir, S.TOPIC_CHUNKS, batch_id=version)
+    sinks.write_topic(sinks.chunk_records(pub), topic_dir, S.TOPIC_CHUNKS, kafka_servers, batch_id=version)
     new_ledger = ledger.ledger_rows(pub.select(F.col("outbox_event_id").alias("event_id"),
                                                F.col("outbox_session_id").alias("session_id"),
-                                               F.col("outbox_sequence").alias("sequence"),
-                                               F.to_date("created_at").alias("chunk_date")), as_of, "outbox")
-    new_ledger = new_ledger.sortWithinPartitions("chunk_date", "event_id")
+                                               F.col("outbox_sequence").alias("sequence")), as_of, "outbox")
+    new_ledger = new_ledger.sortWithinPartitions("event_bucket", "event_id")
     marks = split.select(
         "id",
         F.when(F.col("outcome").isin("already", "publish"), X.as_ts(as_of)).alias("published_at"),
-        F.when(F.col("outcome") == "invalid", F.lit(1)).otherwise(F.lit(0)).alias("failed"),
-        F.when(F.col("outcome") == "invalid", F.col("detail")).alias("last_error"))
+        F.when(_failed(), F.lit(1)).otherwise(F.lit(0)).alias("failed"),
+        F.when(_failed(), F.col("detail")).alias("last_error"),
+        F.lit(version).cast("bigint").alias("run"))
+    rejects = split.filter(_failed()).select("id", F.col("outbox_event_id").alias("event_id"), "outcome", "detail",
+                                          X.as_ts(as_of).alias("rejected_at"))
     return store.commit({"processed_outbox_events": (new_ledger, "append"),
+                         "outbox_rejects": (rejects, "append"),
                          "outbox_marks": (marks, "append")}, run_id or f"publish-{uuid.uuid4().hex[:8]}")
 
 

@@ -49,13 +49,17 @@ def apply_session_settings(spark: SparkSession) -> None:
 def work_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints and written tables.
 
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset (local
-    tests) a folder is created and registered as the checkpoint dir.
+    Reads ``spark.checkpoint.dir`` from the session. Only under a local master may
+    it be unset (tests): a folder is then created and registered. On a cluster a
+    folder of the driver's machine would be invisible to the executors, so an
+    unset setting is an error there.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="meterflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:

@@ -70,6 +70,10 @@ def header_value(headers: str, name: str) -> Column:
     return F.element_at(F.filter(F.col(headers), lambda h: h["key"] == name), 1)["value"].cast("string")
 
 
+# The reference deployment's partition count of a topic.
+TOPIC_PARTITIONS = 48
+
+
 def write_topic(records: DataFrame, target: str, topic: str, kafka_servers: str | None = None,
                 batch_id: int | None = None) -> None:
     """Publish records. With ``kafka_servers`` the Kafka sink is used (all
@@ -113,13 +117,13 @@ def write_vendor(payloads: DataFrame, target: str, batch_id: int | None) -> None
     write_batch(payloads, target, batch_id)
 
 
-def write_sharded(df: DataFrame, target: str, salt: int = 8) -> None:
-    """Output split by tenant bucket, region and date.
+def write_sharded(df: DataFrame, target: str, salt: int = 8, batch_id: int | None = None) -> None:
+    """Output split by tenant bucket, region and date. A write adds to the
+    table; with ``batch_id`` it replaces what the same batch wrote before.
 
     Rows are clustered by the partition columns plus a salt, so one hot tenant
     is written by ``salt`` tasks instead of one, and each task writes few files.
     """
     keys = ("org_bucket", "shard_region", "shard_date")
     salted = df.withColumn("__salt", F.pmod(F.xxhash64(*df.columns), F.lit(salt)))
-    (salted.repartition(*keys, "__salt").drop("__salt")
-           .write.mode("overwrite").partitionBy(*keys).parquet(target))
+    write_batch(salted.repartition(*keys, "__salt").drop("__salt"), target, batch_id, keys)

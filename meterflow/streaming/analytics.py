@@ -20,6 +20,9 @@ from meterflow.sources import sinks
 from meterflow.streaming import compaction
 
 
+EXPORT_SCHEMA = "event_id string, export_date date, event_bucket int, batch_id bigint"
+
+
 def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     spark = batch.sparkSession
     dec = codec.decode_processed(batch, "value").persist()
@@ -27,14 +30,12 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         good, bad = analytics.not_null_event(dec)
         sinks.write_batch(bad.select(F.col("value").cast("string").alias("value"), "decode_error"),
                           f"{root}/analytics_rejects", batch_id)
-        # duplicates of a processed event share processed_at, so only the
-        # export dates present in this batch can hold one (pushed into the scan)
-        dates = ledger.batch_dates(good, "processed_at")
-        exported = compaction.visible(spark, f"{root}/analytics_export",
-                                      "event_id string, export_date date, batch_id bigint")
-        exported = ledger.date_pruned(exported.filter(F.col("batch_id") != batch_id), dates, "export_date")
+        stored = compaction.visible(spark, f"{root}/analytics_export", EXPORT_SCHEMA)
+        exported = ledger.bucket_pruned(stored.filter(F.col("batch_id") != batch_id), good, "event_id",
+                                        "event_bucket")
         rows = analytics.export_rows(good, exported.select("event_id"), ["seq"])
-        sinks.write_analytics(rows, f"{root}/analytics_export", batch_id)
+        sinks.write_analytics(rows.withColumn("event_bucket", ledger.key_bucket("event_id")),
+                              f"{root}/analytics_export", batch_id)
     finally:
         dec.unpersist()
 
@@ -62,5 +63,5 @@ def start_analytics_stream_watermarked(source: DataFrame, root: str, checkpoint:
 
 
 def exported(spark, root: str) -> DataFrame:
-    t = compaction.visible(spark, f"{root}/analytics_export", "event_id string, export_date date, batch_id bigint")
+    t = compaction.visible(spark, f"{root}/analytics_export", EXPORT_SCHEMA)
     return t.select(*analytics.EXPORT_COLUMNS, "export_date")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from meterflow import schemas as S
 from meterflow.functions import codec
 from meterflow.functions import expressions as X
+from meterflow.operators import ledger
 from meterflow.plans.catalog import AS_OF, A, CHUNK_SELECT, E4_SQL, FIRST, SPLIT_SQL, query
 from meterflow.session import new_run_dir
 from meterflow.sources import sinks
@@ -22,10 +23,6 @@ from meterflow.streaming.state_machine import SENTINEL, session_state_machine
 TOPIC_FILES = 8
 
 
-def _dated_billing_ledger(f: Fixtures):
-    """The fixture billing ledger with each row's chunk date (from its chunk)."""
-    return f.processed_billing_events.join(
-        f.first_deliveries.select("event_id", F.to_date("from_ts").alias("chunk_date")), "event_id")
 FILES_PER_TRIGGER = 2
 
 
@@ -41,7 +38,7 @@ def j3(spark, d):
     c = f.chunk_deliveries
     topics.write_file_topic(sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
     paths = sbill.BillingPaths(run)
-    sbill.seed_ledger_table(_dated_billing_ledger(f), paths)
+    sbill.seed_ledger_table(f.processed_billing_events, paths)
     src = topics.read_chunks_stream(spark, topic, max_per_trigger=FILES_PER_TRIGGER)
     q = sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF)
     q.awaitTermination()
@@ -76,9 +73,10 @@ def j2(spark, d):
     f.outbox_with_payload().repartition(TOPIC_FILES).write.parquet(src_dir)
     src = (spark.readStream.schema(S.OUTBOX_EVENTS).option("maxFilesPerTrigger", FILES_PER_TRIGGER)
            .parquet(src_dir))
-    sinks.write_batch(f.processed_outbox_events.withColumn("chunk_date", F.lit(None).cast("date")),
+    sinks.write_batch(f.processed_outbox_events.withColumn("event_bucket", ledger.key_bucket("event_id")),
                       f"{run}/processed_outbox_events", -1)
-    q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF)
+    q = spub.start_publish_stream(src, run, f"{run}/_checkpoints/publish", clock=AS_OF,
+                                  partitions=TOPIC_FILES)
     q.awaitTermination()
     t = spark.read.parquet(f"{run}/topic_usage_billing_chunks")
     dec = codec.decode_chunks(t, "value")
@@ -136,7 +134,7 @@ def a11(spark, d):
     f = Fixtures(spark, d)
     run = new_run_dir(spark, "a11")
     paths = sbill.BillingPaths(run)
-    sbill.seed_ledger_table(_dated_billing_ledger(f), paths)
+    sbill.seed_ledger_table(f.processed_billing_events, paths)
     c = f.chunk_deliveries
     batch = sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq")
     sbill.billing_batch(batch, 0, paths, clock=AS_OF)
@@ -162,3 +160,110 @@ def b3(spark, d):
     runs.create_run(store, req, AS_OF)
     return store.read("usage_sessions").select("id", "sandbox_id", "organization_id", "start_at", "status",
                                                "billing_sequence", "cpu", "gpu")
+
+
+@query("j3_redelivery_other_date", f"""
+SELECT event_id, session_id, sequence, {A} AS processed_at, concat(session_id, ':', CAST(sequence AS VARCHAR)) AS metronome_id,
+       organization_id FROM ({E4_SQL})""")
+def j3_dates(spark, d):
+    """As j3, but every redelivery comes in a later micro-batch and its chunk
+    starts a day later: still the same event, billed once."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j3d")
+    topic, c = f"{run}/topic_usage_billing_chunks", f.chunk_deliveries
+    for part, days in ((c.filter("delivery_no = 1"), 0), (c.filter("delivery_no > 1"), 1)):
+        moved = part.withColumn("from_ts", F.col("from_ts") + F.make_dt_interval(days=F.lit(days)))
+        topics.write_file_topic(sinks.chunk_records(moved, keep=("delivery_no",))
+                                .withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES // 2)
+    paths = sbill.BillingPaths(run)
+    sbill.seed_ledger_table(f.processed_billing_events, paths)
+    src = topics.read_chunks_stream(spark, topic, max_per_trigger=TOPIC_FILES // 2)
+    sbill.start_billing_stream(src, paths, f"{run}/_checkpoints/billing", clock=AS_OF).awaitTermination()
+    return sbill.billed_events(spark, paths)
+
+
+@query("j4_redelivery_other_date", """
+SELECT event_id, session_id, sequence, processed_at, metronome_id, organization_id, CAST(processed_at AS DATE) AS export_date
+FROM billing_processed_deliveries WHERE delivery_no = 1""")
+def j4_dates(spark, d):
+    """As j4, but every redelivery was processed a day later and comes in a later
+    micro-batch: exported once, as first delivered."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j4d")
+    topic, p = f"{run}/topic_billing_processed", f.billing_processed_deliveries
+    for part, days in ((p.filter("delivery_no = 1"), 0), (p.filter("delivery_no > 1"), 1)):
+        moved = part.withColumn("processed_at", F.col("processed_at") + F.make_dt_interval(days=F.lit(days)))
+        topics.write_file_topic(sinks.processed_records(moved, keep=("delivery_no",))
+                                .withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES // 2)
+    src = topics.read_processed_stream(spark, topic, max_per_trigger=TOPIC_FILES // 2, starting="earliest")
+    san.start_analytics_stream(src, run, f"{run}/_checkpoints/analytics").awaitTermination()
+    return san.exported(spark, run)
+
+
+def _create_requests(f: Fixtures):
+    return (f.session_lifecycle.filter(F.col("action") == "create")
+            .select(F.col("session_id").alias("id"), "sandbox_id", "organization_id", F.col("ts").alias("start_at"),
+                    "cpu", "gpu", "ram_gb", "disk_gb", "region", "sandbox_class"))
+
+
+@query("b3_conflicts", """
+SELECT 'unique:id' AS "constraint", session_id AS value, CAST(2 AS BIGINT) AS n
+FROM session_lifecycle WHERE action = 'finish'""")
+def b3_conflicts(spark, d):
+    """A second create request for every session that has finished: each comes
+    back as a violation, nothing is committed."""
+    from meterflow.plans import runs
+    from meterflow.plans.store import SnapshotStore
+    f = Fixtures(spark, d)
+    store = SnapshotStore(spark, new_run_dir(spark, "b3c"))
+    runs.create_run(store, _create_requests(f), AS_OF)
+    again = _create_requests(f).join(f.session_lifecycle.filter(F.col("action") == "finish")
+                                     .select(F.col("session_id").alias("id")), "id", "left_semi")
+    version, violations = runs.create_run(store, again, AS_OF)
+    assert version is None or again.limit(1).count() == 0
+    return violations
+
+
+@query("l5_shard_write", """
+SELECT p.event_id, CAST(('0x' || substr(md5(p.organization_id), 1, 8)) AS BIGINT) % 4 AS org_bucket,
+       coalesce(s.region, '') AS shard_region, CAST(date_trunc('year', processed_at) AS DATE) AS shard_date
+FROM billing_processed_deliveries p JOIN usage_sessions s ON s.id = p.session_id WHERE delivery_no = 1""")
+def l5_write(spark, d):
+    """Processed events written in two batches into one table sharded by tenant,
+    region and year, the second batch twice (a retry), and read back."""
+    from meterflow.operators import analytics
+    f = Fixtures(spark, d)
+    p = f.billing_processed_deliveries.filter(F.col("delivery_no") == 1)
+    rows = analytics.shard_columns(
+        p.join(f.usage_sessions.select(F.col("id").alias("session_id"), "region"), "session_id"),
+        buckets=4, period="year")
+    target = f"{new_run_dir(spark, 'l5')}/events_by_tenant"
+    for batch in (0, 1, 1):
+        sinks.write_sharded(rows.filter(F.pmod(F.xxhash64("event_id"), F.lit(2)) == batch), target, batch_id=batch)
+    back = spark.read.parquet(target)
+    return back.select("event_id", F.col("org_bucket").cast("bigint").alias("org_bucket"),
+                       F.coalesce("shard_region", F.lit("")).alias("shard_region"),
+                       F.col("shard_date").cast("date").alias("shard_date"))
+
+
+@query("publish_run_rejects", SPLIT_SQL + """
+, bad AS (
+  SELECT event_id, CASE WHEN (id // 8) % 7 = 0 THEN 'undecodable' ELSE outcome END AS outcome
+  FROM split WHERE outcome <> 'already')
+SELECT event_id, outcome, CAST(2 AS BIGINT) AS n FROM bad WHERE outcome IN ('undecodable', 'invalid')""")
+def publish_rejects(spark, d):
+    """Two publish cycles over an outbox in which the payload of every seventh
+    order's rows is not JSON: each bad row is rejected, with its reason, by both."""
+    from meterflow.plans import runs
+    from meterflow.plans.store import SnapshotStore
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "pubrej")
+    store = SnapshotStore(spark, f"{run}/store")
+    broken = F.floor(F.col("id") / 8) % 7 == 0
+    rows = f.outbox_with_payload().withColumn("payload", F.when(broken, F.lit("not json")).otherwise(F.col("payload")))
+    runs.init_store(store, f.usage_sessions, rows)
+    seed = f.processed_outbox_events.withColumn("event_bucket", ledger.key_bucket("event_id"))
+    store.commit({"processed_outbox_events": (seed, "append")}, "seed")
+    for _ in range(2):
+        runs.publish_run(store, f"{run}/topic", AS_OF)
+    return store.read("outbox_rejects").groupBy("event_id", "outcome").agg(F.count(F.lit(1)).alias("n"))

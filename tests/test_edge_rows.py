@@ -239,15 +239,41 @@ def test_hot_key_is_reduced_not_collected(spark):
     assert (agg.c, agg.lo, agg.hi) == (200_000, 1, 200_000)
 
 
-def test_batch_dates_skip_missing_and_range_filter(spark):
-    df = spark.createDataFrame([(AS_OF,), (None,), (AS_OF + dt.timedelta(days=2),)], "from_ts timestamp_ntz")
-    dates = ledger.batch_dates(df)
-    assert dates == [AS_OF.date(), (AS_OF + dt.timedelta(days=2)).date()]
-    table = spark.createDataFrame([(AS_OF.date(),), ((AS_OF + dt.timedelta(days=1)).date(),),
-                                   ((AS_OF + dt.timedelta(days=9)).date(),), (None,)], "chunk_date date")
-    assert table.transform(lambda t: ledger.date_pruned(t, dates)).count() == 2   # exact list + null
-    many = [AS_OF.date() + dt.timedelta(days=i) for i in range(0, 130, 2)]   # over the list limit: range
-    assert table.transform(lambda t: ledger.date_pruned(t, many)).count() == 4
+def test_bucket_pruning_never_hides_a_key(spark):
+    """Any batch, however many buckets: every stored row of a batch key is read,
+    rows without a bucket too; a small batch reads few rows."""
+    table = spark.range(5000).select(F.concat(F.lit("e"), "id").alias("event_id"))
+    table = table.withColumn("event_bucket", F.when(F.rand(1) > 0.01, ledger.key_bucket("event_id"))).cache()
+    for n in (0, 1, 40, 4000):
+        keys = spark.range(n).select(F.concat(F.lit("e"), "id").alias("event_id"))
+        pruned = ledger.bucket_pruned(table, keys, "event_id", "event_bucket")
+        assert pruned.join(keys, "event_id").count() == n
+        assert pruned.filter("event_bucket is null").count() == table.filter("event_bucket is null").count()
+        if n == 1:
+            assert pruned.count() < 200
+
+
+def test_a_broken_bound_is_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "BROADCAST_KEYS_MAX_ROWS", 10)
+    assert ledger.may_broadcast(spark.range(10), 10) and not ledger.may_broadcast(spark.range(11), 10)
+    assert not ledger.may_broadcast(spark.range(1), None) and not ledger.may_broadcast(spark.range(1), 11)
+
+
+def test_expanding_hot_counts_over_tasks(spark):
+    df = spark.createDataFrame([("hot", 400_000), ("a", 3), ("b", 4096), ("c", 0)], "k string, n bigint")
+    out = explode_count(df, "n", "i", spread=True)
+    got = {r.k: (r.c, r.lo, r.hi) for r in out.groupBy("k").agg(
+        F.count(F.lit(1)).alias("c"), F.min("i").alias("lo"), F.max("i").alias("hi")).collect()}
+    assert got == {"hot": (400_000, 1, 400_000), "a": (3, 1, 3), "b": (4096, 1, 4096)}
+    most = out.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < 200_000
+
+
+def test_predecessor_without_an_end_is_not_missing(spark):
+    rows = [("s", 1, AS_OF, None, "e1"), ("s", 2, AS_OF, AS_OF, "e2"), ("s", 4, AS_OF, AS_OF, "e4")]
+    c = spark.createDataFrame(rows, "session_id string, sequence long, from_ts timestamp_ntz, to_ts timestamp_ntz, "
+                                    "event_id string")
+    assert [(r.sequence, r.issue) for r in chunks.sequence_gaps(c).collect()] == [(4, "missing_previous")]
 
 
 def test_next_sequence_hot_session_is_exact(spark):

@@ -145,3 +145,30 @@ def test_compact_outbox_folds_marks(spark, fx_small):
     assert store.read("outbox_marks").count() == 0
     assert sorted(tuple(r) for r in runs.current_outbox(store).collect()) == before
     assert runs.current_outbox(store).filter(F.col("published_at").isNull()).count() == 0
+
+
+def test_failed_rows_are_retried_then_dead_and_block_nobody(spark, fx_small):
+    """A bad oldest row under a lease of one: it fails, is retried up to the limit,
+    becomes a dead letter, and the good row behind it is published; the last error
+    is that of the latest run."""
+    run = new_run_dir(spark, "t-dead")
+    store = SnapshotStore(spark, f"{run}/store")
+    two = outbox.unpublished_events(fx_small.outbox_with_payload()).orderBy("id").limit(40)
+    good = outbox.publish_split(two, fx_small.processed_outbox_events.limit(0)).filter("outcome = 'publish'")
+    keep = two.join(good.select("id").orderBy("id").limit(2), "id").orderBy("id")
+    ids = [r.id for r in keep.collect()]
+    rows = keep.withColumn("payload", F.when(F.col("id") == ids[0], F.lit("not json")).otherwise(F.col("payload")))
+    rows = rows.withColumn("created_at", F.when(F.col("id") == ids[0], F.lit("2000-01-01").cast("timestamp_ntz"))
+                           .otherwise(F.col("created_at")))
+    runs.init_store(store, fx_small.usage_sessions, rows)
+    for _ in range(3):
+        runs.publish_run(store, f"{run}/topic", AS_OF, limit=1, max_retries=2)
+    state = {r.id: r for r in runs.current_outbox(store).collect()}
+    assert state[ids[0]].retry_count == 2 and state[ids[0]].published_at is None
+    assert state[ids[1]].published_at is not None
+    assert [r.id for r in runs.dead_letters(store, 2).collect()] == [ids[0]]
+    assert store.read("outbox_rejects").filter("outcome = 'undecodable'").count() == 2
+    late = spark.createDataFrame([(ids[1], None, 1, "zzz first", 90), (ids[1], None, 1, "aaa newest", 91)],
+                                 runs.MARKS_SCHEMA)
+    store.commit({"outbox_marks": (late, "append")}, "marks")
+    assert {r.id: r.last_error for r in runs.current_outbox(store).collect()}[ids[1]] == "aaa newest"

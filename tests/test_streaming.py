@@ -24,6 +24,17 @@ def _records(fx, part=None, parts=None):
     return sinks.chunk_records(c, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq")
 
 
+def _one_chunk(spark, event_id, session_id, sequence, from_ts, to_ts):
+    """One chunk delivery in topic shape."""
+    row = spark.range(1).select(
+        F.lit(event_id).alias("event_id"), F.lit(session_id).alias("session_id"), F.lit("sb").alias("sandbox_id"),
+        F.lit("org").alias("organization_id"), F.lit(sequence).cast("bigint").alias("sequence"),
+        F.lit(from_ts).cast("timestamp_ntz").alias("from_ts"), F.lit(to_ts).cast("timestamp_ntz").alias("to_ts"),
+        *[F.lit(1.0).alias(c) for c in ("cpu", "gpu", "ram_gb", "disk_gb")],
+        *[F.lit("x").alias(c) for c in ("region", "region_type", "sandbox_class")])
+    return sinks.chunk_records(row)
+
+
 def _outputs(spark, paths):
     led = spark.read.parquet(paths.ledger)
     ven = spark.read.parquet(paths.vendor)
@@ -173,6 +184,69 @@ def test_sharded_write_layout(spark, fx_small):
     assert back.filter(F.col("org_bucket") == 0).count() == df.filter(F.col("org_bucket") == 0).count()
 
 
+def test_redelivery_with_another_date_is_billed_once(spark):
+    """One event, one transaction; the redelivery moves ``from`` by a day, in a
+    later batch."""
+    day = dt.timedelta(days=1)
+    run = new_run_dir(spark, "t-dates")
+    topic, paths = f"{run}/topic", sbill.BillingPaths(run)
+    t0 = dt.datetime(2024, 1, 1)
+    for n in range(3):
+        rec = _one_chunk(spark, "e1", "s1", 1, t0 + n * day, t0 + n * day + dt.timedelta(hours=1))
+        topics.write_file_topic(rec.withColumn("seq", F.lit(n).cast("bigint")), topic, 1)
+    _run(spark, topic, paths, f"{run}/_chk", None)
+    assert spark.read.parquet(paths.ledger).count() == 1
+    assert spark.read.parquet(paths.vendor).count() == 1
+    assert sbill.billed_events(spark, paths).count() == 1
+
+
+def test_redelivery_after_midnight_is_exported_once(spark):
+    from meterflow.streaming import analytics as san
+    run = new_run_dir(spark, "t-midnight")
+    for n, at in enumerate((dt.datetime(2024, 1, 1, 23, 59, 59), dt.datetime(2024, 1, 2, 0, 0, 1))):
+        p = spark.createDataFrame([("e1", "s1", 1, at, "s1:1", "org", n)],
+                                  "event_id string, session_id string, sequence long, processed_at timestamp_ntz, "
+                                  "metronome_id string, organization_id string, seq long")
+        topics.write_file_topic(sinks.processed_records(p, keep=("seq",)), f"{run}/topic", 1)
+    src = topics.read_processed_stream(spark, f"{run}/topic", max_per_trigger=1, starting="earliest")
+    san.start_analytics_stream(src, run, f"{run}/_chk").awaitTermination()
+    assert [r.processed_at.day for r in san.exported(spark, run).collect()] == [1]
+
+
+def test_one_event_id_twice_in_a_lease_is_published_once(spark, fx_small):
+    run = new_run_dir(spark, "t-twice")
+    one = outbox.unpublished_events(fx_small.outbox_with_payload()).limit(5).cache()
+    empty = fx_small.processed_outbox_events.limit(0)
+    good = outbox.publish_split(one, empty).filter("outcome = 'publish'")
+    n = good.count()
+    both = one.unionByName(one.withColumn("id", F.col("id") + 10_000_000))
+    spub.publish_batch(both, 0, run, AS_OF, empty, 2)
+    assert n > 0 and spark.read.parquet(f"{run}/topic_usage_billing_chunks").count() == n
+
+
+def test_second_shard_write_keeps_the_first(spark):
+    root = new_run_dir(spark, "t-shard2")
+    rows = spark.createDataFrame([("a", 1, "eu", dt.date(2024, 1, 1)), ("b", 2, "us", dt.date(2024, 1, 2))],
+                                 "event_id string, org_bucket int, shard_region string, shard_date date")
+    for b, r in enumerate(("a", "b", "b")):
+        sinks.write_sharded(rows.filter(F.col("event_id") == r), root, batch_id=min(b, 1))
+    assert sorted(r.event_id for r in spark.read.parquet(root).collect()) == ["a", "b"]
+
+
+def test_kafka_servers_reach_the_topic_writer(spark, fx_small, monkeypatch):
+    """No broker here: the writer is replaced and the arguments looked at."""
+    seen = []
+    monkeypatch.setattr(sinks, "write_topic", lambda df, target, topic, servers=None, batch_id=None:
+                        seen.append((topic, servers, df.columns)))
+    run = new_run_dir(spark, "t-kafka")
+    spub.publish_batch(outbox.unpublished_events(fx_small.outbox_with_payload()).limit(3), 0, run, AS_OF,
+                       fx_small.processed_outbox_events, 2, "broker:9092")
+    batch = _records(fx_small).limit(3)
+    sbill.billing_batch(batch, 0, sbill.BillingPaths(run), AS_OF, kafka_servers="broker:9092")
+    assert [(t, s) for t, s, _ in seen] == [(S.TOPIC_CHUNKS, "broker:9092"), (S.TOPIC_PROCESSED, "broker:9092")]
+    assert all("seq" not in c for *_, c in seen)
+
+
 def test_batch_stats_add_up(spark, clean_run):
     _, topic, paths = clean_run
     st = sbill.batch_stats(spark, paths)
@@ -211,10 +285,10 @@ def test_compacting_stream_tables_keeps_results(spark, fx_small):
     topic, paths, chk = f"{run}/topic", sbill.BillingPaths(run), f"{run}/_chk"
     topics.write_file_topic(_records(fx_small, 0, 2), topic, 2)
     _run(spark, topic, paths, chk, fx_small.processed_billing_events)
-    led_schema = "event_id string, transaction_id string, chunk_date date, batch_id bigint"
+    led_schema = sbill.LEDGER_SCHEMA
     before = sorted(r.event_id for r in compaction.visible(spark, paths.ledger, led_schema).collect())
-    cid = compaction.compact_batches(spark, paths.ledger, 1, led_schema, ("chunk_date", "event_id"))
-    compaction.compact_batches(spark, paths.vendor, 1, "transaction_id string, batch_id bigint")
+    cid = compaction.compact_batches(spark, paths.ledger, 1, led_schema, ("event_bucket", "event_id"))
+    compaction.compact_batches(spark, paths.vendor, 1, sbill.VENDOR_SCHEMA)
     after = sorted(r.event_id for r in compaction.visible(spark, paths.ledger, led_schema).collect())
     assert after == before and cid == -3
     assert spark.read.parquet(paths.ledger).count() == 2 * len(before)   # folded folders still on disk
