@@ -11,6 +11,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 # Session settings every entry point relies on: UTC clock, AQE for runtime
@@ -84,9 +85,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_parquet_or_empty(spark: SparkSession, path: str, schema: str):
-    """A table that may not have been written yet (first micro-batch)."""
+    """A table that may not have been written yet, or only with empty batches."""
     if path_exists(spark, path):
-        return spark.read.parquet(path)
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            if e.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+                raise
     return spark.createDataFrame([], schema)
 
 

@@ -18,7 +18,8 @@ from meterflow.streaming import analytics as san
 from meterflow.streaming import billing as sbill
 from meterflow.streaming import publish as spub
 from meterflow.streaming import topics
-from meterflow.streaming.state_machine import SENTINEL, session_state_machine
+from meterflow.streaming import lifecycle
+from meterflow.streaming.lifecycle import SENTINEL
 
 TOPIC_FILES = 8
 
@@ -101,23 +102,21 @@ SELECT sha256(concat(session_id, ':', CAST(sequence AS VARCHAR))) AS event_id, *
 
 @query("j9_session_state_machine", J9_SQL)
 def j9(spark, d):
-    """Session lifecycle events up to the clock, plus a watermark sentinel at
-    the clock, through the keyed state machine (90-day ticks)."""
+    """Session lifecycle events up to the clock in shuffled order (a finish may
+    come batches before its create), then a row that moves the clock, through the
+    state table (90-day ticks). The allowed disorder is the table's whole span."""
     f = Fixtures(spark, d)
     run = new_run_dir(spark, "j9")
     lc = f.session_lifecycle.filter(F.col("ts") <= X.ts_lit(AS_OF))
-    sentinel = spark.range(1).select(F.lit(SENTINEL).alias("session_id"), F.lit("tick").alias("action"),
-                                     X.ts_lit(AS_OF).alias("ts"))
-    events = lc.unionByName(sentinel, allowMissingColumns=True)
-    src_dir = f"{run}/lifecycle"
-    events.write.parquet(src_dir)
-    src = spark.readStream.schema(events.schema).parquet(src_dir)
-    out = session_state_machine(src, f"{S.BACKFILL_INTERVAL_DAYS} days")
-    q = (out.writeStream.format("parquet").option("path", f"{run}/chunks")
-         .option("checkpointLocation", f"{run}/_checkpoints/j9").outputMode("append")
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    r = spark.read.parquet(f"{run}/chunks")
+    src_dir, days = f"{run}/lifecycle", 4000
+    lc.repartition(4, F.xxhash64("session_id", "action")).write.parquet(src_dir)
+    end = spark.range(1).select(F.lit(SENTINEL).alias("session_id"), F.lit("tick").alias("action"),
+                                (X.ts_lit(AS_OF) + F.make_dt_interval(days=F.lit(days))).alias("ts"))
+    (lc.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(src_dir))
+    src = spark.readStream.schema(lc.schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
+    lifecycle.start_lifecycle_stream(src, run, f"{run}/_checkpoints/j9", f"{days} days",
+                                     f"{S.BACKFILL_INTERVAL_DAYS} days").awaitTermination()
+    r = lifecycle.chunks(spark, run)
     return r.select("event_id", "session_id", "sequence", "from_ts", "to_ts", "organization_id", "cpu", "kind")
 
 

@@ -11,7 +11,9 @@ A grouped stateful operator with event-time timers:
 
 Ticks are emitted only up to the watermark, so results are deterministic for
 any batching as long as events are no more out of order than the watermark
-delay (later events are dropped by Spark as late). Tests drain the last ticks
+delay, which the caller states. Spark drops later events, and a finish must not
+come before its create: where either can happen use ``lifecycle``, which keeps its
+state as a table, loses no event and needs no Python. Tests drain the last ticks
 with a sentinel event that moves the watermark.
 
 Two engines run the same transitions (``_Machine``):
@@ -217,7 +219,7 @@ class SessionProcessor(StatefulProcessor):
         pass
 
 
-def session_state_machine(events: DataFrame, interval: str = "90 days", delay: str = "0 seconds",
+def session_state_machine(events: DataFrame, interval: str, delay: str,
                           engine: str = "processor") -> DataFrame:
     """Streaming lifecycle events -> chunk rows with event ids.
 

@@ -146,7 +146,7 @@ def test_state_machine_ticks_and_final(spark, engine):
     run = new_run_dir(spark, "t-j9")
     ev.write.parquet(f"{run}/in")
     src = spark.readStream.schema(ev.schema).parquet(f"{run}/in")
-    out = session_state_machine(src, "10 days", engine=engine)
+    out = session_state_machine(src, "10 days", "0 seconds", engine=engine)
     q = (out.writeStream.format("parquet").option("path", f"{run}/out")
          .option("checkpointLocation", f"{run}/_chk").trigger(availableNow=True).start())
     q.awaitTermination()
@@ -160,6 +160,49 @@ def test_state_machine_ticks_and_final(spark, engine):
     ]
 
 
+_LC = ("session_id string, action string, ts timestamp_ntz, sandbox_id string, organization_id string, "
+       "cpu double, gpu double, ram_gb double, disk_gb double, region string, sandbox_class string")
+
+
+def _lifecycle(spark, batches, delay, interval="10 days"):
+    from meterflow.streaming import lifecycle
+    run = new_run_dir(spark, "t-life")
+    attrs = ("sb", "org", 2.0, 0.0, 4.0, 20.0, "us-east-1", "container")
+    for b, rows in enumerate(batches):
+        df = spark.createDataFrame([(s, a, t) + attrs for s, a, t in rows], _LC)
+        for _ in range(2):  # every batch twice: a retry writes the same again
+            lifecycle.lifecycle_batch(df, b, run, interval, delay)
+    got = lifecycle.chunks(spark, run).collect()
+    bad = lifecycle.rejects(spark, run).collect()
+    return (sorted((r.session_id, r.sequence, r.from_ts, r.to_ts, r.kind) for r in got),
+            sorted((str(r.session_id), r.action, r.reason) for r in bad))
+
+
+def test_lifecycle_in_any_order(spark):
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    at = lambda n: t0 + n * day
+    events = [("a", "create", at(0)), ("a", "finish", at(25)), ("b", "create", at(2)), ("c", "finish", at(4)),
+              ("c", "create", at(0))]
+    want = [("a", 1, at(0), at(10), "tick"), ("a", 2, at(10), at(20), "tick"), ("a", 3, at(20), at(25), "final"),
+            ("b", 1, at(2), at(12), "tick"), ("b", 2, at(12), at(22), "tick"), ("b", 3, at(22), at(32), "tick"),
+            ("c", 1, at(0), at(4), "final")]
+    end = ("__watermark__", "tick", at(140))
+    for order in (events, events[::-1], [events[i] for i in (3, 1, 4, 0, 2)]):
+        batches = [order[:2], order[2:4], order[4:], [end]]
+        assert _lifecycle(spark, batches, "100 days") == (want, [])
+
+
+def test_lifecycle_rejects_are_kept(spark):
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    at = lambda n: t0 + n * day
+    got, bad = _lifecycle(spark, [[("a", "create", at(0)), ("b", "create", at(40))], [("a", "finish", at(4))],
+                                  [("a", "create", at(0)), (None, "create", at(1)), ("x", "what", at(1)), ("y", "create", None)]],
+                          "0 days")
+    assert [g[:2] for g in got] == [("a", n) for n in range(1, 5)]
+    assert bad == sorted([("a", "finish", "finish_before_billed"), ("a", "create", "session_closed"),
+                          ("None", "create", "invalid"), ("x", "what", "invalid"), ("y", "create", "invalid")])
+
+
 def test_ordered_by_key_keeps_per_key_sequence(spark, fx_small):
     """Every key lives in one partition, in sequence order inside it."""
     recs = spub.ordered_by_key(fx_small.first_deliveries, "sandbox_id", ["sequence"], 4)
