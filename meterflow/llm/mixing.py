@@ -12,8 +12,8 @@ are bounded by the distinct sizes, not by the rows.
 
 Rounding into copies: cells of equal (source, size) get whole copies by
 systematic rounding along falling sizes; of ``OFFSETS`` starting points each
-source takes the one whose words come nearest its target. Inside a cell the
-extra copies go to the least hashes of doc_id, counted in ``SALTS`` parts so that
+source takes the one whose words come nearest its target, and a few single
+copies are moved to come nearer still. Inside a cell the extra copies go to the least hashes of doc_id, counted in ``SALTS`` parts so that
 a hot cell is never ordered in one task.
 
 Cases: null and empty texts have size 0 and rate 1 copy, taking no words; null
@@ -35,6 +35,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 OFFSETS = 128
 SALTS = 256
+CORRECTIONS = 6
 MAX_STEPS = 60
 TOLERANCE = 1e-7
 
@@ -149,9 +150,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
         F.abs(F.sum(F.col("size") * (F.col("n") * F.col("floor") + F.col("extra"))) - F.first("target")).alias("err"))
     best = errors.groupBy(F.col("source").alias("s")).agg(F.min(F.struct("err", "o")).getField("o").alias("o"))
     chosen = (rated.join(best, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-              .withColumn("extra", _extra(start))
-              .select(F.col("source").alias("s"), F.col("size").alias("z"), "n", "floor", "extra",
-                      "source_size", "target"))
+              .withColumn("all", F.col("n") * F.col("floor") + _extra(start)))
+    chosen = _corrected(chosen, cap)
+    chosen = chosen.select(F.col("source").alias("s"), F.col("size").alias("z"), "n",
+                           F.floor(F.col("all") / F.col("n")).alias("floor"),
+                           (F.col("all") % F.col("n")).alias("extra"), "source_size", "target")
     # each salt part gets its share of the extra copies by running counts
     run = Window.partitionBy("source", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)
     upto = F.col("part_upto")
@@ -179,6 +182,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
             .select(*keep, "size", "source_size", "target", copies.alias("copies")))
 
 
+def _corrected(cells: DataFrame, cap: float) -> DataFrame:
+    """cells with column all (copies of the whole cell) moved towards the target:
+    in each round a source gives or takes one copy of the document size that leaves
+    the least distance, as long as that is less than before."""
+    whole = Window.partitionBy("source")
+    for _ in range(CORRECTIONS):
+        left = F.col("target") - F.sum(F.col("size") * F.col("all")).over(whole)
+        cells = cells.withColumn("left", left)
+        step = (F.when((F.col("left") > 0) & (F.col("all") < cap * F.col("n")), 1)
+                .when((F.col("left") < 0) & (F.col("all") > 0), -1))
+        cells = cells.withColumn("step", step).withColumn(
+            "off", F.abs(F.col("left") - F.col("step") * F.col("size")))
+        first = F.min(F.when((F.col("size") > 0) & (F.col("off") < F.abs("left")),
+                             F.struct("off", "size"))).over(whole)
+        cells = cells.withColumn("first", first).withColumn(
+            "all", F.when(F.col("first.size") == F.col("size"), F.col("all") + F.col("step")).otherwise(F.col("all")))
+        cells = cells.drop("left", "step", "off", "first")
+    return cells
+
+
 def _extra(start: Column) -> Column:
     """Whole copies of a cell: the running sum of wanted copies, cut at whole
     numbers from the given starting point; at most one per document."""
