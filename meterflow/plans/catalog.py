@@ -88,6 +88,11 @@ def a3(spark, d):
     return ledger.read_ledger(fx(spark, d).processed_billing_events, "billing")
 
 
+@query("a3_read_publisher_ledger", "SELECT event_id, session_id, sequence, processed_at FROM processed_outbox_events")
+def a3_outbox(spark, d):
+    return ledger.read_ledger(fx(spark, d).processed_outbox_events, "outbox")
+
+
 @query("a6_write_chunks", f"""
 SELECT sandbox_id AS key, 'billing_chunk_created' AS h_event_type, event_id AS h_event_id,
        organization_id AS h_organization_id, event_id, session_id, sequence, from_ts, to_ts, cpu, gpu
@@ -392,6 +397,13 @@ def c8(spark, d):
     return ledger.processed_in_range(fx(spark, d).processed_billing_events, RANGE_LO, RANGE_HI)
 
 
+@query("c8_published_in_range", f"""
+SELECT event_id, session_id, sequence, processed_at FROM processed_outbox_events
+WHERE processed_at BETWEEN {RANGE_LO_SQL} AND {RANGE_HI_SQL}""")
+def c8_outbox(spark, d):
+    return ledger.processed_in_range(fx(spark, d).processed_outbox_events, RANGE_LO, RANGE_HI)
+
+
 @query("c9_not_null_event", """
 SELECT event_id, session_id, sequence, processed_at, metronome_id, organization_id FROM billing_processed_deliveries""")
 def c9(spark, d):
@@ -439,6 +451,26 @@ def d3(spark, d):
     return ledger.ledger_by_event_id(f.chunk_deliveries.select("event_id"), f.processed_billing_events)
 
 
+@query("d3_publisher_ledger_by_event_id", """
+, k AS (SELECT DISTINCT event_id FROM chunk_deliveries)
+SELECT k.event_id, p.session_id, p.sequence, p.processed_at, p.event_id IS NOT NULL AS found
+FROM k LEFT JOIN processed_outbox_events p ON p.event_id = k.event_id""")
+def d3_outbox(spark, d):
+    f = fx(spark, d)
+    return ledger.ledger_by_event_id(f.chunk_deliveries.select("event_id"), f.processed_outbox_events)
+
+
+@query("d4_billing_ledger_by_id", f"""
+, l AS (SELECT {STABLE_ID.format(x='event_id')} AS id, * FROM processed_billing_events),
+  k AS (SELECT DISTINCT {STABLE_ID.format(x='event_id')} AS id FROM outbox_events)
+SELECT k.id, l.event_id, l.session_id, l.sequence, l.transaction_id, l.processed_at, l.id IS NOT NULL AS found
+FROM k LEFT JOIN l ON l.id = k.id""")
+def d4_billing(spark, d):
+    f = fx(spark, d)
+    led = f.processed_billing_events.select(X.stable_id(F.col("event_id")).alias("id"), "*")
+    return ledger.ledger_by_id(f.outbox_events.select(X.stable_id(F.col("event_id")).alias("id")), led)
+
+
 @query("d4_ledger_by_id", f"""
 , l AS (SELECT {STABLE_ID.format(x='event_id')} AS id, * FROM processed_outbox_events),
   k AS (SELECT DISTINCT {STABLE_ID.format(x='event_id')} AS id FROM outbox_events)
@@ -600,6 +632,13 @@ def g4(spark, d):
     return ledger.latest_processed(fx(spark, d).processed_billing_events, RANGE_LO, RANGE_HI, S.SCAN_PAGE)
 
 
+@query("g4_latest_published", f"""
+SELECT event_id, session_id, sequence, processed_at FROM processed_outbox_events
+WHERE processed_at BETWEEN {RANGE_LO_SQL} AND {RANGE_HI_SQL} ORDER BY processed_at DESC, event_id LIMIT {S.SCAN_PAGE}""")
+def g4_outbox(spark, d):
+    return ledger.latest_processed(fx(spark, d).processed_outbox_events, RANGE_LO, RANGE_HI, S.SCAN_PAGE)
+
+
 @query("g5_sessions_after_cursor", f"""
 SELECT * FROM usage_sessions WHERE {ELIGIBLE_SQL} AND id > '{CURSOR}' ORDER BY id LIMIT {S.SCAN_PAGE}""")
 def g5(spark, d):
@@ -723,6 +762,21 @@ def i5b(spark, d):
     return dead.select("id", "event_id", "retry_count", "last_error")
 
 
+@query("i6_delete_billing_rows", """
+SELECT event_id, session_id, sequence, transaction_id, processed_at FROM processed_billing_events p
+WHERE NOT EXISTS (SELECT 1 FROM outbox_events o WHERE o.event_id = p.event_id AND o.published_at IS NULL)
+  AND sequence > 1""")
+def i6_billing(spark, d):
+    """Drop billing-ledger rows of first chunks and of events never published."""
+    f = fx(spark, d)
+    led = f.processed_billing_events.select(X.stable_id(F.col("event_id")).alias("id"), "*")
+    gone = led.filter("sequence = 1").select("id").unionByName(
+        ledger.already_processed(outbox.unpublished_events(f.outbox_events), led)
+        .select(X.stable_id(F.col("event_id")).alias("id")))
+    new, _ = ledger.delete_by_id(led, gone)
+    return new.drop("id")
+
+
 @query("i6_delete_by_id", f"""
 SELECT event_id, session_id, sequence, processed_at FROM processed_outbox_events p
 WHERE NOT EXISTS (SELECT 1 FROM outbox_events o WHERE o.event_id = p.event_id AND o.published_at IS NULL)""")
