@@ -18,11 +18,11 @@ when no row can be learnt from; repeated rows agree; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ RATE = 0.01
 HOLD, HELD = 4, 2
 UNKNOWN = "und"
 _SIDE = 2048  # windows run side by side
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def windows_of(text: str) -> np.ndarray:

@@ -52,7 +52,7 @@ def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(langid, "STEPS", 60)
     rows = [(i, ("der die das und " if i % 2 else "the and of with ") * (1 + i % 5), "de" if i % 2 else "en")
             for i in range(200)]
-    rows += [(900, None, "de"), (901, "", "de"), (902, "123 ... !!", "en"), (903, "der die das und " * 9000, None),
+    rows += [(900, None, "de"), (901, "", "de"), (902, "123 ² ½ Ⅷ ... !!", "en"), (903, "der die das und " * 9000, None),
              (None, "the and of with", None), (904, "the", None), (904, "the", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr(
         "*", "1 as lang_pred", "2 as score", "3 as rank", "4 as l", "5 as h")
