@@ -24,25 +24,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import DOC_COLS, ascii_lower, text_key
+from meterflow.llm.common import DOC_COLS, ascii_lower, let, text_key
 
 WINDOW = 13
-# Fixed by the contract, for lower-cased text: digits, a-z and everything beyond ASCII.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+# Fixed by the contract, for lower-cased text: words are runs of digits, a-z and
+# everything beyond ASCII, so they are cut at runs of the other ASCII characters.
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 2_000_000  # about 100 MB as a hashed relation
 _SHARE = 20  # contaminated: at least one in this many words
 
 
 def words(text: Column) -> Column:
-    return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), BETWEEN, -1), "")
 
 
-def _gram(hashes: Column, at: Column, length: int | Column) -> Column:
-    return F.xxhash64(F.slice(hashes, at, length))
+def _grams(hashes: Column, length: int) -> Column:
+    """Hashes of all runs of ``length`` word hashes, in order. Runs of 1, 2, 4 ...
+    words are hashed from two halves; a length is put together from those, the
+    longest first, so a position costs a few hashes instead of ``length``."""
+    def joined(a: Column, b: Column, shift: int) -> Column:
+        return F.zip_with(a, F.slice(b, shift + 1, F.size(b)), lambda x, y: F.xxhash64(x, y))
 
+    def build(doubles: list[Column]) -> Column:
+        size = 1 << (len(doubles) - 1)
+        if 2 * size <= length:
+            return let(joined(doubles[-1], doubles[-1], size), lambda d: build([*doubles, d]))
+        out, have = doubles[-1], size
+        for k in reversed(range(len(doubles) - 1)):
+            if have + (1 << k) <= length:
+                out = joined(out, doubles[k], have)
+                have += 1 << k
+        # the last length - 1 places have no full run
+        return F.slice(out, 1, F.greatest(F.size(doubles[0]) - length + 1, F.lit(0)))
 
-def _grams(hashes: Column, n: Column, length: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: _gram(hashes, i, length))
+    return let(hashes, lambda h: build([h]))
 
 
 def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -50,11 +65,13 @@ def windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     items holds the ids of the items that have the window; it is bounded by the
     benchmark, which is the small side."""
     w = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0").withColumn(
-        "len", F.least(F.size("w"), F.lit(window)))
-    w = w.withColumn("at", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("len") + 1)))
-    gram = F.slice("w", F.col("at"), F.col("len"))
-    return (w.select("item_id", "len", _gram(F.transform("w", lambda x: F.xxhash64(x)), F.col("at"), F.col("len"))
-                     .alias("gram"), _check(gram, 1).alias("check_a"), _check(gram, 2).alias("check_b"))
+        "h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("len", F.least(F.size("w"), F.lit(window)))
+    grams = F.when(F.col("len") == window, _grams(F.col("h"), window))
+    for n in range(1, window):
+        grams = grams.when(F.col("len") == n, _grams(F.col("h"), n))
+    w = w.select("item_id", "len", "w", F.posexplode(grams).alias("at", "gram"))
+    words_of = F.slice("w", F.col("at") + 1, F.col("len"))
+    return (w.select("item_id", "len", "gram", _check(words_of, 1).alias("check_a"), _check(words_of, 2).alias("check_b"))
             .groupBy("len", "gram", "check_a", "check_b").agg(F.sort_array(F.collect_set(
                 F.struct(F.col("item_id").alias("id")))).alias("items")))
 
@@ -77,8 +94,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     grams_of, at, length, upto = [F.array(F.lit(0).cast("long"))], F.lit(-1), F.lit(0), F.lit(0)
     for size in sorted(lengths):
         last = F.greatest(n - size + 1, F.lit(0))
-        grams_of.append(F.when(last > 0, _grams(F.col("h"), last, size))
-                        .otherwise(F.array().cast("array<bigint>")))
+        grams_of.append(_grams(F.col("h"), size))
         here = (F.col("p") > upto) & (F.col("p") <= upto + last)
         at, length = F.when(here, F.col("p") - upto).otherwise(at), F.when(here, F.lit(size)).otherwise(length)
         upto = upto + last
