@@ -66,14 +66,22 @@ def key_bucket(key) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(KEY_BUCKETS)).cast("int")
 
 
-def bucket_pruned(table: DataFrame, keys: DataFrame, key: str, bucket_col: str) -> DataFrame:
+def batch_buckets(keys: DataFrame, key: str) -> list[int]:
+    """The buckets of a (bounded) batch's keys; at most ``KEY_BUCKETS`` numbers reach
+    the driver."""
+    found = keys.select(key_bucket(key).alias("b")).distinct().collect()
+    return sorted(r.b for r in found if r.b is not None)
+
+
+def bucket_pruned(table: DataFrame, keys: DataFrame, key: str, bucket_col: str,
+                  buckets: list[int] | None = None) -> DataFrame:
     """Only the rows of ``table`` whose bucket some key of the (bounded) batch has,
-    plus rows stored without a bucket. At most ``KEY_BUCKETS`` numbers reach the
-    driver. Files are written sorted by the bucket, so for a small batch the pushed
+    plus rows stored without a bucket; ``buckets`` when they are known already.
+    Files are written sorted by the bucket, so for a small batch the pushed
     predicate skips row groups; a batch that has every bucket reads all."""
     if bucket_col not in table.columns:
         return table
-    found = sorted(r.b for r in keys.select(key_bucket(key).alias("b")).distinct().collect() if r.b is not None)
+    found = batch_buckets(keys, key) if buckets is None else buckets
     if len(found) >= KEY_BUCKETS:
         return table
     return table.filter(F.col(bucket_col).isin(found) | F.col(bucket_col).isNull())
