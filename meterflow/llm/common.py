@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import shutil
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,6 +32,26 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, unless their path has it already
+    (PYTHONPATH, or the working folder under a local master)."""
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    root, context = os.path.dirname(package), spark.sparkContext
+    there = [p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local") and not context.master.startswith("local-cluster"):
+        there.append(os.getcwd())
+    if root in map(os.path.abspath, there) or context.applicationId in _SHIPPED:
+        return
+    # the driver's own temporary file; Spark hands copies to the executors
+    archive = shutil.make_archive(os.path.join(tempfile.mkdtemp(), os.path.basename(package)), "zip",
+                                  root, os.path.basename(package))
+    context.addPyFile(archive)
+    _SHIPPED.add(context.applicationId)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once: inside a lambda an outer expression
     would be computed again for every element."""

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import id_mod
+from meterflow.llm.common import id_mod, ship
 
 HIDDEN = 10
 WINDOW = 64
@@ -198,6 +198,8 @@ def train(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> BiGru | None
     chosen = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l"))
                         & (F.xxhash64("text") == F.col("h")))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<binary>")
     def some(texts: pd.Series) -> pd.Series:
         def spread(t: str) -> list[bytes]:
@@ -222,6 +224,8 @@ def predicted(docs: DataFrame, model: BiGru | None) -> DataFrame:
     if model is None:
         return docs.withColumns({"lang_pred": F.lit(UNKNOWN), "score": F.lit(0.0)})
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("lang_pred string, score double")
     def label(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import cut
+from meterflow.llm.common import cut, ship
 
 SLOTS = 64
 FROM_LEVEL = 3
@@ -191,6 +191,7 @@ def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, sha, own, changed, near_edited, near_next), sketches and
     hash as binary."""
+    ship(docs.sparkSession)
     order = [F.asc_nulls_last("doc_id"), F.asc("key")]
     rows = (docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
             .withColumn("key", F.xxhash64("text")).repartitionByRange(*order).sortWithinPartitions(*order)

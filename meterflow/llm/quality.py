@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import id_mod, labelled_sample
+from meterflow.llm.common import id_mod, labelled_sample, ship
 
 FEATURES = ("words", "word_length", "upper", "digits", "symbols", "bare_symbols", "symbol_runs", "distinct",
             "repeats", "line_length", "repeated_lines", "short_words", "longest_word", "stops", "non_ascii",
@@ -197,6 +197,8 @@ class Gam:
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Gam | None:
     """None when the training rows have only one class."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("array<double>")
     def numbers(texts: pd.Series) -> pd.Series:
         return pd.Series([features(t) for t in texts])
@@ -223,6 +225,8 @@ def scored(docs: DataFrame, model: Gam | None) -> DataFrame:
     if model is None:
         return docs.withColumn("score", F.lit(0.0))
 
+    ship(docs.sparkSession)
+
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:

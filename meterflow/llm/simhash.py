@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import DOC_COLS, components, cut, text_key
+from meterflow.llm.common import DOC_COLS, components, cut, ship, text_key
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -68,6 +68,8 @@ def fingerprint(text: str | None, k: int = SHINGLE_WORDS) -> int:
 
 def with_fingerprints(docs: DataFrame, k: int = SHINGLE_WORDS) -> DataFrame:
     """(doc_id, key, fp): fp the SimHash as a signed long, key that of the text."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def simhash(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -133,6 +135,7 @@ def links(fps: DataFrame, max_bits: int = MAX_BITS, block: int = BLOCK,
           fine: bool | None = None) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect whatever bit
     distances of at most max_bits connect."""
+    ship(fps.sparkSession)
     if fine is None:
         fine = fps.count() >= FINE_GRID_FROM
     radius = 1 if fine else 0

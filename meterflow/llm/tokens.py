@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from meterflow.llm.common import ship
+
 VOCABULARY = "byte_bpe_50k.json"
 LIMIT = 512
 _MEMO_MAX = 600_000
@@ -152,6 +154,8 @@ def loaded(name: str) -> Bpe:
 
 def with_tokens(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """docs with n_tokens."""
+    ship(docs.sparkSession)
+
     @F.pandas_udf("long")
     def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         bpe = loaded(vocabulary)
