@@ -9,8 +9,10 @@
                      write ledger rows and published marks in one commit.
 
 The outbox is append-only; state changes (published, failures) are appended to
-``outbox_marks`` and folded in by ``current_outbox``. No table is rewritten
-whole except the session snapshot.
+``outbox_marks`` and folded in by ``current_outbox``. Sessions likewise: created
+rows are appended to ``usage_sessions``, every later state of a session to
+``session_changes``, and ``current_sessions`` takes the latest. A run writes what it
+changed; no table is rewritten whole, except by the compactions.
 """
 
 from __future__ import annotations
@@ -50,9 +52,34 @@ def current_outbox(store: SnapshotStore) -> DataFrame:
         for c in outbox.OUTBOX_COLUMNS])
 
 
+def current_sessions(store: SnapshotStore) -> DataFrame:
+    """Sessions with the latest change of each folded in."""
+    base = store.read("usage_sessions").select(*sessions.SESSION_COLUMNS)
+    try:
+        changes = store.read("session_changes")
+    except KeyError:
+        return base
+    # narrow first: the latest run per changed session, then that run's row
+    last = changes.groupBy("id").agg(F.max("run").alias("run"))
+    latest = changes.join(last, ["id", "run"]).select(*sessions.SESSION_COLUMNS)
+    return base.join(last.select("id"), "id", "left_anti").unionByName(latest)
+
+
+def _changes(store: SnapshotStore, rows: DataFrame) -> DataFrame:
+    """Session rows as a run writes them: with the run's version."""
+    return rows.select(*sessions.SESSION_COLUMNS, F.lit(store.latest_version() + 1).cast("bigint").alias("run"))
+
+
+def compact_sessions(store: SnapshotStore, run_id: str = "compact-sessions") -> int:
+    """Fold the session changes into a new base and start an empty change log."""
+    folded = current_sessions(store).sortWithinPartitions("status", "last_billed_at")
+    empty = _changes(store, folded.limit(0))
+    return store.commit({"usage_sessions": (folded, "base"), "session_changes": (empty, "base")}, run_id)
+
+
 def init_store(store: SnapshotStore, sessions_df: DataFrame, outbox_df: DataFrame | None = None,
                run_id: str = "init") -> int:
-    tables = {"usage_sessions": (sessions_df, "snapshot")}
+    tables = {"usage_sessions": (sessions_df, "base")}
     if outbox_df is not None:
         tables["outbox_events"] = (outbox_df.select(*outbox.OUTBOX_COLUMNS), "append")
     return store.commit(tables, run_id)
@@ -79,8 +106,7 @@ def create_run(store: SnapshotStore, requests: DataFrame, as_of, run_id: str | N
             F.lit("unique:id").alias("constraint"), "value", "n"))
     if violations.limit(1).count() > 0:
         return None, violations
-    table = new if current is None else current.unionByName(new)
-    return store.commit({"usage_sessions": (table, "snapshot")},
+    return store.commit({"usage_sessions": (new, "append")},
                         run_id or f"create-{uuid.uuid4().hex[:8]}"), violations
 
 
@@ -89,18 +115,22 @@ def scan_run(store: SnapshotStore, as_of, interval: str = S.SCAN_INTERVAL, run_i
     """Event ids are ``sha256(session_id:sequence)`` and the sequence advances
     in the same commit as the outbox rows, so a committed run can never emit an
     existing id; the O(outbox) uniqueness probe is therefore opt-in."""
-    sess = store.read("usage_sessions")
+    # only the eligible sessions change, so only they are planned and written
+    sess = sessions.unbilled_sessions(current_sessions(store), as_of, interval)
     existing = store.read("outbox_events", S.OUTBOX_EVENTS) if check_outbox else None
-    rows, new_sessions, _ = chunks.scan_and_chunk(sess, as_of, interval, existing_outbox=existing)
-    return store.commit({"usage_sessions": (new_sessions, "snapshot"),
+    rows, changed, _ = chunks.scan_and_chunk(sess, as_of, interval, existing_outbox=existing)
+    if check_outbox:  # a session whose event was a duplicate keeps its state
+        changed = changed.join(rows.select(F.col("session_id").alias("id")), "id", "left_semi")
+    return store.commit({"session_changes": (_changes(store, changed), "append"),
                          "outbox_events": (rows, "append")}, run_id or f"scan-{uuid.uuid4().hex[:8]}")
 
 
 def finish_run(store: SnapshotStore, ids: DataFrame, as_of, run_id: str | None = None) -> int:
-    sess = store.read("usage_sessions")
-    new_sessions, final_chunks, _ = sessions.finish_plan(sess, ids, as_of)
+    sess = current_sessions(store).filter(F.col("status") == S.SESSION_ACTIVE).join(
+        ids.select("id").distinct(), "id", "left_semi")
+    changed, final_chunks, _ = sessions.finish_plan(sess, ids, as_of)
     rows = outbox.to_outbox(final_chunks, as_of)   # ids unique by construction (see scan_run)
-    return store.commit({"usage_sessions": (new_sessions, "snapshot"),
+    return store.commit({"session_changes": (_changes(store, changed), "append"),
                          "outbox_events": (rows, "append")}, run_id or f"finish-{uuid.uuid4().hex[:8]}")
 
 

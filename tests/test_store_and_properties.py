@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from meterflow.functions import expressions as X
 
 from meterflow import schemas as S
-from meterflow.operators import chunks, ledger, outbox
+from meterflow.operators import chunks, ledger, outbox, sessions
 from meterflow.plans import runs
 from meterflow.plans.store import SnapshotStore
 from meterflow.session import new_run_dir
@@ -29,7 +29,7 @@ def test_scan_publish_cycle_and_atomic_commit(spark, fx_small):
     # the same clock again: nothing is eligible any more, nothing new is written
     runs.scan_run(store, AS_OF)
     assert store.read("outbox_events").count() == eligible
-    assert chunks.unbilled_sessions(store.read("usage_sessions"), AS_OF).count() == 0
+    assert chunks.unbilled_sessions(runs.current_sessions(store), AS_OF).count() == 0
 
     # a run that dies after writing one table leaves no visible change
     bad = store.read("usage_sessions").withColumn(
@@ -55,7 +55,8 @@ def test_finish_run_appends_final_chunks(spark, fx_small):
     runs.init_store(store, fx_small.usage_sessions)
     active = fx_small.usage_sessions.filter(F.col("status") == S.SESSION_ACTIVE)
     runs.finish_run(store, active.select("id"), AS_OF)
-    s = store.read("usage_sessions")
+    s = runs.current_sessions(store)
+    assert s.count() == fx_small.usage_sessions.count()
     assert s.filter(F.col("status") == S.SESSION_ACTIVE).count() == 0
     assert store.read("outbox_events").count() == active.count()
 
@@ -172,3 +173,24 @@ def test_failed_rows_are_retried_then_dead_and_block_nobody(spark, fx_small):
                                  runs.MARKS_SCHEMA)
     store.commit({"outbox_marks": (late, "append")}, "marks")
     assert {r.id: r.last_error for r in runs.current_outbox(store).collect()}[ids[1]] == "aaa newest"
+
+
+def test_runs_write_the_sessions_they_change(spark, fx_small):
+    """The batch operators' whole new table equals the folded changes, and a run
+    writes one row per session it touched."""
+    store = SnapshotStore(spark, new_run_dir(spark, "t-changes"))
+    runs.init_store(store, fx_small.usage_sessions)
+    eligible = chunks.unbilled_sessions(fx_small.usage_sessions, AS_OF).count()
+    _, want, _ = chunks.scan_and_chunk(fx_small.usage_sessions, AS_OF)
+    runs.scan_run(store, AS_OF)
+    assert 0 < store.read("session_changes").count() == eligible < fx_small.usage_sessions.count()
+    some = want.filter(F.col("status") == S.SESSION_ACTIVE).orderBy("id").limit(7).select("id")
+    later = dt.datetime(1999, 1, 1)
+    want, _, _ = sessions.finish_plan(want, some, later)
+    runs.finish_run(store, some, later)
+    assert store.read("session_changes").count() == eligible + 7
+    got = runs.current_sessions(store)
+    assert got.exceptAll(want.select(*got.columns)).count() == 0 == want.select(*got.columns).exceptAll(got).count()
+    runs.compact_sessions(store)
+    assert store.read("session_changes").count() == 0
+    assert runs.current_sessions(store).exceptAll(got).count() == 0
