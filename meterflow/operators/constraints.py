@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,24 +25,20 @@ def check_constraints(df: DataFrame, table: str) -> DataFrame:
     """Violations of PK/UNIQUE, NOT NULL and enum rules as rows
     ``(constraint, value, n)``; empty when the frame is clean.
 
-    Each rule is an aggregate with a map-side partial step; a duplicate
+    One pass: every row names its keys and the rules it breaks, and one aggregate
+    (map-side combined) counts them; a key counted once breaks nothing. A duplicate
     ``event_id`` is its own, distinguishable ``unique:event_id`` row.
     """
     schema = S.TABLE_SCHEMAS[table]
-    parts = []
-    for key in S.TABLE_KEYS.get(table, ()):
-        parts.append(df.groupBy(F.col(key).cast("string").alias("value"))
-                       .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
-                       .select(F.lit(f"unique:{key}").alias("constraint"), "value", "n"))
-    required = [f.name for f in schema.fields if not f.nullable and f.name in df.columns]
-    if required:
-        nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in required])
-        stack = ", ".join(f"'not_null:{c}', `{c}`" for c in required)
-        parts.append(nulls.selectExpr(f"stack({len(required)}, {stack}) as (constraint, n)")
-                          .filter(F.col("n") > 0)
-                          .select("constraint", F.lit(None).cast("string").alias("value"), "n"))
-    for col, allowed in S.TABLE_ENUMS.get(table, {}).items():
-        parts.append(df.filter(~F.col(col).isin(*allowed))
-                       .groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-                       .select(F.lit(f"enum:{col}").alias("constraint"), "value", "n"))
-    return reduce(DataFrame.unionByName, parts)
+
+    def entry(rule: str, value):
+        return F.struct(F.lit(rule).alias("constraint"), value.cast("string").alias("value"))
+
+    found = [entry(f"unique:{k}", F.col(k)) for k in S.TABLE_KEYS.get(table, ())]
+    found += [F.when(F.col(f.name).isNull(), entry(f"not_null:{f.name}", F.lit(None)))
+              for f in schema.fields if not f.nullable and f.name in df.columns]
+    found += [F.when(~F.col(c).isin(*allowed), entry(f"enum:{c}", F.col(c)))
+              for c, allowed in S.TABLE_ENUMS.get(table, {}).items()]
+    named = df.select(F.explode(F.array_compact(F.array(*found))).alias("x")).select("x.constraint", "x.value")
+    return (named.groupBy("constraint", "value").agg(F.count(F.lit(1)).alias("n"))
+            .filter((F.col("n") > 1) | ~F.col("constraint").startswith("unique:")))
