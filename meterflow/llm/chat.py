@@ -13,7 +13,7 @@ length is dealt out. Prefix hashes are reduced to one row each, with their
 greatest length, before the join, so a first turn that very many conversations
 share costs one row.
 
-Cases: turns are ordered by turn, role, text, nulls last; equal turns repeat;
+Cases: turns are ordered by turn, role, md5 of the text, nulls last; equal turns repeat;
 null role or text renders as the empty string but hashes as null; a null conv_id
 is a conversation of its own; an empty table gives no row; extra columns are
 ignored.
@@ -24,26 +24,35 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from meterflow.llm.common import cut
+
 BLOCK = 1024
 # The rendered form of one turn, fixed values.
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def _order() -> list[Column]:
+    """Turns of a conversation: by turn, role, md5 of the text, nulls last."""
+    return [F.asc_nulls_last(c) for c in ("turn", "role", "m")]
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
-    """(conv_id, pos, a, b, role, text): every turn with its position from 1 and
-    the rolling hash (a, b) of the turns up to it."""
-    order = [F.asc_nulls_last("turn"), F.asc_nulls_last("role"), F.asc_nulls_last("text")]
-    t = turns.select("conv_id", "turn", "role", "text").withColumn("block", F.floor(F.col("turn") / BLOCK))
-    in_block = Window.partitionBy("conv_id", "block").orderBy(*order)
+    """(conv_id, pos, a, b): every turn's position from 1 and the rolling hash
+    (a, b) of the turns up to it. Texts are hashed where they are read."""
+    nulls = [F.col("role").isNull(), F.col("text").isNull()]
+    t = turns.select("conv_id", "turn", "role", F.md5("text").alias("m"),
+                     F.xxhash64(F.lit(1), "role", "text", *nulls).alias("x"),
+                     F.xxhash64("text", F.lit(2), "role", *nulls).alias("y"),
+                     F.floor(F.col("turn") / BLOCK).alias("block"))
+    in_block = Window.partitionBy("conv_id", "block").orderBy(*_order())
     sizes = t.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     upto = Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("block")).rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select(F.col("conv_id").alias("c"), F.col("block").alias("k"),
                           F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))
     same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("k"))
-    placed = (t.withColumn("at", F.row_number().over(in_block)).join(before, same).drop("c", "k")
+    placed = (t.withColumn("at", F.row_number().over(in_block)).join(before, same)
               .withColumn("pos", F.col("at") + F.col("before"))
-              .withColumn("x", F.xxhash64(F.lit(1), "pos", "role", "text", F.col("role").isNull(), F.col("text").isNull()))
-              .withColumn("y", F.xxhash64("text", F.lit(2), "role", "pos", F.col("text").isNull(), F.col("role").isNull())))
+              .select("conv_id", "block", "pos", F.xxhash64("pos", "x").alias("x"), F.xxhash64("y", "pos").alias("y")))
     # by position: equal turns have no order of their own
     roll = Window.partitionBy("conv_id", "block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("a", F.bit_xor("x").over(roll)).withColumn("b", F.bit_xor("y").over(roll))
@@ -53,7 +62,7 @@ def prefixes(turns: DataFrame) -> DataFrame:
                             F.coalesce(F.bit_xor("y").over(upto), F.lit(0)).alias("cy"))
     return (placed.join(carried, same)
             .select("conv_id", "pos", F.col("a").bitwiseXOR(F.col("cx")).alias("a"),
-                    F.col("b").bitwiseXOR(F.col("cy")).alias("b"), "role", "text"))
+                    F.col("b").bitwiseXOR(F.col("cy")).alias("b")))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -62,20 +71,19 @@ def rendered(role: Column, text: Column) -> Column:
 
 def collapse(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, text): the maximal conversations, rendered."""
-    p = prefixes(turns)
+    p = cut(prefixes(turns))
     # one row per conversation: its last position and hash
-    whole = p.groupBy("conv_id").agg(F.max(F.struct("pos", "a", "b")).alias("last")).select("conv_id", "last.*")
-    # prefix hashes of turns that another turn of the same conversation follows
-    inner = (p.select("conv_id", "pos", "a", "b")
-             .join(whole.select(F.col("conv_id").alias("c"), F.col("pos").alias("end")),
-                   F.col("conv_id").eqNullSafe(F.col("c"))).where("pos < end")
-             .groupBy("pos", "a", "b").agg(F.lit(1).alias("one")).drop("one"))
-    maximal = whole.join(inner, ["pos", "a", "b"], "left_anti")
+    whole = p.groupBy("conv_id").agg(F.max("pos").alias("end"))
+    ends = p.join(whole.withColumnRenamed("conv_id", "c"), F.col("conv_id").eqNullSafe(F.col("c")))
+    # equal conversations become one row, and so do shared prefixes, before they meet
     first = F.min(F.struct(F.col("conv_id").isNull().alias("none"), "conv_id"))
-    kept = maximal.groupBy("pos", "a", "b").agg(first.alias("first")).select(
-        F.col("first.conv_id").alias("c"), F.col("pos").alias("n_turns"))
-    piece = F.struct("pos", rendered(F.col("role"), F.col("text")).alias("piece"))
-    said = (p.join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
+    distinct = ends.where("pos = end").groupBy("pos", "a", "b").agg(first.alias("first"))
+    inner = ends.where("pos < end").select("pos", "a", "b").distinct()
+    kept = distinct.join(inner, ["pos", "a", "b"], "left_anti").select(F.col("first.conv_id").alias("c"))
+    piece = F.struct(*[x for c in ("turn", "role", "m") for x in (F.col(c).isNull(), F.col(c))],
+                     rendered(F.col("role"), F.col("text")).alias("piece"))
+    said = (turns.select("conv_id", "turn", "role", "text", F.md5("text").alias("m"))
+            .join(kept, F.col("conv_id").eqNullSafe(F.col("c")), "left_semi")
             .groupBy("conv_id").agg(F.sort_array(F.collect_list(piece)).alias("pieces")))
     return said.select("conv_id", F.size("pieces").cast("long").alias("n_turns"),
                        F.array_join(F.col("pieces.piece"), "").alias("text"))
@@ -84,7 +92,7 @@ def collapse(turns: DataFrame) -> DataFrame:
 ORACLE = """
 WITH t AS (
   SELECT conv_id, role, text, row_number() OVER (PARTITION BY conv_id
-    ORDER BY turn NULLS LAST, role NULLS LAST, text NULLS LAST) AS pos,
+    ORDER BY turn NULLS LAST, role NULLS LAST, md5(text) NULLS LAST) AS pos,
     count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
 p AS (SELECT conv_id, pos, n, string_agg('<|im_start|>' || coalesce(role, '') || chr(10) || coalesce(text, '')
     || '<|im_end|>' || chr(10), '') OVER (PARTITION BY conv_id ORDER BY pos) AS said,

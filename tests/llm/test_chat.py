@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 
 from meterflow.llm import chat
@@ -13,8 +15,9 @@ def test_oracle_on_whole_table(spark, duck_mid):
 def brute(rows):
     convs = {}
     for c, t, r, x in rows:
-        convs.setdefault(c, []).append((t is None, t or 0, r is None, r or "", x is None, x or ""))
-    said = {c: [(r[3] if not r[2] else None, r[5] if not r[4] else None) for r in sorted(v)] for c, v in convs.items()}
+        md5 = hashlib.md5((x or "").encode()).hexdigest()
+        convs.setdefault(c, []).append((t is None, t or 0, r is None, r or "", x is None, md5, x or ""))
+    said = {c: [(r[3] if not r[2] else None, r[6] if not r[4] else None) for r in sorted(v)] for c, v in convs.items()}
     out = []
     for c, s in said.items():
         longer = any(len(o) > len(s) and o[:len(s)] == s for o in said.values())
@@ -30,6 +33,7 @@ ROWS = ([(c, t, ["user", "bot"][t % 2], f"turn {t}") for c in range(1, 6) for t
         + [(70, t, "user", "hot") for t in range(3)]
         + [(80, 0, None, None), (81, 0, "", ""), (82, None, "user", "x"), (82, 1, "user", "a"), (None, 0, "user", "lost"),
            (90, 0, "user", "same"), (90, 0, "user", "same"), (91, 0, "user", "same")]
+        + [(92, 0, "user", x) for x in ("tie one", "tie two", None, "tie three")]
         + [(95, t * 700, "user", f"long {t % 5}") for t in range(3000)]
         + [(96, t * 9, "user", f"long {t % 5}") for t in range(2999)])
 
