@@ -5,11 +5,17 @@ spans: two character Markov chains over the key alphabet, one of random strings
 and one of ordinary identifiers, score every further long run of key characters;
 a run is added where the log-likelihood ratio of the chains favours "random".
 The chains are trained from labelled samples of the whole table: values that the
-base rules found are random strings, long runs outside base spans ordinary
-identifiers. Transition counts are summed over all rows by Spark; only the two
-alphabet-squared tables (at most 2 * 66 * 66 counts) reach the driver, and the
-model goes back as one constant array. Runs without letters, as phone and card
-numbers, or without digits are left alone: neither is a key's shape.
+base rules found are random strings; words and identifiers by their shape
+(``ORDINARY``, of any length, outside base spans) are ordinary. A key has not that
+shape, so it does not train the chain that would clear it. Every distinct value
+counts once, however often it is copied. Both chains start from what is known
+without samples: the random one from all key alphabets, the ordinary one from how
+letters and digits follow each other in names. Distinct values and transition
+counts are reduced over all rows by Spark; only the two alphabet-squared tables
+(at most 2 * 66 * 66 counts) reach the driver, and the model goes back as one
+constant array. Steps to or from a separator (+ / _ -) favour neither chain. Runs
+without letters, as phone and card numbers, or without digits are left alone:
+neither is a key's shape.
 
 Positions come from splitting a text at the matches, so nothing is exploded and
 no row leaves its partition. Running sums are taken in blocks, so a text with
@@ -17,7 +23,7 @@ very many matches stays near linear.
 
 Cases: null and empty texts have no spans (base_sha256 of the empty text);
 positions count code points, also beyond the basic plane; repeated rows repeat;
-without any base span the random chain is uniform; extra columns are ignored.
+without any base span the random chain is that of the key alphabets; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +45,13 @@ RULES = (
 )
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
+# Alphabets of keys, each as likely as the next before any sample is seen.
+_LOWER, _UPPER, _DIGITS = ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62]
+KEYS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + _LOWER, _DIGITS + _UPPER, ALPHABET[:62], ALPHABET)
+# Ordinary by shape: every part between separators is a number or a word (camel
+# case too) with at most four digits behind it.
+_WORD = r"(?:[0-9]+|(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]{2,})*[0-9]{0,4})"
+ORDINARY = rf"^[+/_-]*{_WORD}(?:[+/_-]+{_WORD})*[+/_-]*$"
 EXTRA = "random"
 # Mean log-likelihood ratio per transition (nats) from which a run is added.
 THRESHOLD = 0.5
@@ -104,27 +117,75 @@ def _apart(runs: str, base: str) -> Column:
     return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
 
 
-def train(found: DataFrame) -> list[float]:
-    """Log ratios of the two chains, entry (a * size + b) for the step a to b."""
+def blanked(text: Column, base: Column) -> Column:
+    """The text with its base spans (ordered) overwritten by blanks, so that
+    positions stay."""
+    first = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+    done = F.aggregate(base, first, lambda a, s: F.when(s["end"] > a["end"], F.struct(
+        s["end"].alias("end"),
+        F.concat(a["out"], F.array(
+            F.substring(text, a["end"] + 1, F.greatest(s["start"] - a["end"], F.lit(0))),
+            F.repeat(F.lit(" "), s["end"] - F.greatest(s["start"], a["end"])))).alias("out"))).otherwise(a))
+    rest = let(done, lambda d: F.concat(F.array_join(d["out"], ""),
+                                        F.substring(text, d["end"] + 1, F.char_length(text))))
+    return F.when(F.size(base) > 0, rest).otherwise(F.coalesce(text, F.lit("")))
+
+
+def ordinary(docs: DataFrame) -> DataFrame:
+    """(v): the distinct words and identifiers outside base spans."""
+    d = fixed(docs.select("text"), __base=scan(F.col("text"))[0])
+    d = d.select(blanked(F.col("text"), F.col("__base")).alias("__rest"))
+    runs = F.array_distinct(F.split("__rest", r"[^A-Za-z0-9+/_-]+"))
+    return d.select(F.explode(runs).alias("v")).where(F.col("v").rlike(ORDINARY)).distinct()
+
+
+def _steps(values: DataFrame) -> list[list[float]]:
+    """How often one character of the alphabet follows another in the values."""
     k = len(ALPHABET)
-    counts = {True: [1.0] * (k * k), False: [1.0] * (k * k)}
-    for label, spans in ((True, "base"), (False, "runs")):
-        steps = (found.select(F.explode(spans).alias("s")).select(F.col("s.value").alias("v"))
-                 .where("length(v) > 1")
-                 .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1),
-                                               lambda i: F.substring(F.col("v"), i, F.lit(2)))).alias("pair")))
-        for r in steps.groupBy("pair").agg(F.count("*").alias("n")).collect():  # at most alphabet squared
-            a, b = ALPHABET.find(r.pair[0]), ALPHABET.find(r.pair[1])
-            if a >= 0 and b >= 0:
-                counts[label][a * k + b] += r.n
-    out = []
-    for a in range(k):
-        rows = [counts[x][a * k:(a + 1) * k] for x in (True, False)]
-        sums = [sum(r) for r in rows]
-        out += [math.log(p / sums[0]) - math.log(q / sums[1]) for p, q in zip(*rows)]
+    out = [[0.0] * k for _ in range(k)]
+    steps = (values.where("length(v) > 1")
+             .select(F.explode(F.transform(F.sequence(F.lit(1), F.length("v") - 1),
+                                           lambda i: F.substring(F.col("v"), i, F.lit(2)))).alias("pair")))
+    for r in steps.groupBy("pair").agg(F.count("*").alias("n")).collect():  # at most alphabet squared
+        a, b = ALPHABET.find(r.pair[0]), ALPHABET.find(r.pair[1])
+        if a >= 0 and b >= 0:
+            out[a][b] += r.n
     return out
 
 
+def _random_start(a: str, b: str) -> float:
+    return sum(len(x) ** -2.0 for x in KEYS if a in x and b in x)
+
+
+def _ordinary_start(a: str, b: str) -> float:
+    kind = [next(i for i, x in enumerate((_LOWER, _UPPER, _DIGITS)) if c in x) for c in (a, b)]
+    # small, capital, digit after each of them
+    return ((1.0, 0.02, 0.05), (1.0, 1.0, 0.05), (0.02, 0.02, 1.0))[kind[0]][kind[1]]
+
+
+def train(docs: DataFrame, found: DataFrame) -> list[float]:
+    """Log ratios of the two chains, entry (a * size + b) for the step a to b.
+    What is known beforehand weighs as much as the samples in the random chain (the
+    base rules see few alphabets), a quarter of them in the ordinary one (prose has
+    few digits), and never less than one count for each character."""
+    chars = ALPHABET[:62]
+
+    def chain(counts: list[list[float]], start, weight: float) -> list[list[float]]:
+        out = []
+        for i, a in enumerate(chars):
+            seen, known = counts[i][:len(chars)], [start(a, b) for b in chars]
+            mass = max(float(len(chars)), weight * sum(seen))
+            total, scale = sum(seen) + mass, mass / sum(known)
+            out.append([(n + p * scale) / total for n, p in zip(seen, known)])
+        return out
+
+    base = found.select(F.explode("base").alias("s")).select(F.col("s.value").alias("v")).distinct()
+    rand = chain(_steps(base), _random_start, 1.0)
+    plain = chain(_steps(ordinary(docs)), _ordinary_start, 0.25)
+    k, n = len(ALPHABET), len(chars)
+    return [math.log(rand[a][b] / plain[a][b]) if a < n and b < n else 0.0 for a in range(k) for b in range(k)]
+
+
 def added(runs: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
     """The candidate runs that the chains call random."""
     k = len(ALPHABET)
@@ -149,7 +210,7 @@ def _joined(spans: Column) -> Column:
 
 def op2(docs: DataFrame) -> DataFrame:
     found = cut(scanned(docs))
-    spans = F.array_sort(F.concat("base", added(F.col("runs"), train(found))))
+    spans = F.array_sort(F.concat("base", added(F.col("runs"), train(docs, found))))
     def count(k: int) -> Column:
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{RULES[k][0]}")
 
@@ -161,7 +222,7 @@ def op2(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by ``MASK`` (touching spans by
     one); n_chars follows the text. Nothing else changes, no document goes."""
-    model = train(cut(scanned(docs)))
+    model = train(docs, cut(scanned(docs)))
     base, runs = scan(F.col("text"))
     d = fixed(docs.select(*DOC_COLS), __base=base, __runs=runs)
     d = fixed(d, __more=_apart("__runs", "__base"))

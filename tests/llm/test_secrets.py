@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from meterflow.llm import secrets
@@ -86,3 +87,30 @@ def test_mask(spark):
             end = max(end, b)
         want = "".join(out) + text[end:] if spans else text
         assert got[d].text == want and (text is None or got[d].n_chars == len(want))
+
+
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+KEY_ALPHABETS = {"base62": LOWER + UPPER + DIGITS, "lower": LOWER + DIGITS, "upper": UPPER + DIGITS}
+
+
+def keys(alphabet, n, length, seed):
+    dealt = random.Random(seed)
+    out = ["".join(dealt.choice(KEY_ALPHABETS[alphabet]) for _ in range(length)) for _ in range(n)]
+    return [k for k in out if re.search("[0-9]", k) and re.search("[A-Za-z]", k)]
+
+
+def test_recall_does_not_fall_with_copies(spark):
+    docs = table(spark, SF_MID, "documents").where("doc_id is not null").selectExpr("-1 - doc_id as doc_id", "text")
+    planted = [(alphabet, copies, key) for alphabet in KEY_ALPHABETS for copies in (1, 5, 1000)
+               for key in keys(alphabet, 20, 32, f"{alphabet}{copies}")]
+    rows = spark.createDataFrame([(i, key, copies) for i, (_, copies, key) in enumerate(planted)],
+                                 "doc_id long, v string, copies int").selectExpr(
+        "doc_id", "explode(array_repeat(concat('see ', v, ' here'), copies)) as text")
+    right, of = {}, {}
+    for r in secrets.op2(docs.unionByName(rows)).where("doc_id >= 0").collect():
+        group = planted[r.doc_id][:2]
+        of[group] = of.get(group, 0) + 1
+        right[group] = right.get(group, 0) + (r.spans == "random:4:36")
+    assert len(of) == 9
+    print({g: f"{right[g]}/{n}" for g, n in of.items()})
+    assert all(right[g] >= 0.9 * n for g, n in of.items())
