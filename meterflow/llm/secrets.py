@@ -98,23 +98,24 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: int) -> Col
     return F.when(text.rlike(pattern), spans).otherwise(none)
 
 
-def scan(text: Column) -> tuple[Column, Column]:
-    """(base, runs): arrays of (start, kind, end, value), ordered; runs are the
-    candidates that touch no base span."""
+def scan(text: Column) -> Column:
+    """Base spans: an ordered array of (start, kind, end, value)."""
     t = F.coalesce(text, F.lit(""))
-    base = F.array_sort(F.concat(*[_found(t, p, g, n, i) for i, (_, p, g, n) in enumerate(RULES)]))
-    runs = _found(t, CANDIDATE, 0, 16, len(RULES))
-    return base, runs
+    return F.array_sort(F.concat(*[_found(t, p, g, n, i) for i, (_, p, g, n) in enumerate(RULES)]))
 
 
-def scanned(docs: DataFrame) -> DataFrame:
-    base, runs = scan(F.col("text"))
-    d = fixed(docs.select("doc_id", "text"), __base=base, __runs=runs)
-    return d.select("doc_id", F.col("__base").alias("base"), _apart("__runs", "__base").alias("runs"))
+def with_spans(docs: DataFrame) -> DataFrame:
+    """docs with __base (base spans), __rest (the text without them) and __runs:
+    the candidates, cut at base spans; what is left of a run is one if it is long
+    enough."""
+    d = fixed(docs, __base=scan(F.col("text")))
+    d = fixed(d, __rest=blanked(F.col("text"), F.col("__base")))
+    return fixed(d, __runs=_found(F.col("__rest"), CANDIDATE, 0, 16, len(RULES)))
 
 
-def _apart(runs: str, base: str) -> Column:
-    return F.filter(runs, lambda r: ~F.exists(base, lambda b: (b["start"] < r["end"]) & (r["start"] < b["end"])))
+def scanned(docs: DataFrame) -> DataFrame:
+    d = with_spans(docs.select("doc_id", "text"))
+    return d.select("doc_id", F.col("__base").alias("base"), F.col("__runs").alias("runs"))
 
 
 def blanked(text: Column, base: Column) -> Column:
@@ -133,8 +134,7 @@ def blanked(text: Column, base: Column) -> Column:
 
 def ordinary(docs: DataFrame) -> DataFrame:
     """(v): the distinct words and identifiers outside base spans."""
-    d = fixed(docs.select("text"), __base=scan(F.col("text"))[0])
-    d = d.select(blanked(F.col("text"), F.col("__base")).alias("__rest"))
+    d = with_spans(docs.select("text")).select("__rest")
     runs = F.array_distinct(F.split("__rest", r"[^A-Za-z0-9+/_-]+"))
     return d.select(F.explode(runs).alias("v")).where(F.col("v").rlike(ORDINARY)).distinct()
 
@@ -223,10 +223,8 @@ def mask(docs: DataFrame) -> DataFrame:
     """docs with every span of the text replaced by ``MASK`` (touching spans by
     one); n_chars follows the text. Nothing else changes, no document goes."""
     model = train(docs, cut(scanned(docs)))
-    base, runs = scan(F.col("text"))
-    d = fixed(docs.select(*DOC_COLS), __base=base, __runs=runs)
-    d = fixed(d, __more=_apart("__runs", "__base"))
-    d = fixed(d, __spans=F.array_sort(F.concat("__base", added(F.col("__more"), model))))
+    d = with_spans(docs.select(*DOC_COLS))
+    d = fixed(d, __spans=F.array_sort(F.concat("__base", added(F.col("__runs"), model))))
     first = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
     done = F.aggregate("__spans", first, lambda a, s: F.struct(
         F.greatest(a["end"], s["end"]).alias("end"),
