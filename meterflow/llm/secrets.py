@@ -3,7 +3,8 @@
 Base rules find assignments, access keys and long hex runs. The method adds
 spans: two character Markov chains over the key alphabet, one of random strings
 and one of ordinary identifiers, score every further long run of key characters;
-a run is added where the log-likelihood ratio of the chains favours "random".
+the stretches of a run where the log-likelihood ratio of the chains favours
+"random" are added, so a path or name around a key does not hide it.
 The chains are trained from labelled samples of the whole table: values that the
 base rules found are random strings; words and identifiers by their shape
 (``ORDINARY``, of any length, outside base spans) are ordinary. A key has not that
@@ -13,7 +14,7 @@ without samples: the random one from all key alphabets, the ordinary one from ho
 letters and digits follow each other in names. Distinct values and transition
 counts are reduced over all rows by Spark; only the two alphabet-squared tables
 (at most 2 * 66 * 66 counts) reach the driver, and the model goes back as one
-constant array. Steps to or from a separator (+ / _ -) favour neither chain. Runs
+constant array. Steps to or from a separator (+ / _ -) favour neither chain. Stretches
 without letters, as phone and card numbers, or without digits are left alone:
 neither is a key's shape.
 
@@ -53,8 +54,15 @@ KEYS = (_DIGITS + "abcdef", _DIGITS + "ABCDEF", _DIGITS + _LOWER, _DIGITS + _UPP
 _WORD = r"(?:[0-9]+|(?:[A-Z]?[a-z]+|[A-Z]+)(?:[A-Z][a-z]{2,})*[0-9]{0,4})"
 ORDINARY = rf"^[+/_-]*{_WORD}(?:[+/_-]+{_WORD})*[+/_-]*$"
 EXTRA = "random"
-# Mean log-likelihood ratio per transition (nats) from which a run is added.
+LEAST = 16
+# Mean log-likelihood ratio per transition (nats) from which a stretch is added.
 THRESHOLD = 0.5
+# A stretch ends where the sum of ratios (less THRESHOLD each) falls this far below
+# its highest: about ten steps of ordinary text.
+FALL = 12.0
+# It is widened on both sides to a separator or the run's end: within the first
+# distance where the whole then still is above THRESHOLD, else within the second.
+REACHES = (512, 8)
 MASK = "[SECRET]"
 _BLOCK = 512
 
@@ -110,7 +118,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     enough."""
     d = fixed(docs, __base=scan(F.col("text")))
     d = fixed(d, __rest=blanked(F.col("text"), F.col("__base")))
-    return fixed(d, __runs=_found(F.col("__rest"), CANDIDATE, 0, 16, len(RULES)))
+    return fixed(d, __runs=_found(F.col("__rest"), CANDIDATE, 0, LEAST, len(RULES)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
@@ -187,19 +195,68 @@ def train(docs: DataFrame, found: DataFrame) -> list[float]:
 
 
 def added(runs: Column, model: list[float], threshold: float = THRESHOLD) -> Column:
-    """The candidate runs that the chains call random."""
+    """The stretches of the candidate runs that the chains call random."""
     k = len(ALPHABET)
     table = F.split(F.lit(",".join(f"{x:.6f}" for x in model)), ",").cast("array<double>")
+    none = F.array().cast("array<struct<a:int,b:int>>")
 
-    def ratio(v: Column) -> Column:
+    def ratios(v: Column) -> Column:
+        # entry i: the step from character i to character i + 1, less the threshold
         codes = F.transform(F.split(v, ""), lambda c: F.instr(F.lit(ALPHABET), c) - 1)
-        total = let(codes, lambda x: F.aggregate(
-            F.zip_with(x, F.slice(x, 2, F.char_length(v)), lambda a, b: a * k + b), F.lit(0.0),
-            lambda s, i: s + F.coalesce(F.get(table, i), F.lit(0.0))))
-        return total / (F.char_length(v) - 1)
-
-    return F.filter(runs, lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]")
-                    & (ratio(r["value"]) > threshold))
+        return let(codes, lambda x: F.zip_with(
+            F.slice(x, 1, F.char_length(v) - 1), F.slice(x, 2, F.char_length(v) - 1),
+            lambda a, b: F.coalesce(F.get(table, a * k + b), F.lit(0.0)) - threshold))
+
+    def state(at, start, total, best, end, out) -> Column:
+        return F.struct(at.cast("int").alias("at"), start.cast("int").alias("start"), total.cast("double").alias("sum"),
+                        best.cast("double").alias("best"), end.cast("int").alias("end"), out.alias("out"))
+
+    def closed(s: Column) -> Column:
+        return F.when(s["best"] > 0, F.concat(s["out"], F.array(F.struct(
+            s["start"].alias("a"), s["end"].alias("b"))))).otherwise(s["out"])
+
+    def step(s: Column, x: Column) -> Column:
+        """Character at + 1 follows; start, end: the stretch with the highest sum (end exclusive)."""
+        zero, at = F.lit(0.0), s["at"] + 1
+        return let(s["sum"] + x, lambda total:
+                   F.when((total <= 0) | (total < s["best"] - FALL), state(at, at, zero, zero, at, closed(s)))
+                   .when(total > s["best"], state(at, s["start"], total, total, at + 1, s["out"]))
+                   .otherwise(state(at, s["start"], total, s["best"], s["end"], s["out"])))
+
+    def stretches(steps: Column) -> Column:
+        zero = F.lit(0)
+        return F.aggregate(steps, state(zero, zero, zero, zero, zero, none), step, closed)
+
+    def total(steps: Column, z: Column) -> Column:
+        return F.aggregate(F.slice(steps, z["a"] + 1, z["b"] - z["a"] - 1), F.lit(0.0), lambda s, x: s + x)
+
+    def near(v: Column, z: Column, reach: int) -> Column:
+        before = F.reverse(F.substring(v, F.greatest(z["a"] - reach, F.lit(0)) + 1, F.least(z["a"], F.lit(reach))))
+        after = F.substring(v, z["b"] + 1, F.lit(reach))
+        left, right = (F.char_length(F.regexp_extract(x, "^[A-Za-z0-9]*", 0)) for x in (before, after))
+        return F.struct(
+            (z["a"] - F.when((left < reach) | (z["a"] == reach), left).otherwise(0)).cast("int").alias("a"),
+            (z["b"] + F.when((right < reach) | (z["b"] + reach == F.char_length(v)), right).otherwise(0))
+            .cast("int").alias("b"))
+
+    def widened(v: Column, steps: Column, z: Column) -> Column:
+        far, close = (near(v, z, reach) for reach in REACHES)
+        return let(far, lambda w: F.when(total(steps, w) > 0, w).otherwise(close))
+
+    def random(v: Column, steps: Column, z: Column) -> Column:
+        part = F.substring(v, z["a"] + 1, z["b"] - z["a"])
+        return ((z["b"] - z["a"] >= LEAST) & part.rlike("[0-9]") & part.rlike("[A-Za-z]") & (total(steps, z) > 0))
+
+    def parts(r: Column) -> Column:
+        v = r["value"]
+        found = let(ratios(v), lambda steps: let(stretches(steps), lambda zs: F.filter(
+            F.array_distinct(F.transform(zs, lambda z: widened(v, steps, z))), lambda z: random(v, steps, z))))
+        return F.transform(found, lambda z: F.struct(
+            (r["start"] + z["a"]).alias("start"), r["kind"].alias("kind"), (r["start"] + z["b"]).alias("end"),
+            F.substring(v, z["a"] + 1, z["b"] - z["a"]).alias("value")))
+
+    keyed = F.filter(runs, lambda r: r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]"))
+    return F.flatten(F.transform(keyed, parts))
 
 
 def _joined(spans: Column) -> Column:

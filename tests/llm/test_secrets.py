@@ -145,3 +145,27 @@ def test_rest_of_a_run_beside_a_base_span(spark):
         assert ("access:" if access in text else "hex:") in spans[i]
         assert covered(spans[i], text, key), (text, spans[i])
         assert key not in masked[i] and masked[i].startswith("id " + secrets.MASK)
+
+
+def test_key_in_a_long_run(spark):
+    before = "/home/user/projects/name/config/service/settings/"
+    hexes = [h for h in (hashlib.sha256(b"p%d" % i).hexdigest()[:20] for i in range(60)) if re.search("[a-f]", h)]
+    some = keys("base62", 40, 32, "long run")
+    texts = [f"see {before}{h} here" for h in hexes]
+    texts += [f"see {before}{key}/internationalisation-configuration-service/settings here" for key in some]
+    texts += [f"see internationalisationConfigurationServiceSettings{key} here" for key in some]
+    texts += [f"see {a}/projects/configuration/service/settings/{b} here" for a, b in zip(some, some[::-1])]
+    texts += [f"see {before}internationalisation_v2/some-longer-hyphenated-word-4 here"] * 5
+    spans, masked = spans_and_masked(spark, texts)
+    kept = texts[-5:]
+    # without a separator the first characters may read as the word's: the rest of the key counts there
+    held = [[h] for h in hexes] + [[key] for key in some] + [[key[6:]] for key in some]
+    held += [list(p) for p in zip(some, some[::-1])]
+    good = [all(covered(spans[i], texts[i], key) and key not in masked[i] for key in ks) for i, ks in enumerate(held)]
+    n, m = len(hexes), len(some)
+    groups = [good[:n], good[n:n + m], good[n + m:n + 2 * m], good[n + 2 * m:]]
+    print([f"{sum(g)}/{len(g)}" for g in groups])
+    assert all(sum(g) >= 0.9 * len(g) for g in groups)
+    assert all("config/service" in masked[i] for i in range(n + m))
+    assert all("projects/configuration/service" in masked[i] for i in range(n + 2 * m, len(held)))
+    assert all(masked[len(held) + i] == text for i, text in enumerate(kept))
