@@ -129,3 +129,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, hold: int,
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     return (docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(ids), "doc_id")
             .select("doc_id", "y", "share", "text", "lang"))
+
+
+HOT_KEYS = 1000
+
+
+def lookup(rows: DataFrame, dim: DataFrame, keys: list[str], weight: str, spread: Column,
+           hot: int = HOT_KEYS) -> DataFrame:
+    """rows left joined to dim (one row per ``keys``, never null), without a hot key.
+
+    ``weight`` bounds how many rows may ask for a key: the ``hot`` heaviest keys
+    (a fixed number, whatever the input) are broadcast, so a key in the shuffled
+    join carries at most 1/hot of all weight; rows answered by the broadcast are
+    dealt over the tasks by ``spread``. dim is read twice: pass a cut one. Adds the
+    other columns of dim and ``hit``."""
+    vals = [c for c in dim.columns if c not in keys and c != weight]
+    found = F.struct(F.lit(True).alias("hit"), *vals)
+    top = dim.orderBy(F.desc(weight), *keys).limit(hot).select(*keys, found.alias("__top"))
+    out = rows.join(F.broadcast(top), keys, "left")
+    out = out.withColumn("__deal", F.when(F.col("__top").isNull(), F.lit(0))
+                         .otherwise(F.pmod(spread, F.lit(1 << 20)) + 1).cast("long"))
+    # not a literal, which the optimizer would take out of the join keys
+    rest = dim.select(*keys, found.alias("__rest"), F.pmod(F.xxhash64(*keys), F.lit(1)).alias("__deal"))
+    out = out.join(rest, [*keys, "__deal"], "left")
+    pick = {c: F.coalesce(F.col(f"__top.{c}"), F.col(f"__rest.{c}")) for c in vals}
+    hit = F.col("__top").isNotNull() | F.col("__rest").isNotNull()
+    return out.withColumns(pick | {"hit": hit}).drop("__top", "__rest", "__deal")
