@@ -3,14 +3,18 @@
 Which sources of a language use other words than the rest, and which words. Terms
 that at least ``MIN_DOCS`` documents of a language hold are found by iceberg prefix
 refinement: on levels of ``LEVELS`` bytes and then twice as many each, the
-documents that hold a term with a given prefix are counted; a prefix below the
-threshold goes, and with it every longer one, before the next level is shuffled;
-a term no longer than the level is complete and kept if its own count holds.
-
-Texts are read once. Each task cuts them with byte tables, counts its terms by
-source and, for every level, the documents holding each prefix, in dictionaries of
-at most ``HELD`` entries that are handed on when full (counts add up, as a document
-lies within one text). Everything after that is joins and sums of those counts.
+documents that hold a longer term with a given prefix are counted; a prefix below
+the threshold goes, and with it every longer one, before the next level is shuffled.
+A term is complete on the first level it fits in; its own counts are shuffled only if
+its prefix of the level before is left, and it is kept if they reach the threshold.
+
+Texts are read once, dealt by (language, source, row) ranges, so that the counts of a
+source meet in few tasks and a hot source is spread over many. Each task cuts them with byte tables, counts its terms by
+source, the documents holding them, and for every level the documents holding each
+prefix, in dictionaries of at most ``HELD`` entries that are handed on when full
+(counts add up, as a document lies within one text), and writes them to a table in
+the shared folder. Everything after that is joins and sums of those counts. Prefixes
+left are broadcast up to ``BROADCAST`` of them, beyond that joined by a shuffle.
 
 A group's share of a term is smoothed and scaled to an integer, as the contract
 says; ``f`` is the integer chi-square term of share p against q. For the pair part
@@ -36,13 +40,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterflow.llm.common import cut, lookup, ship
+from meterflow.session import new_run_dir
 
 MIN_DOCS = 3
 TOP_TERMS = 200
 SCALE = 1_000_000_000
-LEVELS = 2
-HELD = 400_000
+LEVELS = 4
+HELD = 600_000
 SLICE = 1 << 20
+BROADCAST = 200_000
 DEAL = 64
 # Letters stay (A-Z in lower case), so do all bytes of characters beyond ASCII.
 _CUT = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -58,87 +64,112 @@ def _slices(text: bytes) -> Iterator[list]:
         start = end
 
 
-def _count(levels: int):
-    """Arrow batches (lang, source, text) to (lang, source, level, term, n): level 0
-    counts occurrences by source, level L > 0 documents holding a prefix of L bytes
-    or, as ``done``, a complete term that no shorter level completes."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used: dict[tuple, Counter] = {}
-        docs: dict[tuple, Counter] = {}
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for (lang, source), c in used.items():
-                if c:
-                    yield _batch(lang, source, 0, True, c)
-            for (lang, level, done), c in docs.items():
-                if c:
-                    yield _batch(lang, "", level, done, c)
-            used.clear()
-            docs.clear()
-
-        size = 0
-        for batch in batches:
-            texts = batch.column(2).cast(pa.binary())
-            for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
-                c = used.setdefault((lang, source), Counter())
-                size -= len(c)
-                held: set = set()
-                for terms in _slices(text.as_py().translate(_CUT)):
-                    c.update(terms)
-                    held.update(terms)
-                size += len(c)
-                level = levels
-                while held:
-                    ended = {t for t in held if len(t) <= level}
-                    held -= ended
-                    for done, found in ((True, ended), (False, {t[:level] for t in held})):
-                        d = docs.setdefault((lang, level, done), Counter())
-                        size -= len(d)
-                        d.update(found)
-                        size += len(d)
-                    level *= 2
-                if size > HELD:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-    return run
-
-
-def _batch(lang: str, source: str, level: int, done: bool, c: Counter) -> pa.RecordBatch:
-    n = len(c)
+_COUNTS = "lang string, source string, cut boolean, level long, term binary, n long, docs long"
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches (lang, source, text) to _COUNTS: for a complete term its
+    occurrences n and documents docs by source, level the first it fits in; for a
+    prefix (``cut``) of level bytes the documents that hold a longer term with it."""
+    used: dict[tuple, tuple[Counter, Counter]] = {}
+    prefixes: dict[tuple, Counter] = {}
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in used.items():
+            size = np.fromiter(map(len, n), np.int64, len(n))
+            level = LEVELS << np.ceil(np.log2(np.maximum(size / LEVELS, 1))).astype(np.int64)
+            yield _batch(lang, source, False, level, n, n.values(), map(docs.__getitem__, n))
+        for (lang, level), docs in prefixes.items():
+            yield _batch(lang, "", True, np.full(len(docs), level), docs, docs.values(), docs.values())
+        used.clear()
+        prefixes.clear()
+
+    entries = 0
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary())
+        for lang, source, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), texts):
+            n, docs = used.setdefault((lang, source), (Counter(), Counter()))
+            entries -= len(n)
+            held: set = set()
+            for terms in _slices(text.as_py().translate(_CUT)):
+                n.update(terms)
+                held.update(terms)
+            docs.update(held)
+            entries += len(n)
+            level = LEVELS
+            while held := {t for t in held if len(t) > level}:
+                p = prefixes.setdefault((lang, level), Counter())
+                entries -= len(p)
+                p.update({t[:level] for t in held})
+                entries += len(p)
+                level *= 2
+            if entries > HELD:
+                yield from flush()
+                entries = 0
+    yield from flush()
+
+
+def _batch(lang: str, source: str, cut: bool, level: np.ndarray, terms, n, docs) -> pa.RecordBatch:
+    size = len(terms)
     return pa.RecordBatch.from_arrays(
-        [pa.array([lang] * n), pa.array([source] * n), pa.array(np.full(n, level, np.int64)),
-         pa.array(np.full(n, done, bool)), pa.array(list(c.keys()), pa.binary()),
-         pa.array(np.fromiter(c.values(), np.int64, n))],
-        ["lang", "source", "level", "done", "term", "n"])
+        [pa.repeat(lang, size), pa.repeat(source, size), pa.repeat(cut, size), pa.array(level.astype(np.int64)),
+         pa.array(list(terms), pa.binary()), pa.array(np.fromiter(n, np.int64, size)),
+         pa.array(np.fromiter(docs, np.int64, size))], ["lang", "source", "cut", "level", "term", "n", "docs"])
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """Counts of every task, as ``_count`` says."""
+    """The counts of every task (_COUNTS), as a table in the shared folder."""
     ship(docs.sparkSession)
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    return docs.select(*named).mapInArrow(
-        _count(LEVELS), "lang string, source string, level long, done boolean, term binary, n long")
+    path = new_run_dir(docs.sparkSession, "divergence")
+    by_source = (docs.select(*named, F.monotonically_increasing_id().alias("row"))
+                 .repartitionByRange("lang", "source", "row").select("lang", "source", "text"))
+    by_source.mapInArrow(_count, _COUNTS).write.partitionBy("cut").parquet(path)
+    return docs.sparkSession.read.schema(_COUNTS).parquet(path)
+
+
+def _left(rows: DataFrame, alive: DataFrame, n: int) -> DataFrame:
+    """Rows (lang, level, term) whose prefix of the level before is alive (n rows)."""
+    rows = rows.withColumns({"above": F.floor(F.col("level") / 2), "prefix": F.expr("substring(term, 1, level div 2)")})
+    keys = ["lang", "above", "prefix"]
+    if n <= BROADCAST:
+        out = rows.join(F.broadcast(alive.select(*keys)), keys, "left_semi")
+    else:
+        out = lookup(rows, alive, keys, "docs", F.xxhash64("term")).where("hit").drop("hit")
+    return out.drop("above", "prefix")
+
+
+def alive_prefixes(counts: DataFrame) -> tuple[DataFrame, int]:
+    """(lang, above, prefix, docs): the prefixes of every level (``above``) with at
+    least MIN_DOCS documents, and their number."""
+    cuts, level, alive, total = counts.where("cut"), LEVELS, None, 0
+    last, n = None, 0
+    while True:
+        cand = cuts.where(F.col("level") == level)
+        if last is not None:
+            cand = _left(cand, last, n)
+        last = cut(cand.groupBy("lang", F.col("level").alias("above"), F.col("term").alias("prefix"))
+                   .agg(F.sum("docs").alias("docs")).where(F.col("docs") >= MIN_DOCS))
+        n = last.count()
+        total += n
+        alive = last if alive is None else alive.unionAll(last)
+        if not n:
+            return alive, total
+        level *= 2
 
 
 def kept_terms(counts: DataFrame) -> DataFrame:
-    """(lang, term, docs): complete terms of at least MIN_DOCS documents, by levels."""
-    level, alive, kept = LEVELS, None, []
-    while True:
-        cand = counts.where(F.col("level") == level).select("lang", "term", "done", "n")
-        if alive is not None:
-            cand = (lookup(cand.withColumn("prefix", F.substring("term", 1, level // 2)), alive, ["lang", "prefix"],
-                           "docs", F.xxhash64("term")).where("hit").drop("prefix", "hit"))
-        found = cut(cand.groupBy("lang", "term", "done").agg(F.sum("n").alias("docs")).where(F.col("docs") >= MIN_DOCS))
-        kept.append(found.where("done").drop("done"))
-        alive = found.where("not done").select("lang", F.col("term").alias("prefix"), "docs")
-        if alive.isEmpty():
-            break
-        level *= 2
-    out = kept[0]
-    for k in kept[1:]:
-        out = out.unionAll(k)
-    return out
+    """(lang, term, n_term, uses): complete terms of at least MIN_DOCS documents,
+    their occurrences, and those by source (one entry a source)."""
+    alive, n = alive_prefixes(counts)
+    whole = counts.where("not cut")
+    rows = whole.where(F.col("level") == LEVELS).unionByName(_left(whole.where(F.col("level") > LEVELS), alive, n))
+    # one shuffle for both sums
+    by_source = (rows.repartition("lang", "term").groupBy("lang", "term", "source")
+                 .agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    return (by_source.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n_term"),
+                                                  F.collect_list(F.struct("source", "n")).alias("uses"))
+            .where(F.col("docs") >= MIN_DOCS).drop("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
@@ -152,9 +183,9 @@ def chi(p: Column, q: Column) -> Column:
 
 
 def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows of one (lang, bucket) after another: first the language's own row (v, ns:
-    sums of its sources), then its terms (ids, counts). Emits (lang, g, o, value)."""
-    lang, v, ns, total, wide = None, 0, None, None, []
+    """Rows of one (lang, bucket) after another: first the language's own row (v,
+    sources, ns: their sums), then its terms. Emits (lang, source, item, value)."""
+    lang, names, at, v, ns, total, wide, rows = None, None, {}, 0, None, None, [], 1
 
     def score() -> None:
         p = 1 + SCALE * (np.array(wide, np.int64) + 1) // (ns + v)
@@ -168,19 +199,18 @@ def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             score()
         if total is not None and total.any():
             g, o = np.nonzero(total)
-            yield pd.DataFrame({"lang": lang, "g": g, "o": o, "value": total[g, o]})
+            yield pd.DataFrame({"lang": lang, "source": names[g], "item": names[o], "value": total[g, o]})
 
     for df in parts:
         for row in df.itertuples(index=False):
-            if row.ns is not None:
+            if row.kind == 0:
                 yield from close()
-                lang, v, ns = row.lang, row.v, np.array(row.ns, np.int64)
-                total = np.zeros((len(ns), len(ns)), np.int64)
-                wide.clear()
-                rows = max(1, (1 << 20) // max(1, len(ns)))
+                lang, v, ns, names = row.lang, row.v, np.array(row.n, np.int64), np.array(row.sources, object)
+                at = {s: i for i, s in enumerate(names)}
+                total, rows = np.zeros((len(ns), len(ns)), np.int64), max(1, (1 << 20) // len(ns))
                 continue
             dense = np.zeros(len(ns), np.int64)
-            dense[np.array(row.ids, np.int64)] = row.counts
+            dense[[at[s] for s in row.sources]] = row.n
             wide.append(dense)
             if len(wide) >= rows:
                 score()
@@ -189,51 +219,37 @@ def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def divergence(docs: DataFrame) -> DataFrame:
     """(lang, source, part, item, value, rank), by the contract of operator 12."""
-    counts = cut(counted(docs))
+    terms = cut(kept_terms(counted(docs)))
+    used = terms.select("lang", "term", "n_term", F.inline("uses"))
+    sized = used.groupBy("lang", "source").agg(F.sum("n").alias("of_source"))
+    langs = terms.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n_term").alias("of_lang"))
     groups = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source")]).distinct()
-    terms = cut(kept_terms(counts))
-    used = cut(counts.where("level = 0").select("lang", "source", "term", "n").join(terms, ["lang", "term"])
-               .groupBy("lang", "term", "source").agg(F.sum("n").alias("n")))
-    # a language's sources are numbered; it has a pair of each two in the result anyway
-    sized = used.groupBy("lang", "source").agg(F.sum("n").alias("n_source"))
-    langs = terms.groupBy("lang").agg(F.count("*").alias("v"))
-    by_lang = Window.partitionBy("lang")
     groups = cut(groups.join(sized, ["lang", "source"], "left").join(langs, "lang", "left")
-                 .withColumns({"n_source": F.coalesce("n_source", F.lit(0)), "v": F.coalesce("v", F.lit(0))})
-                 .withColumns({"id": F.row_number().over(by_lang.orderBy("source")) - 1,
-                               "n_lang": F.sum("n_source").over(by_lang)}))
-    rows = lookup(used, groups.withColumn("of_source", F.col("n_source")), ["lang", "source"], "n_source",
-                  F.xxhash64("term")).drop("hit")
+                 .na.fill(0, ["of_source", "v", "of_lang"]))
 
     # terms of a group above the language's share
-    whole = used.groupBy("lang", "term").agg(F.sum("n").alias("n_term"))
-    term = (rows.join(whole, ["lang", "term"])
-            .withColumns({"p": share(F.col("n"), F.col("of_source"), F.col("v")),
-                          "q": share(F.col("n_term"), F.col("n_lang"), F.col("v"))}).where("p > q")
+    rows = lookup(used, groups.withColumn("weight", F.col("of_source")), ["lang", "source"], "weight", F.xxhash64("term"))
+    term = (rows.withColumns({"p": share(F.col("n"), F.col("of_source"), F.col("v")),
+                              "q": share(F.col("n_term"), F.col("of_lang"), F.col("v"))}).where("p > q")
             .select("lang", "source", F.lit("term").alias("part"), F.col("term").cast("string").alias("item"),
                     chi(F.col("p"), F.col("q")).alias("value")))
 
-    # sums over all kept terms, by pairs of sources
-    bucket = F.pmod(F.xxhash64("term"), F.lit(DEAL)).cast("int")
-    none = F.lit(None).cast("array<long>")
-    flat = rows.groupBy("lang", "term").agg(F.collect_list(F.struct("id", "n")).alias("c"))
-    flat = flat.select("lang", bucket.alias("bucket"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias("v"),
-                       none.alias("ns"), F.col("c.id").cast("array<long>").alias("ids"), F.col("c.n").alias("counts"))
-    head = groups.where("v > 0").groupBy("lang", "v").agg(F.sort_array(F.collect_list(F.struct("id", "n_source"))).alias("c"))
+    # sums over all kept terms, by pairs of sources: all such pairs are in the result
+    flat = terms.select("lang", F.pmod(F.xxhash64("term"), F.lit(DEAL)).cast("int").alias("bucket"), F.lit(1).alias("kind"),
+                        F.lit(0).cast("long").alias("v"), F.col("uses.source").alias("sources"), F.col("uses.n").alias("n"))
+    head = groups.where("v > 0").groupBy("lang", "v").agg(F.collect_list(F.struct("source", "of_source")).alias("c"))
     head = head.select("lang", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))).alias("bucket"), F.lit(0).alias("kind"),
-                       "v", F.col("c.n_source").alias("ns"), none.alias("ids"), none.alias("counts"))
+                       "v", F.col("c.source").alias("sources"), F.col("c.of_source").alias("n"))
     value = (head.unionByName(flat).repartition("lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
-             .mapInPandas(_pairs, "lang string, g long, o long, value long")
-             .groupBy("lang", "g", "o").agg(F.sum("value").alias("value")))
-    one = groups.select("lang", F.col("id").cast("long").alias("g"), "source")
-    two = groups.select("lang", F.col("id").cast("long").alias("o"), F.col("source").alias("item"))
-    pair = (one.join(two, "lang").where("g <> o").join(value, ["lang", "g", "o"], "left")
+             .mapInPandas(_pairs, "lang string, source string, item string, value long")
+             .groupBy("lang", "source", "item").agg(F.sum("value").alias("value")))
+    pair = (groups.select("lang", "source").join(groups.select("lang", F.col("source").alias("item")), "lang")
+            .where("source <> item").join(value, ["lang", "source", "item"], "left")
             .select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).alias("value")))
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     term = term.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= TOP_TERMS)
-    pair = pair.withColumn("rank", F.row_number().over(best))
-    return pair.unionByName(term)
+    return pair.withColumn("rank", F.row_number().over(best)).unionByName(term)
 
 
 def op12(docs: DataFrame) -> DataFrame:

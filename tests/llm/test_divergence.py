@@ -60,13 +60,17 @@ def test_odd_rows_against_brute_force(spark, monkeypatch, held, slices):
     assert divergence.op12(df.where("false")).count() == 0
 
 
-def test_refinement_drops_prefixes_before_longer_ones_are_counted(spark):
-    """A prefix below the threshold leaves no trace on the next level."""
-    df = spark.createDataFrame([("en", "s", f"abcdefgh{chr(97 + i)} qq{chr(97 + i)}rstuv") for i in range(2)],
+def test_refinement_drops_prefixes_before_longer_ones_are_counted(spark, monkeypatch):
+    """A prefix that holds leaves its level, longer ones of two documents go; by
+    broadcast and by shuffled joins alike."""
+    df = spark.createDataFrame([("en", "s", f"abcdefgh{chr(97 + i)} qq{chr(97 + i)}rstuv") for i in range(4)],
                                "lang string, source string, text string")
-    assert divergence.kept_terms(divergence.counted(df)).count() == 0
-    df = df.unionAll(df)
-    kept = {bytes(r.term) for r in divergence.kept_terms(divergence.counted(df)).collect()}
-    assert kept == set()
-    df = df.unionAll(df)
-    assert len(divergence.kept_terms(divergence.counted(df)).collect()) == 4
+    for bound in (200_000, 0):
+        monkeypatch.setattr(divergence, "BROADCAST", bound)
+        counts = divergence.counted(df)
+        alive = {(r.above, bytes(r.prefix)) for r in divergence.alive_prefixes(counts)[0].collect()}
+        assert alive == {(4, b"abcd"), (8, b"abcdefgh")}
+        assert divergence.kept_terms(counts).count() == 0
+        kept = divergence.kept_terms(divergence.counted(df.unionAll(df).unionAll(df)))
+        assert {(bytes(r.term), r.n_term) for r in kept.collect()} == {
+            (w, 3) for i in range(4) for w in (b"abcdefgh%c" % (97 + i), b"qq%crstuv" % (97 + i))}
