@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from meterflow.llm.common import WS_WORD, cut, lookup
 
 BLOCK = 4096
-LOCAL = 1024
+LOCAL = 256
 
 
 def numbered(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -232,7 +232,8 @@ def subtree_sums(nodes: DataFrame, paths: DataFrame, values: list[str]) -> DataF
     zero = F.lit(0).cast("long")
     todo = nodes.select("a", "b", "depth", "conv_id", F.coalesce("pa", F.lit(0)).alias("pa"),
                         F.coalesce("pb", F.lit(0)).alias("pb"), F.col("w").cast("long").alias("w"), *values,
-                        zero.alias("ta"), zero.alias("tb"), F.lit(total[0] if total else 0).cast("long").alias("total"),
+                        # not literals: the optimizer would take them out of the join keys
+                        F.expr("a & 0L").alias("ta"), F.expr("b & 0L").alias("tb"), F.lit(total[0] if total else 0).cast("long").alias("total"),
                         *[zero.alias(f"acc_{v}") for v in values])
     done, small = [], []
     while not todo.where(F.col("total") > LOCAL).isEmpty():
