@@ -42,8 +42,8 @@ def explode_count(df: DataFrame, count_col: str, out_col: str, block: int = EXPA
 def first_by_order(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
     """One row per ``keys``: the row with the smallest ``order_cols`` tuple.
 
-    Written as ``min`` over a struct whose leading fields are the order columns:
-    a hash aggregate with a map-side partial step, so a hot key is reduced on
+    Written as ``min`` over a struct whose leading fields are the order columns (the
+    other columns break ties): a sort aggregate with a map-side partial step, so a hot key is reduced on
     every task before the shuffle (a window ``row_number`` would pull the whole
     group into one task).
     """

@@ -154,9 +154,10 @@ def dedupe_by_transaction_id(deliveries: DataFrame, ledger: DataFrame | None,
 
 def append_ledger(ledger: DataFrame, rows: DataFrame, kind: str = "billing"):
     """Insert ledger rows; an existing ``event_id`` means "already done",
-    not an error. Returns ``(ledger', inserted, already)``."""
+    not an error; of rows with one event id the least (by ``processed_at``, then the
+    other columns) stays. Returns ``(ledger', inserted, already)``."""
     cols = [c for c in LEDGER_KINDS[kind].fieldNames() if c in rows.columns]
-    fresh = rows.select(*cols).dropDuplicates(["event_id"])
+    fresh = first_by_order(rows.select(*cols), ["event_id"], ["processed_at"])
     hit = ledger.select("event_id").withColumn("__seen", F.lit(True))
     j = fresh.join(hit, "event_id", "left")
     inserted = j.filter(F.col("__seen").isNull()).select(*cols)

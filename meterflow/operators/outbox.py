@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from meterflow import schemas as S
 from meterflow.functions import codec
 from meterflow.functions import expressions as X
+from meterflow.operators.common import first_by_order
 
 OUTBOX_COLUMNS = S.OUTBOX_EVENTS.fieldNames()
 
@@ -37,8 +38,9 @@ def to_outbox(chunks: DataFrame, as_of) -> DataFrame:
 def append_outbox(outbox: DataFrame, new_rows: DataFrame):
     """Insert rows whose ``event_id`` is not there yet (UNIQUE event_id).
 
-    Returns ``(outbox', inserted)``; in-batch duplicates keep one row."""
-    fresh = new_rows.dropDuplicates(["event_id"])
+    Returns ``(outbox', inserted)``; of in-batch duplicates the least row (by id,
+    then the other columns) stays, whatever the input order."""
+    fresh = first_by_order(new_rows.select(*OUTBOX_COLUMNS), ["event_id"], ["id"])
     inserted = fresh.join(outbox.select("event_id"), "event_id", "left_anti")
     return outbox.select(*OUTBOX_COLUMNS).unionByName(inserted.select(*OUTBOX_COLUMNS)), inserted
 
@@ -90,30 +92,39 @@ def publish_split(leased: DataFrame, ledger: DataFrame) -> DataFrame:
     """Classify each leased outbox row.
 
     ``already``     -- event id in the publisher ledger: only mark it published;
-    ``repeat``      -- a lower id of this lease has the same event id: left alone,
-                       a later cycle finds the event in the ledger;
     ``undecodable`` -- payload does not decode: left unpublished (not a failure);
     ``invalid``     -- decoded but fails C7: left unpublished, counted as failure;
+    ``repeat``      -- good, but the least id among the good rows of this event id
+                       in the lease is published: a later cycle finds the event in
+                       the ledger. A broken row never stands in a good one's way;
     ``publish``     -- publish, write the ledger row, mark published.
-    One left join to the ledger and one to the lease's own least ids (keys only)
-    plus expressions; decoded chunk columns are carried for the publish branch.
+    One left join to the ledger's keys and one to the least good ids of events that
+    the lease holds more than once (only those rows are decoded for it); decoded
+    chunk columns are carried.
     """
+    def decoded(rows):
+        return codec.decode_chunks(rows.withColumnRenamed("event_id", "outbox_event_id")
+                                   .withColumnRenamed("session_id", "outbox_session_id")
+                                   .withColumnRenamed("sequence", "outbox_sequence"), "payload")
+
     seen = ledger.select("event_id").distinct().withColumn("__seen", F.lit(True))
-    firsts = leased.groupBy("event_id").agg(F.min("id").alias("__first"))
-    j = leased.join(seen, "event_id", "left").join(firsts, "event_id", "left")
-    dec = codec.decode_chunks(j.withColumnRenamed("event_id", "outbox_event_id")
-                               .withColumnRenamed("session_id", "outbox_session_id")
-                               .withColumnRenamed("sequence", "outbox_sequence"), "payload")
+    dec = decoded(leased)
+    good = F.col("decode_error").isNull() & reject_reason().isNull()
+    several = leased.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("event_id")
+    firsts = (decoded(leased.join(several, "event_id", "left_semi")).filter(good).groupBy(F.col("outbox_event_id").alias("__event"))
+              .agg(F.min("id").alias("__first")))
+    dec = (dec.join(seen.withColumnRenamed("event_id", "__key"), F.col("outbox_event_id") == F.col("__key"), "left")
+           .join(firsts, F.col("outbox_event_id") == F.col("__event"), "left"))
     repeat = F.col("id") > F.col("__first")
     outcome = (F.when(F.col("__seen").isNotNull(), F.lit("already"))
-                .when(repeat, F.lit("repeat"))
                 .when(F.col("decode_error").isNotNull(), F.lit("undecodable"))
                 .when(reject_reason().isNotNull(), F.lit("invalid"))
+                .when(repeat, F.lit("repeat"))
                 .otherwise(F.lit("publish")))
-    detail = (F.when(F.col("__seen").isNotNull() | repeat, F.lit(None))
+    detail = (F.when(F.col("__seen").isNotNull(), F.lit(None))
                .when(F.col("decode_error").isNotNull(), F.col("decode_error"))
                .otherwise(reject_reason()))
-    return dec.withColumn("outcome", outcome).withColumn("detail", detail).drop("__seen", "__first")
+    return dec.withColumn("outcome", outcome).withColumn("detail", detail).drop("__seen", "__first", "__key", "__event")
 
 
 def publish_summary(split: DataFrame) -> DataFrame:
@@ -179,9 +190,9 @@ def update_where_in(outbox: DataFrame, key_source: DataFrame, key: str, assign:
 def record_failure(outbox: DataFrame, failures: DataFrame):
     """``retry_count + 1`` and ``last_error`` for failed ids.
 
-    ``failures`` has id and error. Returns ``(outbox', not_found_ids)``."""
-    f = failures.select(F.col("id").cast("bigint").alias("id"), F.col("error").alias("__err")) \
-                .dropDuplicates(["id"])
+    ``failures`` has id and error; of several errors of one id the least counts.
+    Returns ``(outbox', not_found_ids)``."""
+    f = failures.groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("error").alias("__err"))
     new = _merge_by_id(outbox, f, {"retry_count": F.col("retry_count") + 1,
                                    "last_error": F.col("__err")})
     missing = f.join(outbox.select("id"), "id", "left_anti").select("id")

@@ -147,9 +147,11 @@ def advance_sessions(sessions: DataFrame, chunks: DataFrame) -> DataFrame:
 def finish_plan(sessions: DataFrame, requests: DataFrame, as_of=None):
     """I2 + B5 + F8: finish a set of sessions.
 
-    ``requests`` has ``id`` and optionally ``finished_at`` (default: the clock).
-    Only active sessions finish; finished ones are rejected, unknown ids are
-    ``not_found``. Returns ``(sessions', final_chunks, outcomes)`` from one plan:
+    ``requests`` has ``id`` and optionally ``finished_at`` (default: the clock); of
+    several requests for one id the earliest counts. Only active sessions finish;
+    finished ones are rejected, unknown ids are ``not_found``, a requested end before
+    the time billed so far is ``end_before_billed`` and changes nothing (the clock as
+    the default end always finishes). Returns ``(sessions', final_chunks, outcomes)`` from one plan:
     sessions' is the full table with the finished rows updated; final chunks are
     ``[coalesce(last_billed_at, start_at), finished_at)`` with ``sequence + 1``.
     """
@@ -159,11 +161,14 @@ def finish_plan(sessions: DataFrame, requests: DataFrame, as_of=None):
     fin_at = (F.col("finished_at").cast("timestamp_ntz") if "finished_at" in rq_cols else _ts(as_of))
     if "finished_at" in rq_cols and as_of is not None:
         fin_at = F.coalesce(fin_at, _ts(as_of))
-    req = requests.select(F.col("id"), fin_at.alias("__fin")).dropDuplicates(["id"])
+    own_end = F.col("finished_at").cast("timestamp_ntz") if "finished_at" in rq_cols else F.lit(None).cast("timestamp_ntz")
+    req = requests.groupBy("id").agg(F.min(fin_at).alias("__fin"), F.min(own_end).alias("__own"))
     s = sessions.select(*SESSION_COLUMNS).withColumn("__known", F.lit(True))
     j = req.join(s, "id", "left")
     outcome = (F.when(F.col("__known").isNull(), F.lit("not_found"))
                 .when(F.col("status") != S.SESSION_ACTIVE, F.lit("already_finished"))
+                .when((F.col("__own") <= F.col("__fin"))
+                      & (F.col("__fin") < F.coalesce("last_billed_at", "start_at")), F.lit("end_before_billed"))
                 .otherwise(F.lit("finished")))
     classified = j.withColumn("outcome", outcome)
     outcomes = classified.select("id", "outcome")

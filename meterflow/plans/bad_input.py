@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from meterflow.functions import codec
-from meterflow.operators import analytics, chunks, constraints, ledger, outbox
-from meterflow.plans.catalog import CHUNK_SELECT, FIRST, SPLIT_SQL, fx, query
+from meterflow.functions import expressions as X
+from meterflow.operators import analytics, chunks, constraints, ledger, outbox, sessions
+from meterflow.plans.catalog import AS_OF, A, CHUNK_SELECT, FIRST, SPLIT_SQL, fx, query
 from meterflow.sources import sinks
 
 # The order number of an event id 'evt-<order>-<line>' or session id.
@@ -57,13 +58,13 @@ def c9_null(spark, d):
 
 
 @query("e3_publish_split_outcomes", SPLIT_SQL + """
-SELECT CASE WHEN outcome <> 'already' AND (id // 8) % 7 < 5 THEN 'undecodable' ELSE outcome END AS outcome, count(*) AS n
-FROM split GROUP BY 1
-UNION ALL SELECT 'repeat', count(*) FROM split WHERE outcome <> 'already' HAVING count(*) > 0
-UNION ALL SELECT 'already', count(*) FROM split WHERE outcome = 'already' HAVING count(*) > 0""")
+, o AS (SELECT CASE WHEN outcome <> 'already' AND (id // 8) % 7 < 5 THEN 'undecodable' ELSE outcome END AS outcome FROM split)
+SELECT outcome, count(*) * CASE WHEN outcome IN ('undecodable', 'invalid') THEN 2 ELSE 1 END AS n FROM o GROUP BY outcome
+UNION ALL SELECT 'repeat', count(*) FROM o WHERE outcome = 'publish' HAVING count(*) > 0
+UNION ALL SELECT 'already', count(*) FROM o WHERE outcome = 'already' HAVING count(*) > 0""")
 def e3_outcomes(spark, d):
     """F6 over an outbox that holds every row twice, under a second id, and whose
-    payloads are spoilt: all five outcomes. (The rows of one lease that are in the
+    payloads are spoilt: all five outcomes; a broken row is broken under either id. (The rows of one lease that are in the
     ledger already are so under either id.)"""
     f = fx(spark, d)
     rows = f.outbox_with_payload()
@@ -75,6 +76,40 @@ def e3_outcomes(spark, d):
     return outbox.publish_summary(once).unionByName(outbox.publish_summary(again))
 
 
+@query("e3_broken_first_row", SPLIT_SQL + """
+SELECT id, event_id, outcome FROM split
+UNION ALL SELECT -id, event_id, CASE outcome WHEN 'already' THEN outcome ELSE 'undecodable' END FROM split""")
+def e3_broken_first(spark, d):
+    """Every row of the lease comes after a broken one of the same event, with a
+    lower id: the good one is published all the same."""
+    f = fx(spark, d)
+    rows = f.outbox_with_payload()
+    broken = rows.withColumns({"id": -F.col("id"), "payload": F.lit("{broken")})
+    split = outbox.publish_split(outbox.unpublished_events(rows.unionByName(broken)), f.processed_outbox_events)
+    return split.select("id", F.col("outbox_event_id").alias("event_id"), "outcome")
+
+
+@query("i2_conflicting_finishes", f"""
+, r AS (SELECT *, least({A}, coalesce(last_billed_at, start_at) + (billing_sequence % 5 - 1) * INTERVAL 1 HOUR) AS fin,
+               status = 'SESSION_ACTIVE' AND fin >= coalesce(last_billed_at, start_at) AS ok FROM usage_sessions)
+SELECT id, CASE WHEN ok THEN 'finished' WHEN status = 'SESSION_ACTIVE' THEN 'end_before_billed' ELSE 'already_finished' END AS outcome,
+       CASE WHEN ok THEN 'SESSION_FINISHED' ELSE status END AS status, CASE WHEN ok THEN fin ELSE end_at END AS end_at,
+       CASE WHEN ok THEN fin ELSE last_billed_at END AS last_billed_at, billing_sequence + CAST(ok AS INT) AS billing_sequence,
+       CASE WHEN ok THEN coalesce(last_billed_at, start_at) END AS chunk_from, CASE WHEN ok THEN fin END AS chunk_to
+FROM r""")
+def i2_conflicts(spark, d):
+    """Two finish requests for every session, at different times and in shuffled
+    order: the earlier counts, and an end before the time billed so far is refused."""
+    s = fx(spark, d).usage_sessions
+    hours = F.make_dt_interval(hours=(F.col("billing_sequence") % 5 - 1).cast("int"))
+    req = (s.select("id", (F.coalesce("last_billed_at", "start_at") + hours).alias("finished_at"))
+           .unionByName(s.select("id", X.ts_lit(AS_OF).alias("finished_at"))).orderBy(F.xxhash64("id", "finished_at")))
+    new, final, outcomes = sessions.finish_plan(s, req, AS_OF)
+    ends = final.select(F.col("session_id").alias("id"), F.col("from_ts").alias("chunk_from"), F.col("to_ts").alias("chunk_to"))
+    return (new.select("id", "status", "end_at", "last_billed_at", "billing_sequence").join(outcomes, "id")
+            .join(ends, "id", "left"))
+
+
 @query("e5_two_events_one_transaction", f"""
 SELECT {CHUNK_SELECT} FROM {FIRST} c WHERE sequence % 2 = 1
 UNION ALL SELECT {CHUNK_SELECT.replace('event_id', "concat('second-', event_id) AS event_id", 1)} FROM {FIRST} c

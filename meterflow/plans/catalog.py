@@ -322,7 +322,7 @@ def b12(spark, d):
     pub = _publish_split(spark, d).filter(F.col("outcome") == "publish")
     return ledger.ledger_rows(pub.select(F.col("outbox_event_id").alias("event_id"),
                                          F.col("outbox_session_id").alias("session_id"),
-                                         F.col("outbox_sequence").alias("sequence")), AS_OF, "outbox")
+                                         F.col("outbox_sequence").alias("sequence")), AS_OF, "outbox").drop("event_bucket")
 
 
 @query("b13_append_ledger", SPLIT_SQL + f"""

@@ -4,10 +4,12 @@ DataFrame operations.
 A micro-batch joins the open sessions that the batch before it wrote (one row per
 session) with its own events and emits, by the arithmetic of the backfill:
 
-* for a session whose finish is known, all ticks up to the finish and the final
-  chunk, whatever the clock;
+* for a session whose finish is known and not in the future, all ticks up to the
+  finish and the final chunk, whatever the clock;
 * for an active session, the ticks that end at or before the clock: the greatest
-  event time so far minus ``delay``, the disorder the caller allows.
+  event time so far minus ``delay``, the disorder the caller allows. Only usable
+  events and marker rows move it, and none that is dated after the batch's own
+  time, so neither a rejected row nor one dated ahead bills time that has not passed.
 
 Nothing is dropped unseen. A finish may come before its create and waits in the
 state; a create or finish may be as old as it likes. A finish before the end of a
@@ -33,6 +35,7 @@ from meterflow.operators.common import explode_count
 from meterflow.operators.ledger import bucket_pruned, key_bucket
 from meterflow.session import read_parquet_or_empty
 from meterflow.sources import sinks
+from meterflow.streaming.billing import CLOCK_COL, batch_clock, with_batch_clock
 
 ATTRS = ["sandbox_id", "organization_id", "cpu", "gpu", "ram_gb", "disk_gb", "region", "sandbox_class"]
 _ATTR_TYPES = ("sandbox_id string, organization_id string, cpu double, gpu double, ram_gb double, "
@@ -54,22 +57,30 @@ def _earlier(spark, root: str, table: str, schema: str, batch_id: int, last_only
     return df.filter(own).drop("batch_id")
 
 
-def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, delay: str) -> None:
+def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, delay: str, clock=None) -> None:
+    """One micro-batch. ``clock`` is the time beyond which events are in the future;
+    by default the batch's own (the stream's batch time)."""
     spark, step = batch.sparkSession, X.interval_micros(interval)
-    rows = batch.select("session_id", "action", F.col("ts").cast("timestamp_ntz").alias("ts"), *ATTRS).persist()
+    rows = batch.select("session_id", "action", F.col("ts").cast("timestamp_ntz").alias("ts"), *ATTRS,
+                        batch_clock(batch, clock).alias(CLOCK_COL)).persist()
+    batch_rows = rows
+    state = None
     try:
         usable = (F.col("session_id").isNotNull() & F.col("ts").isNotNull()
                   & F.coalesce(F.col("action").isin("create", "finish"), F.lit(False)))
         marker = F.coalesce(F.col("session_id") == SENTINEL, F.lit(False))
-        before = _earlier(spark, root, "lifecycle_clock", "high timestamp_ntz", batch_id)
-        high = (rows.select(F.max("ts").alias("high")).unionByName(before.select(F.max("high").alias("high")))
-                .agg(F.max("high").alias("high")))
+        before = _earlier(spark, root, "lifecycle_clock", "high timestamp_ntz, now timestamp_ntz", batch_id)
+        moves = (usable | (marker & F.col("ts").isNotNull())) & (F.col("ts") <= F.col(CLOCK_COL))
+        high = (rows.select(F.max(F.when(moves, F.col("ts"))).alias("high"), F.max(CLOCK_COL).alias("now"))
+                .unionByName(before.select(F.max("high").alias("high"), F.max("now").alias("now")))
+                .agg(F.max("high").alias("high"), F.max("now").alias("now")))
         sinks.write_batch(high.coalesce(1), f"{root}/lifecycle_clock", batch_id)
-        high = spark.read.parquet(f"{root}/lifecycle_clock").filter(F.col("batch_id") == batch_id).first().high
-        if high is None:  # no event time at all yet: nothing can be due
-            high = X.dt.datetime(1, 1, 1)
+        times = spark.read.parquet(f"{root}/lifecycle_clock").filter(F.col("batch_id") == batch_id).first()
+        # no event time at all yet: nothing can be due
+        high, now = (t or X.dt.datetime(1, 1, 1) for t in (times.high, times.now))
         clock = F.timestamp_add("MICROSECOND", F.lit(-X.interval_micros(delay)), X.ts_lit(high))
 
+        rows = rows.drop(CLOCK_COL)
         good = rows.filter(usable & ~marker)
         closed = _earlier(spark, root, "lifecycle_closed", "session_id string, session_bucket int", batch_id)
         closed = bucket_pruned(closed, good, "session_id", "session_bucket").select("session_id")
@@ -95,7 +106,10 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
         sinks.write_batch(rejects, f"{root}/lifecycle_rejects", batch_id)
 
         started = state.filter("billed_to is not null and (finish_at is null or finish_at >= billed_to)")
-        span = F.timestamp_diff("MICROSECOND", "billed_to", F.coalesce("finish_at", clock))
+        # a finish dated ahead waits in the state
+        over = F.coalesce(F.col("finish_at") <= X.ts_lit(now), F.lit(False))
+        started = started.withColumn("__over", over)
+        span = F.timestamp_diff("MICROSECOND", "billed_to", F.when(over, F.col("finish_at")).otherwise(clock))
         started = started.withColumn("__n", F.greatest(F.floor(span / F.lit(step)), F.lit(0)).cast("bigint"))
         at = lambda k: F.timestamp_add("MICROSECOND", k * F.lit(step), F.col("billed_to"))
         own = ["session_id", *ATTRS]
@@ -103,7 +117,7 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
         ticks = explode_count(started, "__n", "__k", spread=True).select(
             *own, (F.col("seq") + k).alias("sequence"), at(k - 1).alias("from_ts"), at(k).alias("to_ts"),
             F.lit("tick").alias("kind"))
-        finals = started.filter("finish_at is not null").select(
+        finals = started.filter("__over").select(
             *own, (F.col("seq") + F.col("__n") + 1).alias("sequence"), at(F.col("__n")).alias("from_ts"),
             F.col("finish_at").alias("to_ts"), F.lit("final").alias("kind"))
         out = ticks.unionByName(finals).select(
@@ -111,25 +125,27 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
             F.lit("").alias("region_type"), "kind")
         sinks.write_batch(out, f"{root}/lifecycle_chunks", batch_id)
 
-        done = started.filter("finish_at is not null").select("session_id").unionByName(late.select("session_id"))
+        done = started.filter("__over").select("session_id").unionByName(late.select("session_id"))
         sinks.write_batch(done.withColumn("session_bucket", key_bucket("session_id"))
                           .sortWithinPartitions("session_bucket"), f"{root}/lifecycle_closed", batch_id)
-        running = started.filter("finish_at is null").select(
+        running = started.filter("not __over").select(
             "session_id", at(F.col("__n")).alias("billed_to"), "finish_at",
             (F.col("seq") + F.col("__n")).alias("seq"), *ATTRS)
         waiting = state.filter("billed_to is null")
         sinks.write_batch(running.unionByName(waiting), f"{root}/lifecycle_state", batch_id)
-        state.unpersist()
     finally:
-        rows.unpersist()
+        if state is not None:
+            state.unpersist()
+        batch_rows.unpersist()
 
 
 def start_lifecycle_stream(source: DataFrame, root: str, checkpoint: str, delay: str, interval: str = "90 days",
-                           available_now: bool = True):
+                           available_now: bool = True, clock=None):
     """Start J9 on lifecycle events (session_id, action, ts, session attributes).
     ``delay`` is how far out of order event times may be before a finish can come
     too late."""
-    w = (source.writeStream.foreachBatch(lambda df, b: lifecycle_batch(df, b, root, interval, delay))
+    w = (with_batch_clock(source, clock).writeStream
+         .foreachBatch(lambda df, b: lifecycle_batch(df, b, root, interval, delay, clock))
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
     return w.start()

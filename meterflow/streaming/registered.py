@@ -121,6 +121,33 @@ def j9(spark, d):
 
 
 
+@query("j9_bad_rows", J9_SQL)
+def j9_bad(spark, d):
+    """As j9, with rows dated a century ahead in every file: without session, with an
+    unknown action, and a finish for each session that has none. None of them moves
+    the clock or bills time that has not passed."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j9b")
+    lc = f.session_lifecycle.filter(F.col("ts") <= X.ts_lit(AS_OF))
+    ahead = F.col("ts") + F.make_dt_interval(days=F.lit(36500))
+    ended = lc.filter("action = 'finish'").select("session_id")
+    bad = (lc.withColumns({"ts": ahead, "action": F.lit("paused")})
+           .unionByName(lc.withColumns({"ts": ahead, "session_id": F.lit(None).cast("string")}))
+           .unionByName(lc.join(ended, "session_id", "left_anti").withColumns({"ts": ahead, "action": F.lit("finish")}))
+           .select(*lc.columns))
+    src_dir, days = f"{run}/lifecycle", 4000
+    lc.unionByName(bad).repartition(4, F.xxhash64("session_id", "action", "ts")).write.parquet(src_dir)
+    end = spark.range(1).select(F.lit(SENTINEL).alias("session_id"), F.lit("tick").alias("action"),
+                                (X.ts_lit(AS_OF) + F.make_dt_interval(days=F.lit(days))).alias("ts"))
+    (lc.limit(0).unionByName(end, allowMissingColumns=True).coalesce(1).write.mode("append").parquet(src_dir))
+    src = spark.readStream.schema(lc.schema).option("maxFilesPerTrigger", 2).parquet(src_dir)
+    lifecycle.start_lifecycle_stream(src, run, f"{run}/_checkpoints/j9", f"{days} days",
+                                     f"{S.BACKFILL_INTERVAL_DAYS} days",
+                                     clock=AS_OF + X.dt.timedelta(days=days)).awaitTermination()
+    return lifecycle.chunks(spark, run).select("event_id", "session_id", "sequence", "from_ts", "to_ts",
+                                               "organization_id", "cpu", "kind")
+
+
 @query("a11_write_billing_payloads", f"""
 , e4 AS ({E4_SQL})
 SELECT concat(session_id, ':', CAST(sequence AS VARCHAR)) AS transaction_id, organization_id AS customer_id,

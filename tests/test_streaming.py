@@ -192,6 +192,40 @@ def test_lifecycle_in_any_order(spark):
         assert _lifecycle(spark, batches, "100 days") == (want, [])
 
 
+def test_rows_dated_ahead_do_not_move_the_clock(spark):
+    """A rejected row, and a valid one of the future, bill nothing ahead; the future
+    finish counts once its time has come."""
+    from meterflow.streaming import lifecycle
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    run = new_run_dir(spark, "t-ahead")
+    attrs = ("sb", "org", 2.0, 0.0, 4.0, 20.0, "us-east-1", "container")
+    far = dt.datetime(2124, 1, 1)
+    batches = [([("s1", "create", t0), (None, "what", far), ("s1", "paused", far)], 25),
+               ([("s2", "create", far), ("s1", "finish", t0 + 45 * day), ("s3", "create", t0 + 33 * day)], 35),
+               ([("__watermark__", "tick", t0 + 50 * day)], 50)]
+    seen = []
+    for b, (rows, now) in enumerate(batches):
+        df = spark.createDataFrame([(s, a, t) + attrs for s, a, t in rows], _LC)
+        lifecycle.lifecycle_batch(df, b, run, "10 days", "0 days", clock=t0 + now * day)
+        seen.append(sorted((r.session_id, r.sequence, r.to_ts, r.kind) for r in lifecycle.chunks(spark, run).collect()))
+    assert seen[0] == []  # the greatest event so far is the create
+    assert seen[1] == [("s1", n, t0 + 10 * n * day, "tick") for n in (1, 2, 3)]
+    assert seen[2] == seen[1] + [("s1", 4, t0 + 40 * day, "tick"), ("s1", 5, t0 + 45 * day, "final"),
+                                 ("s3", 1, t0 + 43 * day, "tick")]
+    assert sorted(r.reason for r in lifecycle.rejects(spark, run).collect()) == ["invalid"] * 2
+
+
+def test_billing_batches_leave_nothing_cached(spark, fx_small):
+    from meterflow.sources import sinks
+    run = new_run_dir(spark, "t-cache")
+    paths = sbill.BillingPaths(run)
+    batch = sinks.chunk_records(fx_small.chunk_deliveries.limit(50), keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq")
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    for b in range(5):
+        sbill.billing_batch(batch, b, paths, clock=AS_OF)
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == held
+
+
 def test_lifecycle_rejects_are_kept(spark):
     day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
     at = lambda n: t0 + n * day
