@@ -116,7 +116,8 @@ def components(edges: DataFrame) -> DataFrame:
 def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, hold: int, held: int,
                     per_class: int) -> DataFrame:
     """(doc_id, y, share, text, lang): at most per_class documents of each label,
-    the least hashes first; rows with crc32(doc_id) % hold == held are never
+    the least hashes first, one row each however often the doc_id stands in docs
+    (that of the least text hash); rows with crc32(doc_id) % hold == held are never
     taken, the highest label of a doc_id counts. share: how many labelled rows one sampled row stands
     for. The sample's ids are bounded, so they may be broadcast."""
     known = (labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull()
@@ -127,8 +128,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, hold: int,
              .withColumn("share", F.lit(max(1.0, sizes.get(y, 0) / per_class))) for y in (0, 1)]
     ids = parts[0].unionAll(parts[1])
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("row")
     return (docs.select("doc_id", "text", lang.alias("lang")).join(F.broadcast(ids), "doc_id")
-            .select("doc_id", "y", "share", "text", "lang"))
+            .groupBy("doc_id", "y", "share").agg(first)
+            .select("doc_id", "y", "share", "row.text", "row.lang"))
 
 
 HOT_KEYS = 1000

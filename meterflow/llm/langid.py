@@ -192,7 +192,7 @@ def train(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> BiGru | None
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_mod(F.col("doc_id"), HOLD) != HELD))
     # least hashes of each language: the rank limit is applied before the shuffle
     by = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "h")
-    ids = (known.select("lang", "doc_id", F.xxhash64("text").alias("h"))
+    ids = (known.select("lang", "doc_id", F.xxhash64("text").alias("h")).distinct()
            .withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= per_language)
            .select(F.col("lang").alias("l"), F.col("doc_id").alias("i"), "h"))
     chosen = known.join(F.broadcast(ids), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("lang") == F.col("l"))
@@ -208,7 +208,7 @@ def train(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> BiGru | None
             return [w[i].tobytes() for i in at] if len(w) else []
         return pd.Series([spread(t) for t in texts])
 
-    got = chosen.select("lang", some("text").alias("w")).collect()
+    got = chosen.select("lang", some("text").alias("w")).distinct().collect()
     pairs = sorted({(r.lang, bytes(w)) for r in got for w in r.w})
     if not pairs:
         return None

@@ -13,12 +13,17 @@ are bounded by the distinct sizes, not by the rows.
 Rounding into copies: cells of equal (source, size) get whole copies by
 systematic rounding along falling sizes; of ``OFFSETS`` starting points each
 source takes the one whose words come nearest its target, and a few single
-copies are moved to come nearer still. Inside a cell the extra copies go to the least hashes of doc_id, counted in ``SALTS`` parts so that
-a hot cell is never ordered in one task.
+copies are moved to come nearer still. Inside a cell the extra copies go to the least
+hashes of doc_id and text, counted in ``SALTS`` parts so that a hot cell is never
+ordered in one task. Rows that agree in both are counted, not listed: where only some
+of them get one copy more, as many as needed do, found by counts of ``TIES`` buckets
+of a row number. Rows and their numbers are written once, so that every later step
+sees the same ones.
 
 Cases: null and empty texts have size 0 and rate 1 copy, taking no words; null
-is a source of its own, last; rows with the same doc_id and size share their
-decision; empty tables give empty results; columns called size, source_size,
+is a source of its own, last; rows with the same doc_id, null ones too, are decided
+one by one, and which of several rows equal in doc_id and text takes a copy more is
+open; empty tables give empty results; columns called size, source_size,
 target, copies or taken are replaced.
 """
 
@@ -29,12 +34,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import DOC_COLS, WS_WORD, cut
+from meterflow.llm.common import DOC_COLS, WS_WORD, cut, lookup
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
 OFFSETS = 128
 SALTS = 256
+TIES = 1024
 CORRECTIONS = 6
 MAX_STEPS = 60
 TOLERANCE = 1e-7
@@ -44,10 +50,6 @@ def _size() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WS_WORD)), F.lit(0)).cast("long")
 
 
-def _h() -> Column:
-    return F.xxhash64(F.lit(7), F.col("doc_id"))
-
-
 def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """(source, source_size, mean, target) from (source, size, n): shares of all
     words by weight, water-filled where cap times the source's size is reached.
@@ -130,8 +132,19 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
     """docs with size, source_size, target and copies: how often the mix takes
     each document (0 to cap times)."""
     own = ["size", "source_size", "target", "copies", "taken"]
-    base = (docs.drop(*own).withColumn("size", _size()).withColumn("__h", _h())
-            .withColumn("__salt", F.pmod(F.xxhash64("__h"), F.lit(SALTS)).cast("int")))
+    keep = [c for c in docs.columns if c not in own]
+    return _mixed(docs.drop(*own).withColumns(_measures()), keep, weights, cap)
+
+
+def _measures() -> dict[str, Column]:
+    """What mixing needs to know of a row: its size, its place in the order of copies
+    and a number of its own."""
+    return {"size": _size(), "__h": F.xxhash64(F.lit(7), F.col("doc_id")),
+            "__t": F.xxhash64(F.lit(11), F.col("text")), "__row": F.monotonically_increasing_id()}
+
+
+def _mixed(rows: DataFrame, keep: list[str], weights=WEIGHTS, cap: float = CAP) -> DataFrame:
+    base = cut(rows.withColumn("__salt", F.pmod(F.xxhash64("__h", "__t"), F.lit(SALTS)).cast("int")))
     parts = cut(base.groupBy("source", "size", F.col("__salt").alias("salt")).agg(F.count("*").alias("n")))
     cells = cut(parts.groupBy("source", "size").agg(F.sum("n").alias("n")))
     lam = duals(cells, targets(cells, weights, cap), cap)
@@ -164,22 +177,47 @@ def mix(docs: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
             .join(chosen, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
             .withColumn("part_extra", share(upto) - share(upto - F.col("part_n"))))
     part = part.select("s", "z", "salt", "floor", "part_extra", "source_size", "target")
-    # the least hashes of a part take one copy more: its threshold is a bounded
-    # rank in the part, found where only the part's hashes are gathered
-    rank = Window.partitionBy("source", "size", "__salt").orderBy("__h")
-    keys = base.select("source", "size", "__salt", "__h").withColumn("rank", F.row_number().over(rank))
+    # the least (hash, text hash) of a part take one copy more: its threshold is the
+    # key at which the running count of rows reaches the part's extra copies
     on = (F.col("source").eqNullSafe(F.col("s"))) & (F.col("size") == F.col("z")) & (F.col("__salt") == F.col("salt"))
-    least = (keys.join(part.where("part_extra > 0"), on).where(F.col("rank") == F.col("part_extra"))
-             .select("s", "z", "salt", F.col("__h").alias("__least")))
+    keys = base.groupBy("source", "size", "__salt", "__h", "__t").agg(F.count("*").alias("rows"))
+    rank = Window.partitionBy("source", "size", "__salt").orderBy("__h", "__t")
+    keys = keys.withColumn("before", F.sum("rows").over(rank) - F.col("rows"))
+    least = cut(keys.join(part.where("part_extra > 0"), on)
+                .where("before < part_extra and part_extra <= before + rows")
+                .select("s", "z", "salt", F.struct("__h", "__t").alias("__least"),
+                        (F.col("part_extra") - F.col("before")).alias("some"), "rows"))
     decided = part.join(least.select(F.col("s").alias("s2"), F.col("z").alias("z2"), F.col("salt").alias("salt2"),
-                                     "__least"),
+                                     "__least", (F.col("some") < F.col("rows")).alias("__some")),
                         F.col("s").eqNullSafe(F.col("s2")) & (F.col("z") == F.col("z2"))
                         & (F.col("salt") == F.col("salt2")), "left")
-    decided = decided.select("s", "z", "salt", "floor", "__least", "source_size", "target")
-    copies = F.col("floor") + F.coalesce((F.col("__h") <= F.col("__least")).cast("long"), F.lit(0))
-    keep = [c for c in docs.columns if c not in own]
-    return (base.join(decided, on)
-            .select(*keep, "size", "source_size", "target", copies.alias("copies")))
+    decided = decided.select("s", "z", "salt", "floor", "__least", "__some", "source_size", "target")
+    key = F.struct("__h", "__t")
+    out = base.join(decided, on)
+    more = (key < F.col("__least")) | ((key == F.col("__least")) & ~F.col("__some"))
+    chosen = cut(_some_rows(base, least.where("some < rows")))
+    if not chosen.isEmpty():
+        out = out.join(chosen, "__row", "left")
+        more = more | F.coalesce("__chosen", F.lit(False))
+    copies = F.col("floor") + F.coalesce(more.cast("long"), F.lit(0))
+    return out.select(*keep, "size", "source_size", "target", copies.alias("copies"))
+
+
+def _some_rows(base: DataFrame, groups: DataFrame) -> DataFrame:
+    """(__row, __chosen) of exactly ``some`` rows of each group of rows that agree in
+    source, size, doc_id and text."""
+    def key(source, size, h, t):
+        return F.xxhash64(F.lit(3), F.col(source).isNull(), source, size, h, t)
+    wanted = cut(groups.select(key("s", "z", "__least.__h", "__least.__t").alias("k"), "some", "rows"))
+    rows = lookup(base.select(key("source", "size", "__h", "__t").alias("k"), "__row"), wanted, ["k"], "rows",
+                  F.xxhash64("__row")).where("hit")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("__row"), F.lit(TIES)))
+    upto = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = (rows.groupBy("k", "bucket").agg(F.count("*").alias("n"))
+              .withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).drop("n"))
+    at = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("__row"))
+    return (rows.withColumn("at", at).join(before, ["k", "bucket"]).where(F.col("before") + F.col("at") <= F.col("some"))
+            .select("__row", F.lit(True).alias("__chosen")))
 
 
 def _corrected(cells: DataFrame, cap: float) -> DataFrame:
@@ -210,9 +248,10 @@ def _extra(start: Column) -> Column:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    mixed = mix(docs.select("doc_id", "text", "source"))
-    return mixed.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"),
-                        "target", (F.col("size") * F.col("copies")).alias("taken"))
+    rows = docs.select("doc_id", "text", "source").withColumns(_measures()).drop("text")
+    return _mixed(rows, ["doc_id"]).select(
+        "doc_id", "size", F.col("source_size").cast("long").alias("source_size"),
+        "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def stage(docs: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import DOC_COLS, components, cut, ship, text_key
+from meterflow.llm.common import DOC_COLS, components, cut, lookup, ship, text_key
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -199,10 +199,10 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, max_bits: int = MAX
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     points = cut(narrow.groupBy("fp").agg(F.min(order).alias("least")))
     comp = components(links(points.select("fp"), max_bits))
-    rooted = (points.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
-              .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    reps = rooted.groupBy("root").agg(F.min("least").alias("rep"))
-    by_fp = rooted.join(reps, "root").select("fp", "rep")
+    rooted = cut(points.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
+                 .select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    reps = cut(rooted.groupBy("root").agg(F.min("least").alias("rep"), F.count("*").alias("points")))
+    by_fp = lookup(rooted, reps, ["root"], "points", F.xxhash64("fp")).select("fp", "rep")
     return (narrow.join(by_fp, "fp")
             .select("doc_id", "key", "fp", F.col("rep.doc_id").alias("component_id"),
                     F.struct("rep.doc_id", "rep.key").alias("rep")))

@@ -83,3 +83,17 @@ def test_hot_cell_is_exact(spark):
                                                  F.first("target").alias("target")).collect())
     for r in by:
         assert abs(r.t - r.target) <= 5.01, r
+
+
+@pytest.mark.parametrize("doc_id", ["null", "7", "id % 2"])
+def test_repeated_and_null_ids_meet_their_targets(spark, monkeypatch, doc_id):
+    """Many rows that agree in everything: as many take a copy more as the target
+    asks for, whatever their ids."""
+    monkeypatch.setattr(mixing, "TIES", 16)
+    docs = spark.range(4500).selectExpr(f"cast({doc_id} as long) as doc_id", "'five words in this text' as text",
+                                        "concat('s', id % 3) as source")
+    by = (mixing.mix(docs).groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("t"), F.count("*").alias("n"),
+                                                 F.first("target").alias("target")).collect())
+    assert len(by) == 3
+    for r in by:
+        assert r.n == 1500 and abs(r.t - r.target) <= 5.01, r
