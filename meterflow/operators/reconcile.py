@@ -14,6 +14,15 @@ from meterflow.operators.common import first_by_order
 from meterflow.operators.outbox import reject_reason
 
 
+def status(in_legacy, in_new, compare: tuple[str, ...]):
+    """Status of a joined pair (columns ``legacy_*`` and ``new_*``)."""
+    same = F.lit(True)
+    for c in compare:
+        same = same & F.col(f"legacy_{c}").eqNullSafe(F.col(f"new_{c}"))
+    return (F.when(~in_new, F.lit("missing_in_new")).when(~in_legacy, F.lit("missing_in_legacy"))
+             .when(same, F.lit("matched")).otherwise(F.lit("differs")))
+
+
 def reconcile_pipelines(legacy: DataFrame, new: DataFrame, key: str = "transaction_id",
                         compare: tuple[str, ...] = ("to_ts",)) -> DataFrame:
     """L1: compare two pipelines per key with one full outer join.
@@ -24,16 +33,9 @@ def reconcile_pipelines(legacy: DataFrame, new: DataFrame, key: str = "transacti
     l = legacy.select(key, *[F.col(c).alias(f"legacy_{c}") for c in compare]).withColumn("__l", F.lit(True))
     n = new.select(key, *[F.col(c).alias(f"new_{c}") for c in compare]).withColumn("__n", F.lit(True))
     j = l.join(n, key, "full_outer")
-    same = None
-    for c in compare:
-        eq = F.col(f"legacy_{c}").eqNullSafe(F.col(f"new_{c}"))
-        same = eq if same is None else same & eq
-    status = (F.when(F.col("__n").isNull(), F.lit("missing_in_new"))
-               .when(F.col("__l").isNull(), F.lit("missing_in_legacy"))
-               .when(same, F.lit("matched"))
-               .otherwise(F.lit("differs")))
+    found = status(F.col("__l").isNotNull(), F.col("__n").isNotNull(), compare)
     return j.select(key, *[f"legacy_{c}" for c in compare], *[f"new_{c}" for c in compare],
-                    status.alias("status"))
+                    found.alias("status"))
 
 
 def reconcile_summary(rec: DataFrame) -> DataFrame:
