@@ -123,7 +123,7 @@ def e5_two(spark, d):
     return ledger.dedupe_by_transaction_id(two, None, ["at"]).select(*chunks.CHUNK_COLUMNS)
 
 
-@query("h2_redelivered_sequences", """
+H2_SQL = """
 , c AS (SELECT session_id, sequence, event_id, from_ts, CASE WHEN l_orderkey % 11 = 0 THEN NULL ELSE to_ts END AS to_ts
         FROM chunk_deliveries)
 , p AS (SELECT session_id, sequence, max(to_ts) AS prev_to, count(*) AS n, min(event_id) AS event_id, min(from_ts) AS from_ts
@@ -134,7 +134,10 @@ SELECT * FROM (
               WHEN c.from_ts > p.prev_to THEN 'gap' END AS issue
   FROM c LEFT JOIN p ON p.session_id = c.session_id AND p.sequence = c.sequence - 1 WHERE c.sequence > 1)
 WHERE issue IS NOT NULL
-UNION ALL SELECT session_id, sequence, event_id, from_ts, NULL, 'duplicate_sequence' FROM p WHERE n > 1""")
+UNION ALL SELECT session_id, sequence, event_id, from_ts, NULL, 'duplicate_sequence' FROM p WHERE n > 1"""
+
+
+@query("h2_redelivered_sequences", H2_SQL)
 def h2_redelivered(spark, d):
     """The audit over all deliveries, redeliveries included, with unknown ends."""
     c = fx(spark, d).chunk_deliveries
