@@ -23,9 +23,12 @@ def explode_count(df: DataFrame, count_col: str, out_col: str, block: int = EXPA
         few = explode_count(df.filter(F.col(count_col) <= block), count_col, out_col, block)
         many = df.filter(F.col(count_col) > block)
         n = F.col(count_col).cast("bigint")
+        # a number of its own: adaptive execution would put the few, small blocks back
+        # into one task, since it cannot see what they expand to
+        parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         dealt = (many.withColumn("__blk", F.explode(F.sequence(
             F.lit(0).cast("bigint"), F.floor((n - 1) / block).cast("bigint"))))
-            .repartition("__blk", *[c for c in df.columns if c != count_col][:1]))
+            .repartition(parts, "__blk", *[c for c in df.columns if c != count_col][:1]))
         b = F.col("__blk")
         return few.unionByName(dealt.withColumn(out_col, F.explode(F.sequence(
             b * block + 1, F.least(n, (b + 1) * block)))).drop("__blk"))
