@@ -98,20 +98,15 @@ def publish_split(leased: DataFrame, ledger: DataFrame) -> DataFrame:
                        in the lease is published: a later cycle finds the event in
                        the ledger. A broken row never stands in a good one's way;
     ``publish``     -- publish, write the ledger row, mark published.
-    One left join to the ledger's keys and one to the least good ids of events that
-    the lease holds more than once (only those rows are decoded for it); decoded
-    chunk columns are carried.
+    One left join to the ledger's keys and one to the lease's own least good ids
+    (keys only); decoded chunk columns are carried for the publish branch.
     """
-    def decoded(rows):
-        return codec.decode_chunks(rows.withColumnRenamed("event_id", "outbox_event_id")
-                                   .withColumnRenamed("session_id", "outbox_session_id")
-                                   .withColumnRenamed("sequence", "outbox_sequence"), "payload")
-
     seen = ledger.select("event_id").distinct().withColumn("__seen", F.lit(True))
-    dec = decoded(leased)
+    dec = codec.decode_chunks(leased.withColumnRenamed("event_id", "outbox_event_id")
+                              .withColumnRenamed("session_id", "outbox_session_id")
+                              .withColumnRenamed("sequence", "outbox_sequence"), "payload")
     good = F.col("decode_error").isNull() & reject_reason().isNull()
-    several = leased.groupBy("event_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("event_id")
-    firsts = (decoded(leased.join(several, "event_id", "left_semi")).filter(good).groupBy(F.col("outbox_event_id").alias("__event"))
+    firsts = (dec.filter(good).groupBy(F.col("outbox_event_id").alias("__event"))
               .agg(F.min("id").alias("__first")))
     dec = (dec.join(seen.withColumnRenamed("event_id", "__key"), F.col("outbox_event_id") == F.col("__key"), "left")
            .join(firsts, F.col("outbox_event_id") == F.col("__event"), "left"))

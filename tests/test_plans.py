@@ -70,7 +70,7 @@ def test_no_cross_products_in_any_registered_batch_query(spark):
     from meterflow.plans.catalog import QUERIES
     windows_ok = {"h1_next_sequence"}
     for key, fn in sorted(QUERIES.items()):
-        if fn.__module__ == "meterflow.streaming.registered":  # these run when they are called
+        if fn.__module__.startswith("meterflow.streaming."):  # these run when they are called
             continue
         p = plan(fn(spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in p and "NestedLoopJoin" not in p, key
