@@ -104,44 +104,67 @@ def chunk_backfill(sessions: DataFrame, as_of, interval: str = "90 days") -> Dat
     return exp.select(*chunk_columns(F.col("id"), F.col("billing_sequence") + F.col("__k"), frm, to))
 
 
+# Buckets that rows of one session and one interval are dealt to.
+TIE_BUCKETS = 64
+
+
+def _before(df: DataFrame, group: list[str], order: list[str], out: str, n: str = "__n") -> DataFrame:
+    """Adds ``out``: the sum of ``n`` over the rows of ``group`` that come earlier."""
+    w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return df.withColumn(out, F.coalesce(F.sum(n).over(w), F.lit(0)))
+
+
+def _join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join where null keys are equal to each other."""
+    r = right.select(*[F.col(c).alias(f"__r_{c}") if c in keys else F.col(c) for c in right.columns])
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def next_sequence(candidates: DataFrame, base: DataFrame | None = None) -> DataFrame:
     """H1: gapless per-session counter when one run yields several chunks:
     ``billing_sequence`` + the chunk's rank in its session ordered by
-    ``(from_ts, to_ts)``.
-
-    ``candidates`` has session_id, from_ts, to_ts (and any other columns);
-    ``base`` gives the session's current ``billing_sequence`` (``id``), 0 when
-    absent.
-
-    A window ``row_number`` per session would put a hot session in one task.
-    Instead the rows are globally sorted (range partitioning splits a hot
-    session over several partitions by time) and numbered in that order; the
-    numbered rows are checkpointed (reliable, under the shared checkpoint dir)
-    so every consumer sees the same numbers. A rank is then the row's number
-    minus the session's first number in its partition, plus the session's
-    rows in earlier partitions. The only window runs over one row per
-    (partition, session), so its groups are bounded by the partition count.
+    ``(from_ts, to_ts)``, null times first; rows of one interval are ordered by a
+    hash of their columns, so that the numbers do not depend on the input order.
+
+    ``candidates`` has session_id, from_ts, to_ts (and any other columns that can be
+    grouped by); ``base`` gives the session's current ``billing_sequence`` (``id``),
+    0 when absent. Equal rows get a number each; rows without a session id are
+    numbered together.
+
+    A window ``row_number`` per session would put a hot session in one task. Here
+    prefix sums go down a calendar: row counts per month of a session, per hour of a
+    month, per interval of an hour (dealt to ``TIE_BUCKETS``), each added to what
+    came before its parent. A window group holds the months of one session, the
+    hours of one month, the intervals of one hour, or one tie bucket of one interval,
+    whose equal rows were counted before; none grows with the session's rows.
+    Nothing is sorted globally nor checkpointed: a recomputed task gives the same
+    numbers.
     """
-    from meterflow.session import work_root
-
-    work_root(candidates.sparkSession)   # make sure a checkpoint dir is set
-    numbered = (candidates.orderBy("session_id", "from_ts", "to_ts")
-                          .withColumn("__row", F.monotonically_increasing_id())
-                          .checkpoint(eager=True))
-    pid = F.shiftright(F.col("__row"), 33)
-    spans = (numbered.groupBy(pid.alias("__pid"), "session_id")
-                     .agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n")))
-    earlier = Window.partitionBy("session_id").orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-    df = numbered.withColumn("__pid", pid).join(spans.drop("__n"), ["__pid", "session_id"])
+    cols, sid = candidates.columns, "session_id"
+    rows = (candidates.groupBy(*cols).agg(F.count(F.lit(1)).alias("__dup"))
+            .withColumn("__hash", F.xxhash64(*cols))
+            .withColumn("__tie", F.pmod("__hash", F.lit(TIE_BUCKETS))))
+    spot = [sid, "from_ts", "to_ts", "__tie"]
+    spots = (rows.groupBy(*spot).agg(F.sum("__dup").alias("__n"))
+             .withColumn("__hour", F.date_trunc("hour", "from_ts"))
+             .withColumn("__month", F.date_trunc("month", "from_ts")))
+    hours = spots.groupBy(sid, "__month", "__hour").agg(F.sum("__n").alias("__n"))
+    months = hours.groupBy(sid, "__month").agg(F.sum("__n").alias("__n"))
+    months = _before(months, [sid], ["__month"], "__before_month")
     if base is not None:
-        df = df.join(base.select(F.col("id").alias("session_id"),
-                                 F.col("billing_sequence").alias("__base")), "session_id", "left")
-    else:
-        df = df.withColumn("__base", F.lit(0).cast("bigint"))
-    rank = F.col("__before") + (F.col("__row") - F.col("__first")) + 1
-    return (df.withColumn("sequence", (F.coalesce(F.col("__base"), F.lit(0)) + rank).cast("bigint"))
-              .drop("__base", "__pid", "__row", "__first", "__before"))
+        start = base.select(F.col("id").alias(sid), F.col("billing_sequence").alias("__base"))
+        months = months.join(start, sid, "left").withColumn(
+            "__before_month", F.col("__before_month") + F.coalesce("__base", F.lit(0))).drop("__base")
+    hours = _join_on(_before(hours, [sid, "__month"], ["__hour"], "__before_hour"),
+                     months.drop("__n"), [sid, "__month"])
+    spots = _join_on(_before(spots, [sid, "__hour"], ["from_ts", "to_ts", "__tie"], "__before_spot"),
+                     hours.drop("__n", "__month"), [sid, "__hour"])
+    first = spots.select(*spot, (F.col("__before_month") + F.col("__before_hour")
+                                 + F.col("__before_spot")).alias("__before"))
+    placed = _join_on(_before(rows, spot, ["__hash", *cols], "__earlier", "__dup"), first, spot)
+    return explode_count(placed, "__dup", "__k").select(
+        *cols, (F.col("__before") + F.col("__earlier") + F.col("__k")).cast("bigint").alias("sequence"))
 
 
 def sequence_gaps(chunks: DataFrame) -> DataFrame:
