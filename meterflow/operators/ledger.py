@@ -73,12 +73,29 @@ def batch_buckets(keys: DataFrame, key: str) -> list[int]:
     return sorted(r.b for r in found if r.b is not None)
 
 
+# A batch of up to this many keys looks them up by value.
+FEW_KEYS = 1_000
+
+
+def few_keys(keys: DataFrame, key: str) -> list[str] | None:
+    """The distinct keys of a batch that has at most ``FEW_KEYS``, else None; no more
+    than one key over that reaches the driver."""
+    found = keys.select(key).filter(F.col(key).isNotNull()).distinct().limit(FEW_KEYS + 1).collect()
+    return sorted(r[0] for r in found) if len(found) <= FEW_KEYS else None
+
+
 def bucket_pruned(table: DataFrame, keys: DataFrame, key: str, bucket_col: str,
-                  buckets: list[int] | None = None) -> DataFrame:
-    """Only the rows of ``table`` whose bucket some key of the (bounded) batch has,
-    plus rows stored without a bucket; ``buckets`` when they are known already.
-    Files are written sorted by the bucket, so for a small batch the pushed
-    predicate skips row groups; a batch that has every bucket reads all."""
+                  buckets: list[int] | None = None, few: list[str] | None = None) -> DataFrame:
+    """Only the rows of ``table`` that can match the (bounded) batch.
+
+    ``few`` (``few_keys``): the rows with these keys; the pushed predicate skips row
+    groups by the Bloom filter of the key column, even when every bucket is touched.
+    Otherwise the rows whose bucket some key of the batch has, plus rows stored without
+    a bucket; ``buckets`` when they are known already. Files are written sorted by
+    the bucket, so that row groups are skipped when a batch has few buckets; a batch
+    that has every bucket reads all."""
+    if few is not None:
+        return table.filter(F.col(key).isin(few)) if few else table.filter(F.lit(False))
     if bucket_col not in table.columns:
         return table
     found = batch_buckets(keys, key) if buckets is None else buckets
@@ -152,6 +169,16 @@ def dedupe_by_transaction_id(deliveries: DataFrame, ledger: DataFrame | None,
     return dedupe(d, ledger, "transaction_id", order_cols, batch_rows_bound)
 
 
+def save_bucketed(rows: DataFrame, table: str, path: str, key: str = "event_id",
+                  buckets: int = KEY_BUCKETS) -> DataFrame:
+    """A ledger of its own table, bucketed and sorted by ``key``: with as many shuffle
+    partitions as buckets, E1, E2, E4 and E5 join it without shuffling it (only the
+    batch moves). Rows are dealt by the bucket first, one file a bucket."""
+    (rows.repartition(buckets, key).write.format("parquet").mode("overwrite")
+     .bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(table))
+    return rows.sparkSession.table(table)
+
+
 def append_ledger(ledger: DataFrame, rows: DataFrame, kind: str = "billing"):
     """Insert ledger rows; an existing ``event_id`` means "already done",
     not an error; of rows with one event id the least (by ``processed_at``, then the

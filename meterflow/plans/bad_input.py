@@ -6,12 +6,15 @@ way by the Spark plan and by the oracle.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from meterflow.functions import codec
 from meterflow.functions import expressions as X
 from meterflow.operators import analytics, chunks, constraints, ledger, outbox, sessions
 from meterflow.plans.catalog import AS_OF, A, CHUNK_SELECT, FIRST, SPLIT_SQL, fx, query
+from meterflow.session import new_run_dir
 from meterflow.sources import sinks
 
 # The order number of an event id 'evt-<order>-<line>' or session id.
@@ -170,3 +173,33 @@ def i5_unknown(spark, d):
         F.when(F.col("sequence") == 1, F.col("id") + 1_000_000_000_000).otherwise(F.col("id")).alias("id"),
         F.lit("boom").alias("error"))
     return outbox.record_failure(o, bad)[1]
+
+
+@query("a14_partial_insert", """
+SELECT 'refused' AS outcome, id, CAST(NULL AS BIGINT) AS billing_sequence, CAST(NULL AS VARCHAR) AS sandbox_class, false AS stamped,
+       CASE WHEN n % 7 = 0 THEN 'sandbox_id,region' ELSE 'region' END AS detail
+FROM (SELECT *, CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM usage_sessions) WHERE n % 5 = 0
+UNION ALL
+SELECT 'refused', id, NULL, NULL, false, 'sandbox_id' FROM (SELECT *, CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM usage_sessions)
+WHERE n % 5 <> 0 AND n % 7 = 0
+UNION ALL
+SELECT 'stored', id, 0, 'container', true, region FROM (SELECT *, CAST(split_part(id, '-', 2) AS BIGINT) AS n FROM usage_sessions)
+WHERE n % 5 <> 0 AND n % 7 <> 0""")
+def a14_partial(spark, d):
+    """Sessions without the columns that have a default, some without a region or a
+    sandbox, into the defined table; what it holds then, and what it refused."""
+    run = new_run_dir(spark, "a14")
+    name = os.path.basename(run).replace("-", "_")
+    constraints.define_tables(spark, run, name)
+    n = F.split("id", "-")[1].cast("bigint")
+    rows = (fx(spark, d).usage_sessions.drop("billing_sequence", "sandbox_class", "recorded_at")
+            .withColumn("region", F.when(n % 5 != 0, F.col("region")))
+            .withColumn("sandbox_id", F.when(n % 7 != 0, F.col("sandbox_id"))))
+    refused = constraints.insert_rows(rows, "usage_sessions", name)
+    stored = spark.table(f"{name}.usage_sessions")
+    shown = stored.select(F.lit("stored").alias("outcome"), "id", "billing_sequence", "sandbox_class",
+                          F.col("recorded_at").isNotNull().alias("stamped"), F.col("region").alias("detail"))
+    return shown.unionByName(refused.select(
+        F.lit("refused").alias("outcome"), "id", F.lit(None).cast("bigint").alias("billing_sequence"),
+        F.lit(None).cast("string").alias("sandbox_class"), F.lit(False).alias("stamped"),
+        F.col("refused").alias("detail")))

@@ -7,6 +7,7 @@ batch bounds) are the ones in ``schemas``.
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from meterflow import schemas as S
 from meterflow.functions import codec
 from meterflow.functions import expressions as X
 from meterflow.operators import analytics, billing, chunks, constraints, ledger, outbox, reconcile, sessions
+from meterflow.session import new_run_dir
 from meterflow.sources import sinks
 from meterflow.sources.fixtures import FIXTURE_SQL, Fixtures
 
@@ -514,6 +516,17 @@ def e4(spark, d):
     return _e4(spark, d)
 
 
+@query("e4_bucketed_ledger", E4_SQL)
+def e4_bucketed(spark, d):
+    """E4 against the ledger as a table bucketed by event id: the ledger is read where
+    it lies, only the deliveries are shuffled."""
+    f, run = fx(spark, d), new_run_dir(spark, "e4b")
+    stored = ledger.save_bucketed(f.processed_billing_events, os.path.basename(run).replace("-", "_"), f"{run}/ledger",
+                                  buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return ledger.dedupe_by_event_id(f.chunk_deliveries.select(*chunks.CHUNK_COLUMNS, "delivery_no"), stored,
+                                     ["delivery_no"]).drop("delivery_no")
+
+
 @query("e5_dedupe_by_transaction_id", f"""
 SELECT {CHUNK_SELECT}, concat(session_id, ':', CAST(sequence AS VARCHAR)) AS transaction_id FROM chunk_deliveries c
 WHERE delivery_no = 1 AND NOT EXISTS (SELECT 1 FROM processed_billing_events p
@@ -663,6 +676,16 @@ def h1(spark, d):
     return chunks.next_sequence(cand, s).select("session_id", "from_ts", "sequence")
 
 
+@query("h1_equal_rows", """
+SELECT c.session_id, c.from_ts, c.to_ts, coalesce(s.billing_sequence, 0)
+       + row_number() OVER (PARTITION BY c.session_id ORDER BY c.from_ts, c.to_ts) AS sequence
+FROM chunk_deliveries c LEFT JOIN usage_sessions s ON s.id = c.session_id""")
+def h1_equal(spark, d):
+    """Every delivery numbered, redelivered ones (equal rows) too."""
+    f = fx(spark, d)
+    return chunks.next_sequence(f.chunk_deliveries.select("session_id", "from_ts", "to_ts"), f.usage_sessions)
+
+
 @query("h2_sequence_gaps", f"""
 , c AS {FIRST}
 , p AS (SELECT session_id, sequence + 1 AS sequence, max(to_ts) AS prev_to FROM c GROUP BY session_id, sequence + 1)

@@ -186,3 +186,14 @@ TABLE_ENUMS = {
     "usage_sessions": {"status": SESSION_STATUSES, "billing_status": BILLING_STATUSES,
                        "sandbox_class": SANDBOX_CLASSES},
 }
+
+# Column defaults of the table definitions (fixed values).
+TABLE_DEFAULTS = {
+    "usage_sessions": {"billing_sequence": "0", "sandbox_class": "'container'",
+                       "recorded_at": "localtimestamp()"},
+    "outbox_events": {"created_at": "localtimestamp()", "retry_count": "0"},
+    "processed_outbox_events": {"processed_at": "localtimestamp()"},
+    "processed_billing_events": {"processed_at": "localtimestamp()"},
+}
+# Tables whose surrogate ``id`` the table gives when a row brings none.
+TABLE_SERIALS = ("outbox_events", "processed_outbox_events", "processed_billing_events")

@@ -10,7 +10,7 @@ wrote before instead of adding to it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -86,16 +86,25 @@ def write_topic(records: DataFrame, target: str, topic: str, kafka_servers: str
     write_batch(records, target, batch_id)
 
 
-def write_batch(df: DataFrame, target: str, batch_id: int | None, partition_cols: tuple[str, ...] = ()) -> None:
-    """Idempotent append: overwrite exactly this batch's partition."""
+def with_bloom(writer: DataFrameWriter, cols: tuple[str, ...]) -> DataFrameWriter:
+    """Bloom filters of ``cols`` in every row group, sized by the values it holds."""
+    for c in cols:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
+    return writer.option("parquet.bloom.filter.adaptive.enabled", "true") if cols else writer
+
+
+def write_batch(df: DataFrame, target: str, batch_id: int | None, partition_cols: tuple[str, ...] = (),
+                bloom: tuple[str, ...] = ()) -> None:
+    """Idempotent append: overwrite exactly this batch's partition. ``bloom``: columns
+    that are looked up by a few values."""
     if batch_id is None:
-        w = df.write.mode("append")
+        w = with_bloom(df.write.mode("append"), bloom)
         if partition_cols:
             w = w.partitionBy(*partition_cols)
         w.parquet(target)
         return
-    (df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint"))
-       .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (with_bloom(df.withColumn("batch_id", F.lit(int(batch_id)).cast("bigint")).write.mode("overwrite"), bloom)
+       .option("partitionOverwriteMode", "dynamic")
        .partitionBy("batch_id", *partition_cols).parquet(target))
 
 
@@ -108,13 +117,13 @@ def write_analytics(rows: DataFrame, target: str, batch_id: int | None) -> None:
     their min/max statistics. A batch that spans years of event dates (a
     backfill) then writes a few files instead of one folder per day.
     """
-    write_batch(rows.sortWithinPartitions("export_date"), target, batch_id)
+    write_batch(rows.sortWithinPartitions("export_date"), target, batch_id, bloom=("event_id",))
 
 
 def write_vendor(payloads: DataFrame, target: str, batch_id: int | None) -> None:
     """Vendor table; the caller passes only transaction ids never sent
     before (E5), so the table stays unique on ``transaction_id``."""
-    write_batch(payloads, target, batch_id)
+    write_batch(payloads, target, batch_id, bloom=("transaction_id",))
 
 
 def write_sharded(df: DataFrame, target: str, salt: int = 8, batch_id: int | None = None) -> None:

@@ -32,7 +32,7 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
                           f"{root}/analytics_rejects", batch_id)
         stored = compaction.visible(spark, f"{root}/analytics_export", EXPORT_SCHEMA)
         exported = ledger.bucket_pruned(stored.filter(F.col("batch_id") != batch_id), good, "event_id",
-                                        "event_bucket")
+                                        "event_bucket", few=ledger.few_keys(good, "event_id"))
         rows = analytics.export_rows(good, exported.select("event_id"), ["seq"])
         sinks.write_analytics(rows.withColumn("event_bucket", ledger.key_bucket("event_id")),
                               f"{root}/analytics_export", batch_id)

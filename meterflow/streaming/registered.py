@@ -62,6 +62,60 @@ def j4(spark, d):
     return san.exported(spark, run)
 
 
+@query("j8_late_group", """
+SELECT event_id, session_id, sequence, processed_at, metronome_id, organization_id, CAST(processed_at AS DATE) AS export_date
+FROM billing_processed_deliveries WHERE CASE WHEN sequence % 2 = 0 THEN delivery_no = 2 ELSE delivery_no = 1 END""")
+def j8(spark, d):
+    """An analytics group that comes to the processed topic when the first deliveries
+    of even sequence numbers lie there: it exports what is written later, before and
+    after a stop in between."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j8")
+    topic = f"{run}/topic_billing_processed"
+    p = f.billing_processed_deliveries
+    early, odd = (F.col("sequence") % 2 == 0) & (F.col("delivery_no") == 1), F.col("sequence") % 2 == 1
+
+    def put(rows):
+        topics.write_file_topic(sinks.processed_records(rows, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"), topic, TOPIC_FILES)
+
+    def consume():
+        src = topics.read_processed_stream(spark, topic, max_per_trigger=TOPIC_FILES, group=f"{run}/groups/analytics")
+        san.start_analytics_stream(src, run, f"{run}/_checkpoints/analytics").awaitTermination()
+
+    put(p.filter(early))
+    consume()
+    put(p.filter(odd))
+    consume()
+    put(p.filter(~early & ~odd))
+    consume()
+    return san.exported(spark, run)
+
+
+BYTES_CAP = 1_000_000
+
+
+@query("j10_byte_batches", """
+SELECT event_id, count(*) AS deliveries, 0::BIGINT AS batches_over_cap FROM chunk_deliveries GROUP BY event_id""")
+def j10(spark, d):
+    """Every chunk delivery through a consumer that admits so many bytes a batch, with
+    the number of batches that hold more (one file alone may)."""
+    f = Fixtures(spark, d)
+    run = new_run_dir(spark, "j10")
+    topic = f"{run}/topic_usage_billing_chunks"
+    topics.write_file_topic(sinks.chunk_records(f.chunk_deliveries, keep=("delivery_no",)).withColumnRenamed("delivery_no", "seq"),
+                            topic, 2 * TOPIC_FILES)
+    src = topics.read_chunks_stream(spark, topic, max_bytes=BYTES_CAP).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes"))
+    (src.writeStream.foreachBatch(lambda rows, b: sinks.write_batch(rows, f"{run}/read", b))
+     .option("checkpointLocation", f"{run}/_checkpoints/read").trigger(availableNow=True).start().awaitTermination())
+    read = spark.read.parquet(f"{run}/read")
+    sizes = read.groupBy("batch_id", "file").agg(F.max("bytes").alias("bytes")).groupBy("batch_id").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("bytes").alias("bytes"))
+    over = sizes.filter((F.col("files") > 1) & (F.col("bytes") > BYTES_CAP)).count()
+    return (codec.decode_chunks(read, "value").groupBy("event_id").agg(F.count(F.lit(1)).alias("deliveries"))
+            .withColumn("batches_over_cap", F.lit(over).cast("bigint")))
+
+
 @query("j2_publish_stream", SPLIT_SQL + f"""
 SELECT c.sandbox_id AS key, c.* EXCLUDE (delivery_no, l_orderkey)
 FROM {FIRST} c JOIN split s ON s.event_id = c.event_id WHERE s.outcome = 'publish'""")
