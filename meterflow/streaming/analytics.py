@@ -40,8 +40,17 @@ def analytics_batch(batch: DataFrame, batch_id: int, root: str) -> None:
         dec.unpersist()
 
 
-def start_analytics_stream(source: DataFrame, root: str, checkpoint: str, available_now: bool = True):
-    w = (source.writeStream.foreachBatch(lambda df, bid: analytics_batch(df, bid, root))
+def start_analytics_stream(source: DataFrame, root: str, checkpoint: str, available_now: bool = True,
+                           compact_every: int | None = None):
+    """Start J4. With ``compact_every`` the export, which lookups read, is folded every
+    so many batches."""
+    def work(df: DataFrame, bid: int) -> None:
+        if compaction.due(bid, compact_every):
+            compaction.compact_batches(df.sparkSession, f"{root}/analytics_export", bid - 1, EXPORT_SCHEMA,
+                                       ("export_date",), ("event_id",))
+        analytics_batch(df, bid, root)
+
+    w = (source.writeStream.foreachBatch(work)
          .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="500 milliseconds")
     return w.start()

@@ -165,3 +165,37 @@ def test_next_sequence_of_equal_rows_nulls_and_ties(spark):
     numbers = lambda df: {(r.tag, r.sequence) for r in df.collect()}
     assert numbers(out) == numbers(chunks.next_sequence(cand.repartition(5, "tag"), base))
     assert chunks.next_sequence(cand.limit(0), base).count() == 0
+
+
+def test_streams_fold_their_tables_as_they_go(spark, fx_small):
+    """Folding every second batch changes no result, and lookups list few folders."""
+    from meterflow.streaming import billing as sbill
+    from meterflow.streaming import compaction
+    run = new_run_dir(spark, "t-fold")
+    records = sinks.chunk_records(fx_small.chunk_deliveries.limit(400), keep=("delivery_no",)) \
+        .withColumnRenamed("delivery_no", "seq").withColumn("seq", F.col("seq").cast("bigint"))
+    topics.write_file_topic(records, f"{run}/topic", 5)
+    topics.write_file_topic(records, f"{run}/topic", 1)   # everything once more, last
+    paths = sbill.BillingPaths(run)
+    sbill.start_billing_stream(topics.read_chunks_stream(spark, f"{run}/topic", max_per_trigger=1), paths,
+                               f"{run}/_chk", clock=S.AS_OF, compact_every=2).awaitTermination()
+    ids = [r.event_id for r in compaction.visible(spark, paths.ledger, sbill.LEDGER_SCHEMA).collect()]
+    sent = [r.transaction_id for r in compaction.visible(spark, paths.vendor, sbill.VENDOR_SCHEMA).collect()]
+    want = {r.event_id for r in spark.read.parquet(f"{run}/topic").select(
+        F.get_json_object(F.col("value").cast("string"), "$.event_id").alias("event_id")).collect()}
+    assert len(ids) == len(set(ids)) and set(ids) == want
+    assert len(sent) == len(set(sent)) == len(want)
+    folders = compaction.visible(spark, paths.ledger, sbill.LEDGER_SCHEMA).select("batch_id").distinct().count()
+    assert folders <= 3
+
+
+def test_a_fold_without_its_pointer_is_not_seen(spark):
+    from meterflow.streaming import compaction
+    path, schema = f"{new_run_dir(spark, 't-orphan')}/t", "k string, batch_id bigint"
+    for b in range(3):
+        sinks.write_batch(spark.createDataFrame([(f"k{b}",)], "k string"), path, b)
+    sinks.write_batch(spark.createDataFrame([("k0",), ("k1",)], "k string"), path, -3)   # died before its pointer
+    see = lambda: sorted(r.k for r in compaction.visible(spark, path, schema).collect())
+    assert see() == ["k0", "k1", "k2"]
+    assert compaction.compact_batches(spark, path, 1, schema) == -3
+    assert see() == ["k0", "k1", "k2"]
