@@ -192,6 +192,56 @@ def test_lifecycle_in_any_order(spark):
         assert _lifecycle(spark, batches, "100 days") == (want, [])
 
 
+def test_lifecycle_state_is_written_by_change(spark):
+    """A batch stores the sessions with events and those that fall due, no others; folding
+    between batches changes no result and leaves one row per open session."""
+    from meterflow.streaming import lifecycle
+    day, t0 = dt.timedelta(days=1), dt.datetime(2024, 1, 1)
+    at = lambda n: t0 + n * day
+    attrs = ("sb", "org", 2.0, 0.0, 4.0, 20.0, "us-east-1", "container")
+    batches = [[(f"s{i}", "create", at(0 if i < 3 else 5)) for i in range(40)],
+               [("s7", "finish", at(9)), ("x", "finish", at(9))],   # x waits for its create
+               [("__watermark__", "tick", at(11))],                            # s0 to s2 are due
+               [("s0", "finish", at(30)), ("s1", "finish", at(12))],  # s0's is dated ahead
+               [("__watermark__", "tick", at(13))],
+               [("x", "create", at(8)), ("__watermark__", "tick", at(31))]]
+    nows = [6, 9, 11, 12, 13, 31]
+    results = []
+    for every in (None, 2):
+        run, stored = new_run_dir(spark, "t-change"), []
+        for b, (rows, now) in enumerate(zip(batches, nows)):
+            df = spark.createDataFrame([(s, a, t) + attrs for s, a, t in rows], _LC)
+            for _ in range(2):
+                if every and b and b % every == 0:
+                    lifecycle.compact_tables(spark, run, b - 1)
+                lifecycle.lifecycle_batch(df, b, run, "10 days", "0 days", clock=at(now))
+            own = spark.read.parquet(f"{run}/lifecycle_state").filter(F.col("batch_id") == b)
+            stored.append(sorted((r.session_id, r.open) for r in own.select("session_id", "open").collect()))
+        results.append((sorted((r.session_id, r.sequence, r.from_ts, r.to_ts, r.kind)
+                               for r in lifecycle.chunks(spark, run).collect()), stored))
+    assert results[0] == results[1]
+    got, stored = results[0]
+    assert len(stored[0]) == 40
+    assert stored[1] == [("s7", False), ("x", True)]
+    assert stored[2] == [("s0", True), ("s1", True), ("s2", True)]
+    assert stored[3] == [("s0", True), ("s1", False)]
+    assert stored[4] == []
+    # s0 and x close, s2 and the 36 others tick; x was stored while it waited
+    assert [s for s, is_open in stored[5] if not is_open] == ["s0", "x"] and len(stored[5]) == 39
+    want = [("s0", n, at(10 * n - 10), at(10 * n), "tick") for n in (1, 2, 3)] + [("s0", 4, at(30), at(30), "final")]
+    want += [("s1", 1, at(0), at(10), "tick"), ("s1", 2, at(10), at(12), "final")]
+    want += [("s2", n, at(10 * n - 10), at(10 * n), "tick") for n in (1, 2, 3)]
+    want += [("s7", 1, at(5), at(9), "final"), ("x", 1, at(8), at(9), "final")]
+    want += [(f"s{i}", n, at(10 * n - 5), at(10 * n + 5), "tick") for i in range(3, 40) if i != 7 for n in (1, 2)]
+    assert got == sorted(want)
+    lifecycle.compact_tables(spark, run, 5)
+    left = lifecycle._table(spark, run, "lifecycle_state", lifecycle.STORED).collect()
+    assert len(left) == len({r.session_id for r in left}) == 37 and all(r.open for r in left)
+    folders = lambda t: t.select("batch_id").distinct().count()
+    assert folders(lifecycle._table(spark, run, "lifecycle_due", lifecycle.DUE)) == 1
+    assert lifecycle._table(spark, run, "lifecycle_due", lifecycle.DUE).count() == 37
+
+
 def test_rows_dated_ahead_do_not_move_the_clock(spark):
     """A rejected row, and a valid one of the future, bill nothing ahead; the future
     finish counts once its time has come."""
