@@ -92,11 +92,11 @@ def decode_processed(df: DataFrame, value_col: str = "value") -> DataFrame:
     return decode_split(df, value_col, S.PROCESSED_WIRE, ("processed_at",))
 
 
-def to_wire(df: DataFrame) -> DataFrame:
+def to_wire(df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Stored chunk -> wire chunk, fourteen fields one to one (region_type
-    kept, empty when never set)."""
+    kept, empty when never set); ``keep`` names columns that ride along."""
     return df.select(
         "event_id", "session_id", "sandbox_id", "organization_id", "sequence",
         "from_ts", "to_ts", "cpu", "gpu", "ram_gb", "disk_gb", "region",
         F.coalesce(F.col("region_type"), F.lit("")).alias("region_type"),
-        "sandbox_class")
+        "sandbox_class", *keep)

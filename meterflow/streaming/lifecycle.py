@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from meterflow.functions import expressions as X
 from meterflow.operators.common import explode_count
-from meterflow.operators.ledger import bucket_pruned, few_keys, key_bucket
+from meterflow.operators.ledger import batch_buckets, bucket_pruned, few_keys, key_bucket
 from meterflow.sources import sinks
 from meterflow.streaming import compaction
 from meterflow.streaming.billing import CLOCK_COL, batch_clock, with_batch_clock
@@ -126,20 +126,21 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
 
         rows = rows.drop(CLOCK_COL)
         good = rows.filter(usable & ~marker)
-        closed = _earlier(spark, root, "lifecycle_closed", CLOSED, batch_id)
-        closed = bucket_pruned(closed, good, "session_id", "session_bucket",
-                               few=few_keys(good, "session_id")).select("session_id")
+        between = lambda c, low, high: (F.col(c) > low) & (F.col(c) <= high)
+        due = _earlier(spark, root, "lifecycle_due", DUE, batch_id).filter(
+            between("tick_due", clock_before, clock_us) | between("finish_due", now_before, now_us))
+        touched = good.select("session_id").unionByName(due.select("session_id")).distinct().persist()
+        few = few_keys(touched, "session_id")
+        buckets = batch_buckets(touched, "session_id") if few is None else None
+        closed, stored = (
+            bucket_pruned(_earlier(spark, root, table, schema, batch_id), touched, "session_id", "session_bucket",
+                          buckets, few) for table, schema in (("lifecycle_closed", CLOSED), ("lifecycle_state", STORED)))
+        closed = closed.select("session_id")
         after_close = good.join(closed, "session_id", "left_semi")
         # attributes of the earliest create; hash of the rest breaks ties
         first = F.min(F.when(F.col("action") == "create", F.struct("ts", *ATTRS)))
         new = (good.join(closed, "session_id", "left_anti").groupBy("session_id")
                .agg(first.alias("c"), F.min(F.when(F.col("action") == "finish", F.col("ts"))).alias("f")))
-        between = lambda c, low, high: (F.col(c) > low) & (F.col(c) <= high)
-        due = _earlier(spark, root, "lifecycle_due", DUE, batch_id).filter(
-            between("tick_due", clock_before, clock_us) | between("finish_due", now_before, now_us))
-        touched = new.select("session_id").unionByName(due.select("session_id")).distinct().persist()
-        stored = _earlier(spark, root, "lifecycle_state", STORED, batch_id)
-        stored = bucket_pruned(stored, touched, "session_id", "session_bucket", few=few_keys(touched, "session_id"))
         old = latest(stored.join(touched, "session_id", "left_semi")).withColumn("__old", F.lit(True))
         both = old.join(new, "session_id", "full_outer")
         known = F.col("billed_to").isNotNull()
