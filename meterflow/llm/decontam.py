@@ -3,8 +3,10 @@
 Method: a hash set of normalised test n-grams. Benchmark items are cut into
 windows of ``WINDOW`` consecutive words (a shorter item is one window); windows
 are grouped, so a window that several items share is one entry with its items.
-While the set has at most ``BROADCAST_ROWS`` windows it is broadcast, else the
-same join is left to a shuffle. Every position of every document is scanned once
+While windows and the item ids they carry are at most ``BROADCAST_ROWS`` together, the
+set is broadcast with its ids. With more ids than that the windows alone are broadcast
+and the ids are joined to a document's distinct windows afterwards, the documents of a
+window dealt over salts; with more windows, positions are shuffled. Every position of every document is scanned once
 per window length in use: a 64-bit hash of the word hashes is looked up, hits are
 verified by a second, independent 128-bit hash of the words themselves, and the
 words any window covers are counted from the merged spans.
@@ -24,13 +26,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import DOC_COLS, ascii_lower, let, text_key
+from meterflow.llm.common import DOC_COLS, ascii_lower, cut, let, text_key
 
 WINDOW = 13
 # Fixed by the contract, for lower-cased text: words are runs of digits, a-z and
 # everything beyond ASCII, so they are cut at runs of the other ASCII characters.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_ROWS = 2_000_000  # about 100 MB as a hashed relation
+_SALTS = 16  # tasks that the documents of one window are dealt over
+_REF = ["len", "gram", "check_a", "check_b"]  # what names a window
 _SHARE = 20  # contaminated: at least one in this many words
 
 
@@ -80,13 +84,43 @@ def _check(gram: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.array_join(gram, " "))
 
 
+def _prepared(benchmark: DataFrame, window: int) -> tuple[DataFrame, int, int]:
+    """The windows, written to the shared folder, their number and that of their ids."""
+    grams = cut(windows(benchmark, window))
+    n = grams.agg(F.count("*").alias("windows"), F.coalesce(F.sum(F.size("items")), F.lit(0)).alias("ids")).first()
+    return grams, n.windows, n.ids
+
+
+def _without_ids(grams: DataFrame) -> DataFrame:
+    """Windows whose items are the window's own name."""
+    return grams.select(*_REF, F.array(F.struct(*_REF)).alias("items"))
+
+
+def _with_ids(per: DataFrame, grams: DataFrame) -> DataFrame:
+    """per with the window names in items replaced by the ids of their items. A window
+    that very many documents hold is joined in ``_SALTS`` places."""
+    own = [c for c in per.columns if c != "items"]
+    refs = per.select(*own, F.explode_outer("items").alias("r")).withColumn(
+        "salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(_SALTS)))
+    ids = grams.select(*[F.col(c).alias(f"__{c}") for c in _REF], F.col("items").alias("__ids"),
+                       F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("__salt"))
+    same = F.col("salt") == F.col("__salt")
+    for c in _REF:
+        same = same & (F.col(f"r.{c}") == F.col(f"__{c}"))
+    return refs.join(ids, same, "left").groupBy(*own).agg(
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("__ids")))).alias("items")).select(*per.columns)
+
+
 def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
          broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, key, n_words, at, len, items): one row with at = -1 per document
-    and one per position where a benchmark window starts."""
-    grams = windows(benchmark, window).cache()
+    and one per position where a benchmark window starts, items naming the window."""
+    grams, total, _ = _prepared(benchmark, window)
+    return _scan(docs, _without_ids(grams), total <= broadcast_rows)
+
+
+def _scan(docs: DataFrame, grams: DataFrame, small: bool) -> DataFrame:
     lengths = [r.len for r in grams.groupBy("len").agg(F.count("*").alias("n")).collect()]  # at most `window`
-    total = grams.count()
     d = docs.select("doc_id", text_key(F.col("text")).alias("key"), words(F.col("text")).alias("w"))
     d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
     # one array of grams per length behind an entry 0 for the document itself
@@ -104,7 +138,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     own = ["doc_id", "key", "n_words", "at", F.col("l").alias("len"), "items"]
     gram = F.slice("w", F.greatest("at", F.lit(1)), F.col("l"))
     verified = (_check(gram, 1) == F.col("check_a")) & (_check(gram, 2) == F.col("check_b"))
-    if total <= broadcast_rows:
+    if small:
         # the words stay in the scanning task and are looked at for hits only
         found = d.join(F.broadcast(grams), on, "left").where("at = -1 or gram is not null")
         return found.where((F.col("at") == -1) | verified).withColumn("n_words", F.size("w")).select(*own)
@@ -118,10 +152,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     return found.where("at = -1").select(*own).unionAll(sure.select(*own))
 
 
-def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
+def judged(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
+           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, key, copies, n_words, n_hit, items, contaminated): one row per
     distinct (doc_id, text)."""
-    found = hits(docs, benchmark, **kw)
+    grams, total, ids = _prepared(benchmark, window)
+    fits = total + ids <= broadcast_rows
+    found = _scan(docs, grams if fits else _without_ids(grams), total <= broadcast_rows)
     own = ["doc_id", "key", "n_words"]
     # merged spans: a window adds what lies beyond the furthest end before it
     before = (Window.partitionBy(*own).orderBy("at", "len")
@@ -134,6 +171,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, **kw) -> DataFrame:
         F.sum((F.col("at") == -1).cast("long")).alias("copies"),
         F.sum("new").cast("long").alias("n_hit"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    per = per if fits else _with_ids(per, grams)
     return per.withColumn("contaminated", (F.col("n_hit") > 0) & (_SHARE * F.col("n_hit") >= F.col("n_words")))
 
 

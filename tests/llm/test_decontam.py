@@ -54,8 +54,15 @@ def test_odd_rows(spark):
     bench = spark.createDataFrame(ITEMS, "item_id long, text string").selectExpr("*", "1 as gram", "1 as len")
     want = brute(DOCS, ITEMS)
     assert sorted(map(tuple, decontam.op4(docs, bench).collect()), key=str) == want
-    shuffled = decontam.judged(docs, bench, broadcast_rows=0)
-    assert sorted((str(r.doc_id), r.n_hit) for r in shuffled.collect()) == sorted({(str(w[0]), w[2]) for w in want})
+    # everything shuffled; windows broadcast without their ids
+    plans, answers = [], []
+    total = decontam.windows(bench).count()
+    for rows in (0, total, 10 ** 6):
+        per = decontam.judged(docs, bench, broadcast_rows=rows)
+        plans.append(per._jdf.queryExecution().optimizedPlan().toString())
+        answers.append(sorted((str(r.doc_id), r.n_hit, [x["id"] for x in r["items"]], r.copies) for r in per.collect()))
+    assert answers[0] == answers[1] == answers[2] and len({p.count("Join") for p in plans}) == 3
+    assert [a[:2] for a in answers[0]] == sorted({(str(w[0]), w[2]) for w in want})
     assert decontam.op4(docs.where("false"), bench).count() == 0
     none = decontam.op4(docs, bench.where("false")).collect()
     assert len(none) == len(DOCS) and not any(r.n_hit or r.contaminated for r in none)
