@@ -77,3 +77,31 @@ def test_scan_entries_come_go_and_replay(spark):
     for _ in range(2):
         batch(2, ("b", "create", 70), (C.TICK, "tick", 130))
         assert chunks() == [("a", 1, 0, 65), ("a", 2, 65, 130), ("c", 1, 5, 130)]
+
+
+def test_reconcile_state_reports_each_row_once(spark):
+    """Pairs across batches, a third partner, rows without one; the second batch twice."""
+    import datetime as dt
+    from meterflow.session import new_run_dir
+    from meterflow.streaming import reconcile as R
+    run, day = new_run_dir(spark, "rec"), dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+
+    def batch(n, *rows):
+        df = spark.createDataFrame([(s, i, (day + dt.timedelta(hours=h)).replace(tzinfo=None), day + dt.timedelta(hours=h))
+                                    for s, i, h in rows], "side string, transaction_id string, to_ts timestamp_ntz, ts timestamp")
+        R.reconcile_batch(df, n, f"{run}/out", f"{run}/state", 3_600_000_000)
+
+    def out():
+        return sorted((r.transaction_id, r.status) for r in spark.read.parquet(f"{run}/out").collect())
+
+    batch(0, ("legacy", "a", 0), ("legacy", "b", 0), ("new", "c", 0), ("legacy", "d", 0), ("new", "d", 0), ("new", "e", 0))
+    assert out() == [("d", "matched")]
+    for _ in range(2):
+        batch(1, ("new", "a", 1), ("legacy", "e", 0), ("new", "d", 0), ("legacy", "f", 2), ("new", "g", 2))
+        assert out() == [("a", "differs"), ("d", "matched"), ("d", "matched"), ("e", "matched")]
+    batch(2, ("legacy", R.END, 100), ("new", R.END, 100))
+    ends = [("a", "differs"), ("b", "missing_in_new"), ("c", "missing_in_legacy"), ("d", "matched"), ("d", "matched"),
+            ("e", "matched"), ("f", "missing_in_new"), ("g", "missing_in_legacy")]
+    assert out() == ends
+    batch(3, ("legacy", R.END, 200), ("new", R.END, 200))
+    assert out() == ends
