@@ -34,11 +34,14 @@ CLOSING = "__closing__"
 
 def ingest_batch(batch: DataFrame, batch_id: int, root: str) -> None:
     """``batch``: topic rows (value, seq)."""
-    dec = outbox.validate_chunks(codec.decode_chunks(batch, "value")).persist()
+    dec = outbox.validate_chunks(codec.decode_chunks(batch, "value"))
+    reason = F.coalesce("decode_error", "reject_reason")
+    # kept: the decoded columns, and the message of a row that is refused
+    dec = dec.select(*CHUNK_COLUMNS, "seq", F.when(reason.isNotNull(), F.col("value").cast("string")).alias("value"),
+                     reason.alias("reason")).persist()
     try:
-        ok = F.col("decode_error").isNull() & F.col("reject_reason").isNull()
-        bad = dec.filter(~ok).select(F.col("value").cast("string").alias("value"),
-                                     F.coalesce("decode_error", "reject_reason").alias("reason"))
+        ok = F.col("reason").isNull()
+        bad = dec.filter(~ok).select("value", "reason")
         sinks.write_batch(bad, f"{root}/ingest_rejects", batch_id)
         good = dec.filter(ok).select(*CHUNK_COLUMNS, "seq")
         seen = read_parquet_or_empty(batch.sparkSession, f"{root}/ingested", f"{INGESTED}, batch_id bigint")
