@@ -8,10 +8,14 @@ by language on training rows that the gradient never saw; the language is read
 from the text by a hashed-word Bayes head, never from a column. The score is the
 logistic of the distance to the language's threshold, so 0.5 is the threshold.
 
-Training reads at most ``MAX_PER_CLASS`` labelled rows of each class (least
-hashes of doc_id among rows whose crc32 of doc_id modulo 5 is not 0); texts of
-at most ``MAX_CHARS``), which Spark selects and the driver fits. Scoring is a streaming pandas UDF: no
-shuffle, long texts in overlapping pieces, maxima combined.
+Training reads every labelled row whose crc32 of doc_id modulo 5 is not 0, the whole
+text of each. Its rows are dealt by doc_id into shards of about ``SHARD_ROWS``; in each
+of ``ROUNDS`` rounds every shard goes on from the common model for ``EPOCHS`` epochs,
+and the models are averaged (dense parameters by rows, an embedding row over the shards
+that touched it, summed on the executors). Only models and counts reach the driver. The
+classes weigh the same in the gradient; language counts and the error counts behind the
+thresholds (logits to 1/``GRID``) are sums over all rows. Scoring is a streaming pandas
+UDF: no shuffle, long texts in overlapping pieces, maxima combined.
 
 Cases: null and empty texts are one blank word; a doc_id labelled twice takes its
 highest label, null labels are left out; without both classes in the training
@@ -21,6 +25,7 @@ extra columns are ignored.
 
 from __future__ import annotations
 
+import pickle
 import re
 import zlib
 from array import array
@@ -31,23 +36,27 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from meterflow.llm.common import id_mod, labelled_sample, ship
+from meterflow.llm.common import id_mod, ship
+from meterflow.session import new_run_dir
 
-MAX_PER_CLASS = 2000
-MAX_CHARS = 50_000  # a longer text is scored like any other, but not learnt from
+SHARD_ROWS = 8192
+ROUNDS = 3
 BUCKETS = 1 << 16
 PREFIXES = (5, 7)
 FORMS = 1 + len(PREFIXES)  # embedding rows of a word
 DIM = 12
 FILTERS = 8
 WIDTHS = (1, 2, 3)
-EPOCHS = 6
+EPOCHS = 2          # of a shard in a round
 BATCH = 32
 RATE = 0.15
 PIECE = 1 << 15
 HOLD = 5            # rows with crc32(doc_id) % HOLD == 0 are never learnt from
 CALIBRATE = 4       # one training row in this many calibrates thresholds
 MIN_LANGUAGE_ROWS = 60
+MAX_LANGUAGES = 64  # the most frequent ones have thresholds of their own, the rest share one
+GRID = 1024         # steps of a logit in the error counts
+BLOCK_WORDS = 1 << 21  # words of a shard held at a time
 _CACHE_MAX = 1 << 18
 _SLICE = 1000  # texts scored at a time
 _WORD = re.compile(r"[^\W\d_]+")
@@ -111,6 +120,11 @@ class Model:
         self.taps: dict[int, list[np.ndarray]] = {}
         self.lang_of = np.zeros((0, 1), np.float32)
         self.thresholds = np.zeros(1)
+        self.known: np.ndarray | None = None
+        self.sums = {k: 1e-3 * np.ones_like(v) for k, v in self.parameters().items()}
+
+    def parameters(self) -> dict:
+        return {"e": self.e, "b": self.b, "out": self.out, "bias": self.bias, **self.w}
 
     def learn_words(self, words: Words, anew: bool = False) -> None:
         """Filter taps and language weights of the words not yet seen, so scoring
@@ -154,12 +168,33 @@ class Model:
         x = np.concatenate((self.lang_of[ids], np.zeros((1, self.lang_of.shape[1]), np.float32)))
         return np.add.reduceat(x, flat, axis=0)[::2]
 
-    def fit(self, docs: list[np.ndarray], y: np.ndarray, words: Words, seed: int = 7) -> None:
-        triples = words.rows
+    def best_positions(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Words under each filter's maximum: documents x filters x widest filter.
+        Long documents go in pieces; the first maximum counts."""
+        span, n_filters = max(WIDTHS), len(self.b)
+        best = np.full((len(docs), n_filters), -np.inf, np.float32)
+        under = np.zeros((len(docs), n_filters, span), np.int32)
+        for i, d in enumerate(docs):
+            padded = np.concatenate((d, np.zeros(span - 1, np.int32)))
+            for at in range(0, len(d), PIECE):
+                ids = padded[at:at + PIECE + span - 1]
+                used, local = np.unique(ids, return_inverse=True)
+                emb = self.e[self.known[used]].sum(axis=1)
+                self.taps = {w: [emb @ self.w[w][j] for j in range(w)] for w in WIDTHS}
+                r = self.responses(local)
+                where = r.argmax(axis=0)
+                top = r[where, np.arange(n_filters)]
+                new = np.flatnonzero(top > best[i])
+                best[i, new] = top[new]
+                under[i, new] = ids[where[new, None] + np.arange(span)]
+        return under
+
+    def fit(self, docs: list[np.ndarray], y: np.ndarray, words: Words, weight: np.ndarray, seed: int = 7,
+            epochs: int = EPOCHS) -> None:
+        """Go on from the model's parameters and gradient sums (``sums``)."""
+        self.known = words.rows
         rng = np.random.default_rng(seed)
-        sums = {k: 1e-3 * np.ones_like(v) for k, v in
-                {"e": self.e, "b": self.b, "out": self.out, "bias": self.bias}.items()}
-        sums |= {w: 1e-3 * np.ones_like(v) for w, v in self.w.items()}
+        sums = self.sums
 
         def step(name, param, grad, rows=None):
             if rows is None:
@@ -169,20 +204,22 @@ class Model:
                 sums[name][rows] += grad * grad
                 param[rows] -= RATE * grad / np.sqrt(sums[name][rows])
 
-        for _ in range(EPOCHS):
+        for _ in range(epochs):
             order = rng.permutation(len(docs))
             for at in range(0, len(docs), BATCH):
                 batch = order[at:at + BATCH]
-                ids, bounds = _layout([docs[i] for i in batch])
-                used, local = np.unique(ids, return_inverse=True)
-                emb = self.e[triples[used]].sum(axis=1)
-                self.taps = {w: [emb @ self.w[w][j] for j in range(w)] for w in WIDTHS}
-                r = self.responses(local)
-                where = np.stack([a + r[a:b].argmax(axis=0) for a, b in bounds])  # docs x filters
-                best = r[where, np.arange(r.shape[1])]
+                under = self.best_positions([docs[i] for i in batch])
+                used, local = np.unique(under, return_inverse=True)
+                local = local.reshape(under.shape)
+                emb = self.e[self.known[used]].sum(axis=1)
+                best = np.zeros(under.shape[:2], np.float32)
+                for k, w in enumerate(WIDTHS):
+                    cols = slice(k * FILTERS, (k + 1) * FILTERS)
+                    for j in range(w):
+                        best[:, cols] += np.einsum("nfd,df->nf", emb[local[:, cols, j]], self.w[w][j])
                 act = np.maximum(best + self.b, 0)
-                p = 1 / (1 + np.exp(-(act @ self.out + self.bias[0])))
-                g = (p - y[batch]) / len(batch)
+                p = 1 / (1 + np.exp(-np.clip(act @ self.out + self.bias[0], -60, 60)))
+                g = ((p - y[batch]) * weight[batch] / len(batch)).astype(np.float32)
                 d_act = (g[:, None] * self.out) * (act > 0)
                 step("out", self.out, act.T @ g + 1e-4 * self.out)
                 step("bias", self.bias, np.array([g.sum()], np.float32))
@@ -192,25 +229,22 @@ class Model:
                     cols = slice(k * FILTERS, (k + 1) * FILTERS)
                     grad = np.zeros_like(self.w[w])
                     for j in range(w):
-                        rows = local[where[:, cols] + j]              # docs x filters
+                        rows = local[:, cols, j]                      # docs x filters
                         d = d_act[:, cols]
                         grad[j] = np.einsum("nfd,nf->df", emb[rows], d)
                         np.add.at(d_emb, rows.ravel(),
                                   (d[..., None] * self.w[w][j].T[None]).reshape(-1, DIM))
                     step(w, self.w[w], grad)
                 d_emb[used == 0] = 0
-                rows, at_row = np.unique(triples[used], return_inverse=True)
+                rows, at_row = np.unique(self.known[used], return_inverse=True)
                 d_rows = np.zeros((len(rows), DIM), np.float32)
-                np.add.at(d_rows, at_row.ravel(), np.repeat(d_emb, triples.shape[1], axis=0))
+                np.add.at(d_rows, at_row.ravel(), np.repeat(d_emb, self.known.shape[1], axis=0))
                 step("e", self.e, d_rows, rows)
-        self.taps = {}
-
-    def fit_language(self, docs: list[np.ndarray], langs: list[str], words: Words) -> None:
-        first = words.rows[:, 0]
-        self.languages = sorted(set(langs))
-        counts = np.full((BUCKETS, len(self.languages)), 0.5)
-        for d, x in zip(docs, langs):
-            np.add.at(counts[:, self.languages.index(x)], first[d], 1)
+        self.taps, self.known = {}, None
+
+    def set_languages(self, languages: list[str], counts: np.ndarray) -> None:
+        """``counts``: of hashed words (rows) by language."""
+        self.languages, counts = languages, counts + 0.5
         self.lang_rows = np.log(counts / counts.sum(axis=0)).astype(np.float32)
 
     def raw(self, docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -235,15 +269,14 @@ class Model:
             at = end
         return self.logits(best), lang.argmax(axis=1)
 
-    def calibrate(self, docs: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> None:
-        """Per language the threshold of least weighted error (weights undo the
-        class sampling); languages with few rows share the common threshold."""
-        z, lang = self.raw(docs)
-        self.thresholds = np.full(max(1, len(self.languages)), _threshold(z, y, weight))
+    def set_thresholds(self, lang: np.ndarray, z: np.ndarray, y: np.ndarray, rows: np.ndarray) -> None:
+        """Per language the threshold of least error, from counts of equal logits;
+        languages with few rows share the common threshold."""
+        self.thresholds = np.full(max(1, len(self.languages)), _threshold(z, y, rows))
         for k in range(len(self.languages)):
             at = lang == k
-            if at.sum() >= MIN_LANGUAGE_ROWS and 0 < y[at].sum() < at.sum():
-                self.thresholds[k] = _threshold(z[at], y[at], weight[at])
+            if rows[at].sum() >= MIN_LANGUAGE_ROWS and 0 < (y * rows)[at].sum() < rows[at].sum():
+                self.thresholds[k] = _threshold(z[at], y[at], rows[at])
 
     def scores(self, docs: list[np.ndarray]) -> np.ndarray:
         z, lang = self.raw(docs)
@@ -262,26 +295,140 @@ def _threshold(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
     return float(below + above) / 2
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> Model | None:
+def labelled(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, dict[tuple[int, int], int]]:
+    """Every training row (shard, doc_id, y, lang, text, last), written once in shards by
+    doc_id, and their counts by (y, last). One row a doc_id, that of the least text hash;
+    ``last``: it calibrates thresholds."""
+    known = (labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (id_mod(F.col("doc_id"), HOLD) != 0))
+             .groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("y")))
+    shards = max(1, -(-known.count() // SHARD_ROWS))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select("doc_id", "text", F.coalesce(lang, F.lit("")).alias("lang"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang")).alias("row")
+    last = F.crc32(F.concat(F.lit("calibrate "), F.col("doc_id").cast("string"))) % CALIBRATE == 0
+    path = f"{new_run_dir(docs.sparkSession, 'toxicity')}/rows"
+    (rows.repartition(shards, "doc_id").join(known.repartition(shards, "doc_id"), "doc_id")
+     .groupBy("doc_id", "y").agg(first)
+     .select(F.spark_partition_id().alias("shard"), "doc_id", "y", "row.lang", "row.text", last.alias("last"))
+     .sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(path))
+    got = docs.sparkSession.read.parquet(path)
+    return got, {(r.y, r.last): r.n for r in got.groupBy("y", "last").agg(F.count("*").alias("n")).collect()}
+
+
+def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[np.ndarray], Words]]:
+    """Rows of one shard at a time, at most about ``BLOCK_WORDS`` words together."""
+    words, held, ids, size = Words(), [], [], 0
+    for batch in batches:
+        for _, part in batch.groupby("shard", sort=False):
+            for at in range(0, len(part), 64):
+                piece = part.iloc[at:at + 64]
+                if held and (size > BLOCK_WORDS or held[-1].shard.iloc[0] != piece.shard.iloc[0]):
+                    yield pd.concat(held), ids, words
+                    words, held, ids, size = Words(), [], [], 0
+                new = [word_ids(t, words) for t in piece.text]
+                held.append(piece.drop(columns="text"))
+                ids += new
+                size += sum(map(len, new))
+    if held:
+        yield pd.concat(held), ids, words
+
+
+def _changes(before: Model, m: Model, n: int) -> dict[str, np.ndarray]:
+    """A shard's part of the average: changes times rows, and the rows (of the
+    embedding: 1 where the shard touched it)."""
+    out = {}
+    for k, v in m.parameters().items():
+        s0, s1 = before.sums[k], m.sums[k]
+        w = (s1 != s0).any(axis=1, keepdims=True).astype(np.float32) if k == "e" else np.float32(n)
+        out[str(k)] = np.stack((w * (v - before.parameters()[k]), w * (s1 - s0)))
+        out[f"{k} rows"] = np.asarray(w)
+    return out
+
+
+def _sum(a: dict, b: dict) -> dict:
+    return {k: a[k] + b[k] for k in a}
+
+
+def _round(rows: DataFrame, model: Model, weight: np.ndarray, number: int) -> None:
+    """Every shard fits on from ``model``; the model takes the average."""
+    shipped = rows.sparkSession.sparkContext.broadcast(model)
+
+    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        before, total = shipped.value, None
+        m, n, shard = None, 0, None
+
+        def closed():
+            return _changes(before, m, n) if total is None else _sum(total, _changes(before, m, n))
+
+        for part, ids, words in _blocks(batches):
+            if m is None or part.shard.iloc[0] != shard:
+                total = closed() if m is not None else None
+                m, n, shard = pickle.loads(pickle.dumps(before)), 0, part.shard.iloc[0]
+            y = part.y.to_numpy(np.float32)
+            m.fit(ids, y, words, weight[part.y.to_numpy()], 7 + number)
+            n += len(ids)
+        if m is not None:
+            yield pd.DataFrame({"part": [pickle.dumps(closed())]})
+
+    parts = rows.select("shard", "y", "text").mapInPandas(fit, "part binary").rdd.map(lambda r: pickle.loads(r.part))
+    total = parts.treeReduce(_sum, 2)
+    shipped.unpersist()
+    for k, v in model.parameters().items():
+        w = np.maximum(total[f"{k} rows"], 1)
+        v += total[str(k)][0] / w
+        model.sums[k] += total[str(k)][1] / w
+
+
+def _language_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
+    """Rows of the embedding table by language: occurrences of the words."""
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((BUCKETS, len(languages)))
+        for part, ids, words in _blocks(batches):
+            first = words.rows[:, 0]
+            for d, x in zip(ids, part.lang):
+                if x in languages:
+                    np.add.at(total[:, languages.index(x)], first[d], 1)
+        yield pd.DataFrame({"part": [total.tobytes()]})
+
+    parts = rows.select("shard", "lang", "text").mapInPandas(count, "part binary").rdd
+    total = parts.map(lambda r: np.frombuffer(r.part).reshape(BUCKETS, -1)).treeReduce(lambda a, b: a + b, 2)
+    return total
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     """None when the training rows have only one class."""
-    got = (labelled_sample(docs.where(F.char_length("text") <= MAX_CHARS), labels, "toxic", HOLD, 0, per_class)
-           .select("doc_id", "y", "share", F.coalesce("lang", F.lit("")).alias("lang"), "text").collect())
-    got.sort(key=lambda r: (r.doc_id, r.lang, r.text))
-    y = np.array([r.y for r in got], np.float32)
-    if len(set(y.tolist())) < 2:
+    spark = docs.sparkSession
+    rows, sizes = labelled(docs, labels)
+    of = lambda last: [sum(n for (y, x), n in sizes.items() if y == c and x in last) for c in (0, 1)]
+    if not all(of((True, False))):
         return None
-    words = Words()
-    ids = [word_ids(r.text, words) for r in got]
-    last = np.array([zlib.crc32(f"calibrate {r.doc_id}".encode()) % CALIBRATE == 0 for r in got])
-    if len(set(y[last].tolist())) < 2 or len(set(y[~last].tolist())) < 2:
-        last[:] = False
+    split = all(of((True,))) and all(of((False,)))
+    fit = rows.where("not last") if split else rows
+    check = rows.where("last") if split else rows
+    n0, n1 = of((False,)) if split else of((True, False))
+    weight = np.array([(n0 + n1) / (2 * n0), (n0 + n1) / (2 * n1)], np.float32)
+    ship(spark)
     model = Model()
-    fit = np.flatnonzero(~last)
-    model.fit([ids[i] for i in fit], y[fit], words)
-    model.fit_language([ids[i] for i in fit], [got[i].lang for i in fit], words)
-    check = np.flatnonzero(last) if last.any() else fit
-    model.learn_words(words, anew=True)
-    model.calibrate([ids[i] for i in check], y[check], np.array([got[i].share for i in check]))
+    for number in range(ROUNDS):
+        _round(fit, model, weight, number)
+    top = fit.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
+    languages = sorted(r.lang for r in top)
+    model.set_languages(languages, _language_counts(fit, languages))
+    shipped = spark.sparkContext.broadcast(model)
+
+    def logits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part, ids, words in _blocks(batches):
+            m = shipped.value
+            m.learn_words(words, anew=True)
+            z, lang = m.raw(ids)
+            cell = np.round(np.clip(z, -30, 30) * GRID).astype(np.int64)
+            yield pd.DataFrame({"lang": lang.astype(np.int64), "cell": cell, "y": part.y.to_numpy(np.int64)})
+
+    cells = (check.select("shard", "y", "text").mapInPandas(logits, "lang long, cell long, y long")
+             .groupBy("lang", "cell", "y").count().orderBy("lang", "cell", "y").collect())
+    lang, cell, y, n = (np.array(x, float) for x in zip(*cells))
+    model.set_thresholds(lang, cell / GRID, y, n)
+    model.sums = {}
     return model
 
 
