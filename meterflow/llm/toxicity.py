@@ -40,7 +40,7 @@ from meterflow.llm.common import id_mod, ship
 from meterflow.session import new_run_dir
 
 SHARD_ROWS = 8192
-ROUNDS = 3
+ROUNDS = 2
 BUCKETS = 1 << 16
 PREFIXES = (5, 7)
 FORMS = 1 + len(PREFIXES)  # embedding rows of a word
@@ -371,7 +371,7 @@ def _round(rows: DataFrame, model: Model, weight: np.ndarray, number: int) -> No
             yield pd.DataFrame({"part": [pickle.dumps(closed())]})
 
     parts = rows.select("shard", "y", "text").mapInPandas(fit, "part binary").rdd.map(lambda r: pickle.loads(r.part))
-    total = parts.treeReduce(_sum, 2)
+    total = parts.treeReduce(_sum, 4)
     shipped.unpersist()
     for k, v in model.parameters().items():
         w = np.maximum(total[f"{k} rows"], 1)
@@ -391,7 +391,7 @@ def _language_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
         yield pd.DataFrame({"part": [total.tobytes()]})
 
     parts = rows.select("shard", "lang", "text").mapInPandas(count, "part binary").rdd
-    total = parts.map(lambda r: np.frombuffer(r.part).reshape(BUCKETS, -1)).treeReduce(lambda a, b: a + b, 2)
+    total = parts.map(lambda r: np.frombuffer(r.part).reshape(BUCKETS, -1)).treeReduce(lambda a, b: a + b, 4)
     return total
 
 
