@@ -33,7 +33,8 @@ session changes nothing (the earliest counts). The interval of a stream must not
 change over its life: the due times are stored.
 
 Every output is an overwrite of the batch's own ``batch_id`` partition and reads
-only earlier batches, so a retried batch writes the same rows again. Stored changes
+only earlier batches, so a retried batch writes the same rows again. A batch's state is
+computed once and written to ``lifecycle_work``, which the next batch overwrites. Stored changes
 are folded every ``compact_every`` batches to one row per open session, and due
 entries to those still ahead.
 """
@@ -115,7 +116,7 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
     rows = batch.select("session_id", "action", F.col("ts").cast("timestamp_ntz").alias("ts"), *ATTRS,
                         batch_clock(batch, clock).alias(CLOCK_COL)).persist()
     batch_rows = rows
-    state = touched = None
+    touched = None
     try:
         usable = (F.col("session_id").isNotNull() & F.col("ts").isNotNull()
                   & F.coalesce(F.col("action").isin("create", "finish"), F.lit(False)))
@@ -148,7 +149,12 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
             "session_id", F.coalesce("billed_to", F.col("c.ts")).alias("billed_to"),
             F.least("finish_at", "f").alias("finish_at"), F.coalesce("seq", F.lit(0)).cast("bigint").alias("seq"),
             *[F.when(known, F.col(a)).otherwise(F.col(f"c.{a}")).alias(a) for a in ATTRS],
-            F.coalesce("__old", F.lit(False)).alias("__old")).persist()
+            F.coalesce("__old", F.lit(False)).alias("__old"))
+        # written, not cached: Spark drops a cached plan when a table that it reads is
+        # written to, and what is made of it next would compute the state anew
+        work = f"{root}/lifecycle_work"
+        state.write.mode("overwrite").parquet(work)
+        state = spark.read.schema(f"{STATE}, __old boolean").parquet(work)
 
         late = state.filter("finish_at < billed_to")
         rejects = [rows.filter(~usable & ~marker).withColumn("reason", F.lit("invalid")),
@@ -196,9 +202,8 @@ def lifecycle_batch(batch: DataFrame, batch_id: int, root: str, interval: str, d
                                _micros(F.col("finish_at")).alias("finish_due"))
         sinks.write_batch(ahead.sortWithinPartitions("tick_due"), f"{root}/lifecycle_due", batch_id)
     finally:
-        for held in (state, touched):
-            if held is not None:
-                held.unpersist()
+        if touched is not None:
+            touched.unpersist()
         batch_rows.unpersist()
 
 

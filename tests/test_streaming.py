@@ -457,3 +457,25 @@ def test_retried_batch_rewrites_the_same_clock(spark, fx_small, monkeypatch):
     assert first and all(again[e] == t for e, t in first.items())
     led = {r.event_id: r.processed_at for r in spark.read.parquet(paths.ledger).collect()}
     assert led == again
+
+
+def test_lifecycle_state_is_computed_once(spark, monkeypatch):
+    """What a batch writes is made of its stored state, not of a cached plan over tables
+    that the batch writes to: such a plan is dropped and computed anew by each write."""
+    from meterflow.streaming import lifecycle
+    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    schema = "session_id string, action string, ts timestamp_ntz, " + lifecycle._ATTR_TYPES
+    row = lambda s, a, d: (s, a, at(d), *[None] * len(lifecycle.ATTRS))
+    run, plans, write = new_run_dir(spark, "t-once"), {}, sinks.write_batch
+
+    def noted(df, target, *args, **kw):
+        plans[target.rsplit("/", 1)[-1]] = df._jdf.queryExecution().executedPlan().toString()
+        write(df, target, *args, **kw)
+
+    monkeypatch.setattr(lifecycle.sinks, "write_batch", noted)
+    for b, rows in enumerate([[row("a", "create", 0), row("b", "create", 1)], [row("a", "finish", 35)]]):
+        lifecycle.lifecycle_batch(spark.createDataFrame(rows, schema), b, run, "10 days", "0 days", clock=at(100))
+    for table in ("lifecycle_chunks", "lifecycle_closed", "lifecycle_state", "lifecycle_due"):
+        assert "lifecycle_work" in plans[table] and "InMemoryTableScan" not in plans[table]
+    got = [(r.session_id, r.kind) for r in lifecycle.chunks(spark, run).collect()]
+    assert sorted(got) == [("a", "final")] + [("a", "tick")] * 3 + [("b", "tick")] * 3
