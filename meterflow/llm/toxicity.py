@@ -57,6 +57,9 @@ MIN_LANGUAGE_ROWS = 60
 MAX_LANGUAGES = 64  # the most frequent ones have thresholds of their own, the rest share one
 GRID = 1024         # steps of a logit in the error counts
 BLOCK_WORDS = 1 << 21  # words of a shard held at a time
+PIECES = "name string, piece int, at long, part binary"
+PIECE_BYTES = 1 << 17  # of a sum of models or counts: what one row of it holds
+SUM_TASKS = 8
 _CACHE_MAX = 1 << 18
 _SLICE = 1000  # texts scored at a time
 _WORD = re.compile(r"[^\W\d_]+")
@@ -333,14 +336,17 @@ def _blocks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, lis
         yield pd.concat(held), ids, words
 
 
-def _changes(before: Model, m: Model, n: int) -> dict[str, np.ndarray]:
+def _changes(before: Model, m: Model, n: int, last: bool) -> dict[str, np.ndarray]:
     """A shard's part of the average: changes times rows, and the rows (of the
-    embedding: 1 where the shard touched it)."""
+    embedding: 1 where the shard touched it). After the ``last`` round nobody asks for
+    the gradient sums."""
     out = {}
     for k, v in m.parameters().items():
         s0, s1 = before.sums[k], m.sums[k]
         w = (s1 != s0).any(axis=1, keepdims=True).astype(np.float32) if k == "e" else np.float32(n)
-        out[str(k)] = np.stack((w * (v - before.parameters()[k]), w * (s1 - s0)))
+        out[str(k)] = w * (v - before.parameters()[k])
+        if not last:
+            out[f"{k} sums"] = w * (s1 - s0)
         out[f"{k} rows"] = np.asarray(w)
     return out
 
@@ -349,50 +355,89 @@ def _sum(a: dict, b: dict) -> dict:
     return {k: a[k] + b[k] for k in a}
 
 
+def _pieces(name: str, values: np.ndarray, at: int) -> pd.DataFrame:
+    """``values`` as rows (name, piece, at, part) of at most ``PIECE_BYTES``."""
+    flat = np.ascontiguousarray(values).tobytes()
+    cuts = range(0, len(flat), PIECE_BYTES)
+    return pd.DataFrame({"name": name, "piece": np.arange(len(cuts), dtype=np.int32), "at": np.int64(at),
+                         "part": [flat[x:x + PIECE_BYTES] for x in cuts]})
+
+
+def _summed(parts: DataFrame, kind: type) -> dict[str, np.ndarray]:
+    """The arrays of ``kind`` whose pieces ``parts`` holds, added up by name on the
+    executors, in the order of ``at``: every task holds one piece at a time, and only one
+    row a piece reaches the driver."""
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, total = None, None
+        for batch in batches:
+            for name, piece, part in zip(batch.name, batch.piece, batch.part):
+                value = np.frombuffer(part, kind)
+                if key == (name, piece):
+                    total += value
+                    continue
+                if key is not None:
+                    yield pd.DataFrame({"name": [key[0]], "piece": [key[1]], "part": [total.tobytes()]})
+                key, total = (name, piece), value.copy()
+        if key is not None:
+            yield pd.DataFrame({"name": [key[0]], "piece": [key[1]], "part": [total.tobytes()]})
+
+    rows = (parts.repartition(SUM_TASKS, "name", "piece").sortWithinPartitions("name", "piece", "at", "part")
+            .mapInPandas(add, "name string, piece int, part binary"))
+    found: dict[str, dict[int, bytes]] = {}
+    for r in rows.collect():
+        found.setdefault(r.name, {})[r.piece] = r.part
+    return {k: np.frombuffer(b"".join(bytes(x[i]) for i in range(len(x))), kind) for k, x in found.items()}
+
+
 def _round(rows: DataFrame, model: Model, weight: np.ndarray, number: int) -> None:
     """Every shard fits on from ``model``; the model takes the average."""
     shipped = rows.sparkSession.sparkContext.broadcast(model)
+    last = number == ROUNDS - 1
 
     def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         before, total = shipped.value, None
-        m, n, shard = None, 0, None
+        m, n, shard, first = None, 0, None, 0
 
         def closed():
-            return _changes(before, m, n) if total is None else _sum(total, _changes(before, m, n))
+            part = _changes(before, m, n, last)
+            return part if total is None else _sum(total, part)
 
         for part, ids, words in _blocks(batches):
             if m is None or part.shard.iloc[0] != shard:
+                if m is None:
+                    first = part.shard.iloc[0]
                 total = closed() if m is not None else None
                 m, n, shard = pickle.loads(pickle.dumps(before)), 0, part.shard.iloc[0]
             y = part.y.to_numpy(np.float32)
             m.fit(ids, y, words, weight[part.y.to_numpy()], 7 + number)
             n += len(ids)
         if m is not None:
-            yield pd.DataFrame({"part": [pickle.dumps(closed())]})
+            for name, values in closed().items():
+                yield _pieces(name, values.astype(np.float32), first)
 
-    parts = rows.select("shard", "y", "text").mapInPandas(fit, "part binary").rdd.map(lambda r: pickle.loads(r.part))
-    total = parts.treeReduce(_sum, 4)
-    shipped.unpersist()
+    total = _summed(rows.select("shard", "y", "text").mapInPandas(fit, PIECES), np.float32)
+    shipped.destroy()
     for k, v in model.parameters().items():
-        w = np.maximum(total[f"{k} rows"], 1)
-        v += total[str(k)][0] / w
-        model.sums[k] += total[str(k)][1] / w
+        w = np.maximum(total[f"{k} rows"].reshape(-1, 1) if k == "e" else total[f"{k} rows"][0], 1)
+        v += total[str(k)].reshape(v.shape) / w
+        if not last:
+            model.sums[k] += total[f"{k} sums"].reshape(v.shape) / w
 
 
 def _language_counts(rows: DataFrame, languages: list[str]) -> np.ndarray:
     """Rows of the embedding table by language: occurrences of the words."""
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((BUCKETS, len(languages)))
+        total = np.zeros((len(languages), BUCKETS))
         for part, ids, words in _blocks(batches):
             first = words.rows[:, 0]
             for d, x in zip(ids, part.lang):
                 if x in languages:
-                    np.add.at(total[:, languages.index(x)], first[d], 1)
-        yield pd.DataFrame({"part": [total.tobytes()]})
+                    np.add.at(total[languages.index(x)], first[d], 1)
+        for number, values in enumerate(total):
+            yield _pieces(str(number), values, 0)
 
-    parts = rows.select("shard", "lang", "text").mapInPandas(count, "part binary").rdd
-    total = parts.map(lambda r: np.frombuffer(r.part).reshape(BUCKETS, -1)).treeReduce(lambda a, b: a + b, 4)
-    return total
+    total = _summed(rows.select("shard", "lang", "text").mapInPandas(count, PIECES), np.float64)
+    return np.stack([total[str(i)] for i in range(len(languages))], axis=1)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:
@@ -426,6 +471,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     cells = (check.select("shard", "y", "text").mapInPandas(logits, "lang long, cell long, y long")
              .groupBy("lang", "cell", "y").count().orderBy("lang", "cell", "y").collect())
+    shipped.destroy()
     lang, cell, y, n = (np.array(x, float) for x in zip(*cells))
     model.set_thresholds(lang, cell / GRID, y, n)
     model.sums = {}

@@ -44,3 +44,19 @@ def test_long_text_in_pieces_trains_alike(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 16)
     pieces = fitted()
     assert all(np.allclose(v, pieces.parameters()[k], atol=1e-5) for k, v in whole.parameters().items())
+
+
+def test_sums_reach_the_driver_as_one_row_a_piece(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE_BYTES", 64)
+    parts = [{"e": np.arange(40, dtype=np.float32) * k, "bias": np.ones(1, np.float32)} for k in range(1, 8)]
+    rows = [r for at, part in enumerate(parts) for name, x in part.items()
+            for r in toxicity._pieces(name, x, at).itertuples(index=False, name=None)]
+    assert len(rows) == 7 * (3 + 1)
+    df = spark.createDataFrame([(n, int(p), int(a), bytearray(b)) for n, p, a, b in rows], toxicity.PIECES).repartition(5)
+    sent = []
+    frame = type(df)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sent.append(collect(self)) or sent[-1])
+    total = toxicity._summed(df, np.float32)
+    assert len(sent[0]) == 3 + 1 and max(len(r.part) for r in sent[0]) <= 64
+    assert np.array_equal(total["e"], sum(x["e"] for x in parts)) and total["bias"][0] == 7
