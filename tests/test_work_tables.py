@@ -9,6 +9,7 @@ from meterflow.operators import ledger
 from meterflow.session import new_run_dir
 from meterflow.sources import sinks
 from meterflow.streaming import billing as sbill
+from meterflow.streaming import topics
 
 AS_OF = "1998-06-01 00:00:00"
 
@@ -55,6 +56,16 @@ def test_billing_batch_writes_from_work_tables(spark, monkeypatch):
     assert spark.read.parquet(paths.rejects).filter("value = '{'").count() == 2
 
 
+def test_billing_stream_reads_only_value_and_seq(spark, monkeypatch):
+    run, seen = new_run_dir(spark, "columns"), []
+    message = spark.createDataFrame([(b"k", _message("e1", 1).encode(), [("h", b"v")], 1)], topics.FILE_TOPIC_SCHEMA)
+    topics.write_file_topic(message, f"{run}/topic", 1)
+    monkeypatch.setattr(sbill, "billing_batch", lambda df, *args: seen.append(df.columns))
+    sbill.start_billing_stream(topics.read_chunks_stream(spark, f"{run}/topic"), sbill.BillingPaths(run), f"{run}/chk",
+                               AS_OF).awaitTermination()
+    assert seen == [["value", "seq"]]
+
+
 def test_key_spread_is_few_keys_or_buckets(spark):
     many = spark.range(5000).select(F.concat(F.lit("k"), "id").alias("k"))
     assert ledger.key_spread(many, "k") == (None, ledger.batch_buckets(many, "k"))
