@@ -1,15 +1,17 @@
 """A micro-batch computes its rows once: they lie in a work table, not in a cached plan
 that a write to the ledger drops."""
 
+import datetime as dt
 import json
 
 from pyspark.sql import functions as F
 
+from meterflow import schemas as S
 from meterflow.operators import ledger
 from meterflow.session import new_run_dir
 from meterflow.sources import sinks
 from meterflow.streaming import billing as sbill
-from meterflow.streaming import topics
+from meterflow.streaming import publish, retry, topics
 
 AS_OF = "1998-06-01 00:00:00"
 
@@ -72,3 +74,32 @@ def test_key_spread_is_few_keys_or_buckets(spark):
     some = many.limit(1).unionByName(spark.createDataFrame([(None,)], "k string"))
     assert ledger.key_spread(some, "k") == (["k0"], None)
     assert ledger.key_spread(many.limit(0), "k") == ([], None)
+
+
+def test_publish_and_lane_write_from_work_tables(spark, monkeypatch):
+    root = new_run_dir(spark, "publish")
+    plans = _plans(monkeypatch, "outbox_marks", "publish_failures", "outbox_dead_letters", "/waiting")
+    t = dt.datetime(1998, 1, 1)
+    # broken, refused, repeat of an event, already sent, good
+    outbox = spark.createDataFrame([(i, e, S.EVENT_TYPE_CHUNK, "s", i, p, t, None, 0, None) for i, e, p in (
+        (1, "e1", "{"), (2, "e2", _message("e2", 2)), (3, "e3", _message("e3", 3)), (4, "e3", _message("e3", 4)),
+        (5, "e5", _message("e5", 5)))], S.OUTBOX_EVENTS)
+    sinks.write_batch(spark.createDataFrame([("e5",)], "event_id string").withColumn("event_bucket", ledger.key_bucket("event_id")),
+                      f"{root}/processed_outbox_events", -1)
+    refuse = lambda rows, n: F.when((F.col("outbox_event_id") == "e2") & (n < 2), F.lit("busy"))
+    publish.publish_batch(outbox, 0, root, AS_OF, partitions=2, attempt=refuse)
+    marks = {r.id: r.outcome for r in spark.read.parquet(f"{root}/outbox_marks").collect()}
+    assert marks == {1: "undecodable", 2: "refused", 3: "publish", 4: "repeat", 5: "already"}
+    failed = spark.read.parquet(f"{root}/publish_failures").drop("batch_id")
+    assert sorted((r.id, r.attempts) for r in failed.collect()) == [(1, 1), (2, 1)]
+
+    cols = [c.split()[0] for c in retry.FAILURES.split(", ")]
+    ticks = lambda s: spark.createDataFrame([(True, s * 1_000_000)], f"{retry.TICK} boolean, {retry.NOW} bigint")
+    new = failed.select(*cols, F.lit(False).alias(retry.TICK), F.lit(100_000_000).cast("bigint").alias(retry.NOW))
+    held = _held(spark)
+    for b, batch in ((0, new), (1, ticks(200))):
+        retry.lane_batch(batch, b, root, AS_OF, refuse, 2, None, 10.0, 3)
+    assert _held(spark) == held
+    sent = {r.id: r.outcome for r in spark.read.parquet(f"{root}/outbox_marks").filter(F.col("batch_id") >= retry.LANE).collect()}
+    assert sent == {1: "undecodable", 2: "publish"}
+    assert len(plans) == 8 and not any("InMemoryRelation" in p or "Join" in p for p in plans)
